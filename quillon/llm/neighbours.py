@@ -1 +1,291 @@
-QUERIES = {}
+"""Problem 1: the most similar vectors of every vector, with score-aware four-bit codes.
+
+A partition tree (``cells``) is fitted on a bounded sample; every vector lives in the cell of its nearest centre
+and visits the next ones that are almost as near.  In a cell each resident is stored as 32 codes of four bits
+of its residual to the centre.  Codes and codebook minimise the anisotropic loss: of the residual error, the
+part parallel to the vector weighs ``eta`` times the rest, as it is that part which changes large inner
+products.  Visitors score all residents by table scans (16 entries per code, all queries of a block side by
+side), the best go to an exact comparison, and the lists of all cells are merged by similarity and id.
+
+Nothing is dropped: every usable vector is indexed and asks.  Equal vectors stay as their ``k + 1`` smallest
+ids: by the tie rule these are the neighbours of all others, so a set of copies of any size costs ``k + 1``
+rows.  Sizes that are broadcast (centres, codebook, query blocks) are bounded by constants below.
+
+Defined cases: vectors that are null, wrongly sized, not finite or zero have no neighbours; rows with one id
+count once; ties go to the smaller id; similarities are rounded to six places before they are ranked; empty
+tables give no rows; further columns are not read.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .cells import DIMENSIONS, FIT_ROWS, as_rows, first_copies, nearest_cells, sample, split_cells, usable_vectors
+from .common import checkpointed, table
+
+SUBSPACES, CODES = 32, 16
+WIDTH = DIMENSIONS // SUBSPACES
+#: Similarity above which the loss is to rank well; eta follows from it.
+THRESHOLD = 0.8
+ETA = (DIMENSIONS - 1) * THRESHOLD**2 / (1 - THRESHOLD**2)
+RESIDENTS = 1000
+PROBES, MARGIN = 4, 0.05
+RERANKED = 48
+QUERY_BLOCK = 256
+#: Queries that are broadcast at once when a stated set is compared with all rows.
+STATED_BLOCK = 8192
+#: Rows scored together and of these the number compared exactly, for stated queries.
+STATED_ROWS, STATED_RERANKED = 2048, 192
+
+
+def encode(vectors, residuals, codebook, sweeps: int = 2):
+    """Codes of the anisotropic loss, by coordinate descent over the subspaces from the plain nearest codes."""
+    import numpy as np
+
+    n = len(vectors)
+    x, r = vectors.reshape(n, SUBSPACES, WIDTH), residuals.reshape(n, SUBSPACES, WIDTH)
+    norms = (codebook**2).sum(axis=2)
+    codes = np.empty((n, SUBSPACES), "int64")
+    for m in range(SUBSPACES):
+        codes[:, m] = (norms[m] - 2 * r[:, m] @ codebook[m].T).argmin(axis=1)
+    chosen = codebook[np.arange(SUBSPACES), codes]
+    along = ((r - chosen) * x).sum(axis=2)  # parallel error by subspace
+    total = along.sum(axis=1)
+    for _ in range(sweeps):
+        for m in range(SUBSPACES):
+            error = norms[m] - 2 * r[:, m] @ codebook[m].T
+            parallel = (r[:, m] * x[:, m]).sum(axis=1)[:, None] - x[:, m] @ codebook[m].T
+            rest = total - along[:, m]
+            best = (error + (ETA - 1) * (rest[:, None] + parallel) ** 2).argmin(axis=1)
+            codes[:, m] = best
+            along[:, m] = parallel[np.arange(n), best]
+            total = rest + along[:, m]
+    return codes.astype("uint8")
+
+
+def fit_codebook(vectors, residuals, rounds: int = 6, seed: int = 3):
+    """Codebook (SUBSPACES, CODES, WIDTH) of the anisotropic loss: codes, then the least squares of each codeword."""
+    import numpy as np
+
+    n = len(vectors)
+    rng = np.random.default_rng(seed)
+    x, r = vectors.reshape(n, SUBSPACES, WIDTH), residuals.reshape(n, SUBSPACES, WIDTH)
+    book = np.ascontiguousarray(r[rng.choice(n, CODES, replace=n < CODES)].transpose(1, 0, 2)).astype("float32")
+    for _ in range(rounds):
+        codes = encode(vectors, residuals, book, sweeps=1).astype("int64")
+        along = ((r - book[np.arange(SUBSPACES), codes]) * x).sum(axis=2)
+        total = along.sum(axis=1)
+        for m in range(SUBSPACES):
+            xm, rm, c = x[:, m], r[:, m], codes[:, m]
+            target = total - along[:, m] + (xm * rm).sum(axis=1)
+            left = np.zeros((CODES, WIDTH, WIDTH))
+            right = np.zeros((CODES, WIDTH))
+            count = np.bincount(c, minlength=CODES)
+            for i in range(WIDTH):
+                right[:, i] = np.bincount(c, rm[:, i] + (ETA - 1) * xm[:, i] * target, minlength=CODES)
+                for j in range(WIDTH):
+                    left[:, i, j] = np.bincount(c, (ETA - 1) * xm[:, i] * xm[:, j] + (i == j), minlength=CODES)
+            used = count > 0
+            left[~used] = np.eye(WIDTH)
+            solved = np.linalg.solve(left + 1e-6 * np.eye(WIDTH), right[:, :, None])[:, :, 0]
+            book[m][used] = solved[used].astype("float32")
+    return book
+
+
+def fit(points, rows: int):
+    """Model of an index: cell centres, the length of the residuals in each cell, and the codebook."""
+    import numpy as np
+
+    if not len(points):
+        points = np.eye(1, DIMENSIONS, dtype="float32")
+    centres = split_cells(points, max(8, math.ceil(len(points) * RESIDENTS / max(rows, 1))))
+    home = (points @ centres.T).argmax(axis=1)
+    residuals = points - centres[home]
+    squared = (residuals**2).sum(axis=1)
+    count = np.bincount(home, minlength=len(centres))
+    overall = max(float(np.sqrt(squared.mean())), 1e-3)
+    lengths = np.sqrt(np.bincount(home, squared, minlength=len(centres)) / np.maximum(count, 1))
+    lengths = np.where((count >= 4) & (lengths > 1e-3), lengths, overall).astype("float32")
+    return {"centres": centres, "lengths": lengths, "codebook": fit_codebook(points, residuals / lengths[home][:, None])}
+
+
+def table_scores(queries, codes, codebook):
+    """(rows, queries) scores in integers that rank the rows of one cell for each query."""
+    import numpy as np
+
+    n = len(queries)
+    tables = np.einsum("qmw,mkw->mkq", queries.reshape(n, SUBSPACES, WIDTH), codebook, optimize=True)
+    tables -= tables.min(axis=1, keepdims=True)
+    tables *= 2047.0 / np.maximum(tables.max(axis=(0, 1), keepdims=True), 1e-9)  # 32 entries of 11 bits fit 16 bits
+    tables = tables.astype("uint16")
+    scores = np.zeros((len(codes), n), "uint16")
+    for m in range(SUBSPACES):
+        scores += tables[m][codes[:, m]]
+    return scores
+
+
+def _scan_cell(model, k: int, least: float):
+    """Function for applyInArrow: the pairs (a, b, s) of a cell's visitors and their best residents."""
+
+    def scan(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, home = rows.column("id").to_numpy(), rows.column("home").to_numpy(zero_copy_only=False)
+        asks = rows.column("asks").to_numpy(zero_copy_only=False)
+        x, cell = as_rows(rows.column("v")), rows.column("cell")[0].as_py()
+        order = np.argsort(ids, kind="stable")  # lower ids first, whatever the order of arrival
+        ids, home, asks, x = ids[order], home[order], asks[order], x[order]
+        at = np.flatnonzero(home)
+        residents, names = x[at], ids[at]
+        values = model.value
+        out = ([], [], [])
+        if len(at):
+            codes = encode(residents, (residents - values["centres"][cell]) / values["lengths"][cell], values["codebook"])
+            kept = min(RERANKED, len(at))
+            askers = np.flatnonzero(asks)
+            for start in range(0, len(askers), QUERY_BLOCK):
+                block = askers[start : start + QUERY_BLOCK]
+                q = x[block]
+                if kept < len(at):
+                    scores = np.ascontiguousarray(table_scores(q, codes, values["codebook"]).T)
+                    some = np.argpartition(scores, len(at) - kept, axis=1)[:, len(at) - kept :]
+                    some.sort(axis=1)
+                else:
+                    some = np.broadcast_to(np.arange(kept), (len(q), kept))
+                exact = np.round(np.einsum("qd,qrd->qr", q, residents[some]).astype("float64"), 6)
+                exact[names[some] == ids[block][:, None]] = -9
+                best = np.argsort(-exact, axis=1, kind="stable")[:, : min(k, kept)]
+                value = np.take_along_axis(exact, best, axis=1)
+                row, place = np.nonzero(value >= max(least, -8))
+                out[0].append(ids[block][row])
+                out[1].append(names[some[row, best[row, place]]])
+                out[2].append(value[row, place])
+        a, b, s = (np.concatenate(o) if o else np.zeros(0) for o in out)
+        return pa.table({"a": pa.array(a.astype("int64")), "b": pa.array(b.astype("int64")), "s": pa.array(s.astype("float64"))})
+
+    return scan
+
+
+def neighbour_pairs(df: DataFrame, key: str, vector: str, k: int = 10, least: float = -2.0, probes: int = PROBES, margin: float = MARGIN) -> DataFrame:
+    """(a, b, s, place): for each indexed vector its ``k`` most similar ones of similarity ``least`` or more.
+
+    A pair that either side finds counts for both.
+    """
+    rows = df.count()
+    vectors = usable_vectors(df, key, vector)
+    model = df.sparkSession.sparkContext.broadcast(fit(sample(vectors, rows), rows))
+
+    def visit(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        centres = model.value["centres"]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points = as_rows(pa.chunked_array([batch.column(1)]))
+            row, cell, home = nearest_cells(points, centres, probes, margin)
+            took = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype("int32")), took.column(0), pa.array(home), pa.array(np.ones(len(row), bool)), took.column(1)], names=["cell", "id", "home", "asks", "v"])
+
+    visits = first_copies(vectors, k + 1).select("id", "v").mapInArrow(visit, "cell int, id bigint, home boolean, asks boolean, v array<float>")
+    pairs = visits.groupBy("cell").applyInArrow(_scan_cell(model, k, least), "a bigint, b bigint, s double")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")) if least <= -1 else _both_ways(pairs)
+    once = both.groupBy("a", "b").agg(F.max("s").alias("s"))
+    order = Window.partitionBy("a").orderBy(F.col("s").desc(), F.col("b").asc())
+    return once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Each pair in both directions, from one evaluation of ``pairs``."""
+    ways = F.array(F.struct("a", "b", "s"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
+    return pairs.select(F.inline(ways))
+
+
+def mutual_pairs(df: DataFrame, key: str, vector: str, least: float, k: int = 10) -> DataFrame:
+    """(a, b, s), a < b: each is among the ``k`` most similar of the other, with similarity ``least`` or more."""
+    listed = neighbour_pairs(df, key, vector, k, least)
+    ends = listed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s")
+    return ends.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("s")).filter("n = 2").drop("n")
+
+
+def stated_neighbours(df: DataFrame, key: str, vector: str, every: int = 20, k: int = 10) -> DataFrame:
+    """(id, neighbour_id, similarity, place) for the rows whose id ``every`` divides, against all rows.
+
+    The queries go out in blocks of STATED_BLOCK; each task scores its rows by table scans (centre part plus
+    residual codes), compares the best of each batch exactly and keeps ``k`` per query.
+    """
+    spark = df.sparkSession
+    rows = df.count()
+    vectors = usable_vectors(df, key, vector)
+    shared = spark.sparkContext.broadcast(fit(sample(vectors, rows), rows))
+    base = checkpointed(first_copies(vectors, k + 1).select("id", "v"))
+    asked = vectors.filter(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id"]).select("id", "v")
+    asked = checkpointed(asked.repartition(max(1, math.ceil(rows / every / STATED_BLOCK))).withColumn("block", F.spark_partition_id()))
+    blocks = [r.block for r in asked.select("block").distinct().collect()]
+    found = None
+    for number in sorted(blocks):
+        block = asked.filter(F.col("block") == number).select("id", "v").toArrow()
+        queries = spark.sparkContext.broadcast((block.column(0).to_numpy(), as_rows(block.column(1))))
+        part = base.mapInArrow(_scan_stated(shared, queries, k), "id bigint, neighbour_id bigint, similarity double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "id bigint, neighbour_id bigint, similarity double, place int")
+    order = Window.partitionBy("id").orderBy(F.col("similarity").desc(), F.col("neighbour_id").asc())
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
+def _scan_stated(model, queries, k: int):
+    def scan(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        values, (asking, asked) = model.value, queries.value
+        for batch in (b.slice(i, STATED_ROWS) for b in batches for i in range(0, b.num_rows, STATED_ROWS)):
+            names, points = batch.column(0).to_numpy(), as_rows(pa.chunked_array([batch.column(1)]))
+            order = np.argsort(names, kind="stable")
+            names, points = names[order], points[order]
+            home = (points @ values["centres"].T).argmax(axis=1)
+            length = values["lengths"][home]
+            codes = encode(points, (points - values["centres"][home]) / length[:, None], values["codebook"])
+            kept = min(STATED_RERANKED, len(names))
+            for start in range(0, len(asked), QUERY_BLOCK):
+                q, who = asked[start : start + QUERY_BLOCK], asking[start : start + QUERY_BLOCK]
+                tables = np.einsum("qmw,mkw->mkq", q.reshape(len(q), SUBSPACES, WIDTH), values["codebook"], optimize=True)
+                scores = np.zeros((len(names), len(q)), "float32")
+                for m in range(SUBSPACES):
+                    scores += tables[m][codes[:, m]]
+                scores *= length[:, None]
+                scores += (values["centres"] @ q.T)[home]
+                scores = np.ascontiguousarray(scores.T)
+                some = np.argpartition(scores, len(names) - kept, axis=1)[:, len(names) - kept :]
+                some.sort(axis=1)
+                exact = np.round(np.einsum("qd,qrd->qr", q, points[some]).astype("float64"), 6)
+                exact[names[some] == who[:, None]] = -9
+                best = np.argsort(-exact, axis=1, kind="stable")[:, : min(k, kept)]
+                value = np.take_along_axis(exact, best, axis=1)
+                row, place = np.nonzero(value > -8)
+                yield pa.RecordBatch.from_arrays([pa.array(who[row]), pa.array(names[some[row, best[row, place]]]), pa.array(value[row, place])], names=["id", "neighbour_id", "similarity"])
+
+    return scan
+
+
+TABLES = (("lens_lesion", "lens_id", "feature"), ("frozen_feature", "feat_id", "pooled"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [mutual_pairs(table(spark, sf_dir, t), key, v, 0.985).select(F.lit(t).alias("tbl"), F.col("a").alias("a_id"), F.col("b").alias("b_id")) for t, key, v in TABLES]
+    return parts[0].unionByName(parts[1])
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [stated_neighbours(table(spark, sf_dir, t), key, v).withColumn("tbl", F.lit(t)) for t, key, v in TABLES]
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours}
+assert FIT_ROWS * DIMENSIONS * 4 <= 16 << 20  # what is gathered to fit an index
