@@ -83,10 +83,11 @@ def label_hysteresis(spark, d):
     return O.hysteresis(e, "user_id", ["ts", "event_id"], "value", middle or 0.0).select("event_id", "visible")
 
 
-@query(f"WITH {_TIMES} SELECT user_id, list(event_type ORDER BY ts, event_id) AS trail FROM t GROUP BY user_id")
+@query(f"WITH {_TIMES} SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_id) AS trail FROM t GROUP BY user_id")
 def trail(spark, d):
     """Ordered values of each cell."""
-    return events(spark, d).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda s: s["event_type"]).alias("trail"))
+    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
+    return events(spark, d).groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda s: s["event_type"]), ">").alias("trail"))
 
 
 _N = "nodes AS (SELECT DISTINCT ON (node_id) node_id, bundle_id, idx, grid.z AS z, hits, umatrix, community, dead FROM sgp_node)"

@@ -8,13 +8,13 @@ from ..session import load
 from .registry import query
 
 
-@query("""SELECT lens_id, list_transform(list_slice(list_sort(list_transform(list_zip(probabilities, range(len(probabilities))), lambda z: (-z[1], z[2]))), 1, 3), lambda t: t[2]) AS top3
+@query("""SELECT lens_id, array_to_string(list_transform(list_slice(list_sort(list_transform(list_zip(probabilities, range(len(probabilities))), lambda z: (-z[1], z[2]))), 1, 3), lambda t: t[2]), ',') AS top3
 FROM (SELECT DISTINCT lens_id, probabilities FROM lens_lesion WHERE len(probabilities) > 0 AND len(list_filter(probabilities, lambda x: x IS NULL OR isnan(x))) = 0)""")
 def top_classes(spark, d):
     """Places of the three largest probabilities of each row, stable."""
     rows = load(spark, d, "lens_lesion").select("lens_id", "probabilities").filter(F.size("probabilities") > 0).distinct()
     rows = rows.filter(~F.exists("probabilities", lambda x: x.isNull() | F.isnan(x)))
-    return rows.select("lens_id", F.transform(V.top_k(F.col("probabilities"), 3), lambda s: s["i"].cast("bigint")).alias("top3"))
+    return rows.select("lens_id", F.array_join(F.transform(V.top_k(F.col("probabilities"), 3), lambda s: s["i"].cast("string")), ",").alias("top3"))
 
 
 @query("""WITH w AS (SELECT l_partkey AS dst, l_suppkey AS src, sum(l_quantity) AS w FROM lineitem GROUP BY ALL)
@@ -25,13 +25,13 @@ def edges_per_destination(spark, d):
     return top_positions(w.filter("dst IS NOT NULL"), "dst", [F.col("w").desc(), F.col("src").asc()], 3).select("dst", "src", "w")
 
 
-@query("""SELECT feature_id, list_transform(list_slice(list_sort(list_transform(list_filter(exemplars, lambda e: isfinite(e.activation) AND e.image_id IS NOT NULL AND e.token_idx IS NOT NULL), lambda e: (-e.activation, e.image_id, e.token_idx))), 1, 2), lambda t: t[2]) AS images
+@query("""SELECT feature_id, array_to_string(list_transform(list_slice(list_sort(list_transform(list_filter(exemplars, lambda e: isfinite(e.activation) AND e.image_id IS NOT NULL AND e.token_idx IS NOT NULL), lambda e: (-e.activation, e.image_id, e.token_idx))), 1, 2), lambda t: t[2]), ',') AS images
 FROM concept_feature WHERE exemplars IS NOT NULL""")
 def published_exemplars(spark, d):
     """Images of the two strongest published exemplars of each concept."""
     fine = F.filter("exemplars", lambda e: e["activation"].isNotNull() & ~F.isnan(e["activation"]) & (F.abs(e["activation"]) < float("inf")) & e["image_id"].isNotNull() & e["token_idx"].isNotNull())
     ranked = F.array_sort(F.transform(fine, lambda e: F.struct((-e["activation"]).alias("a"), e["image_id"].alias("i"), e["token_idx"].alias("t"))))
-    return load(spark, d, "concept_feature").filter("exemplars IS NOT NULL").select("feature_id", F.transform(F.slice(ranked, 1, 2), lambda e: e["i"]).alias("images"))
+    return load(spark, d, "concept_feature").filter("exemplars IS NOT NULL").select("feature_id", F.array_join(F.transform(F.slice(ranked, 1, 2), lambda e: e["i"]), ",").alias("images"))
 
 
 @query("""WITH v AS (SELECT run_id, prediction.confidence AS c FROM (SELECT DISTINCT ON (pack_id) * FROM pack_manifest) WHERE isfinite(prediction.confidence)),
