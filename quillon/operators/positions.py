@@ -81,17 +81,18 @@ def local_positions(df: DataFrame, group: str, order: list[Column], keep: int |
 def with_position(df: DataFrame, group: str, order: list[Column], name: str = "position", total: str | None = None) -> DataFrame:
     """Exact place of every row in its group by ``order``, from 1, for groups of any size; with ``total``, its size too.
 
-    The bookkeeping rows number one per partition, so they are the one side that is broadcast.
+    The offsets number at most two per partition, so they are the one side that is broadcast.
     """
     local = checkpointed(local_positions(df, group, order))
     rows = local.filter(F.col("_count").isNull()).drop("_count")
     counts = local.filter(F.col("_count").isNotNull()).select(F.col(group).alias("_g"), F.col("_pid").alias("_p"), "_count")
-    pids = local.select(F.col("_pid").alias("_q")).distinct()
-    offsets = (
-        counts.join(pids, F.col("_p") < F.col("_q"))
-        .groupBy("_g", "_q")
-        .agg(F.sum("_count").alias("_before"))
-    )
+    # a group goes on from the partition it ends in to the next one that is not empty, and no further
+    along = Window.partitionBy("_g").orderBy("_p")
+    counts = counts.withColumn("_next", F.lead("_p").over(Window.orderBy("_p"))).withColumn("_last", F.lead("_p").over(along).isNull())
+    counts = counts.withColumn("_upto", F.sum("_count").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    here = F.struct(F.col("_p").alias("_q"), (F.col("_upto") - F.col("_count")).alias("_before"))
+    after = F.struct(F.col("_next").alias("_q"), F.col("_upto").alias("_before"))
+    offsets = counts.select("_g", F.inline(F.filter(F.array(here, F.when(F.col("_last") & F.col("_next").isNotNull(), after)), lambda x: x.isNotNull())))
     joined = rows.join(F.broadcast(offsets), (F.col(group) == F.col("_g")) & (F.col("_pid") == F.col("_q")), "left")
     placed = joined.withColumn(name, F.col("_rank") + F.coalesce("_before", F.lit(0)))
     if total is None:
