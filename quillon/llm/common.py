@@ -1,35 +1,17 @@
-"""Helpers shared by the operators: reading, spreading, cutting lineage, exact positions."""
+"""Helpers shared by the operators: reading, spreading, one row per id."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by writing it to the folder named by ``spark.checkpoint.dir``.
+from ..operators.positions import checkpointed, cores, shuffle_width, top_positions, with_position
 
-    Where the session names none (tests, notebooks) a folder of this machine is set once.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-checkpoint-"))
-    return df.checkpoint(eager=True)
+__all__ = ["checkpointed", "cores", "finite", "once_per_id", "shuffle_width", "spread", "table", "top_positions", "with_position"]
 
 
-def cores(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, 2)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores(spark))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
@@ -47,84 +29,3 @@ def once_per_id(df: DataFrame, key: str) -> DataFrame:
 def finite(value: Column) -> Column:
     """True for a number that is not null, NaN or infinite; never null."""
     return F.coalesce(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.lit(False))
-
-
-def local_positions(df: DataFrame, group: str, order: list[Column], keep: int | None = None) -> DataFrame:
-    """Range-sort ``df`` by ``group`` and ``order`` over all partitions and number the rows inside each partition.
-
-    ``group`` must not be null.  Adds ``_pid`` and ``_rank`` (from 1 inside partition and group).  With ``keep``,
-    rows whose place in the partition is already beyond it are left out, as their place in the whole is no
-    better.  A group that ends in a partition cannot go on in a later one, so each partition adds a single row
-    of bookkeeping: the last group and its count there in ``_count`` (null for ordinary rows).
-    """
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(shuffle_width(spark), F.col(group), *order).sortWithinPartitions(F.col(group), *order)
-    at = df.columns.index(group)
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-    schema = schema.add("_pid", T.IntegerType()).add("_rank", T.LongType()).add("_count", T.LongType())
-
-    def number(batches):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        last, seen, proto = None, 0, None
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            proto = batch.schema
-            keys = batch.column(at)
-            starts = np.ones(n, dtype=bool)
-            starts[1:] = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            starts[0] = keys[0].as_py() != last
-            place = np.arange(n)
-            begin = np.maximum.accumulate(np.where(starts, place, -1))
-            rank = np.where(begin < 0, seen + place + 1, place - begin + 1)
-            last, seen = keys[n - 1].as_py(), int(rank[-1])
-            if keep is not None:
-                chosen = rank <= keep
-                batch, rank = batch.filter(pa.array(chosen)), rank[chosen]
-            n = batch.num_rows
-            if n:
-                extra = [pa.array(np.full(n, pid, dtype="int32")), pa.array(rank.astype("int64")), pa.nulls(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(batch.columns + extra, names=[*proto.names, "_pid", "_rank", "_count"])
-        if proto is not None:
-            row = [pa.array([last], f.type) if i == at else pa.nulls(1, f.type) for i, f in enumerate(proto)]
-            row += [pa.array([pid], pa.int32()), pa.nulls(1, pa.int64()), pa.array([seen], pa.int64())]
-            yield pa.RecordBatch.from_arrays(row, names=[*proto.names, "_pid", "_rank", "_count"])
-
-    return ranged.mapInArrow(number, schema)
-
-
-def with_position(df: DataFrame, group: str, order: list[Column], name: str = "position") -> DataFrame:
-    """Exact place of every row in its group by ``order``, from 1, for groups of any size.
-
-    The bookkeeping rows number one per partition, so they are the one side that is broadcast.
-    """
-    local = checkpointed(local_positions(df, group, order))
-    counts = local.filter(F.col("_count").isNotNull()).select(F.col(group).alias("_g"), F.col("_pid").alias("_p"), "_count")
-    rows = local.filter(F.col("_count").isNull()).drop("_count")
-    spans = F.broadcast(
-        counts.alias("a")
-        .join(counts.select(F.col("_g").alias("_h"), F.col("_p").alias("_q")), F.col("_g") == F.col("_h"))
-        .groupBy(F.col("_h"), F.col("_q"))
-        .agg(F.sum(F.when(F.col("_p") < F.col("_q"), F.col("_count")).otherwise(0)).alias("_before"), F.sum("_count").alias("_all"))
-    )
-    last = F.broadcast(counts.groupBy("_g").agg(F.sum("_count").alias("_total"), F.max("_p").alias("_end")))
-    placed = rows.join(spans, (F.col(group) == F.col("_h")) & (F.col("_pid") == F.col("_q")), "left").join(last, F.col(group) == F.col("_g"), "left")
-    offset = F.coalesce(F.col("_before"), F.when(F.col("_pid") > F.col("_end"), F.col("_total")), F.lit(0))
-    return placed.withColumn(name, F.col("_rank") + offset).select(*df.columns, name)
-
-
-def top_positions(df: DataFrame, group: str, order: list[Column], n: int, name: str = "position") -> DataFrame:
-    """Rows of the first ``n`` places of every group: local places plus prefix sums over the partitions.
-
-    After the local cut a group has at most ``n`` rows and one bookkeeping row per partition it spans.
-    """
-    local = local_positions(df, group, order, keep=n)
-    earlier = Window.partitionBy(group).orderBy("_pid").rangeBetween(Window.unboundedPreceding, -1)
-    placed = local.withColumn(name, F.col("_rank") + F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
-    return placed.filter(F.col("_count").isNull() & (F.col(name) <= n)).select(*df.columns, name)
