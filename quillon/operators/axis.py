@@ -24,7 +24,7 @@ def build(df: DataFrame, vector: str, positive: Column, dimensions: int, low: fl
     Only a few numbers per dimension reach the driver. Raises where a group is empty or the centroids coincide.
     """
     usable = df.filter(F.size(vector) == dimensions).withColumn("_positive", positive).filter(F.col("_positive").isNotNull())
-    means = {r["_positive"]: r for r in usable.groupBy("_positive").agg(*[F.avg(F.col(vector)[i].cast("double")).alias(f"d{i}") for i in range(dimensions)]).collect()}
+    means = {r["_positive"]: r for r in usable.groupBy("_positive").agg(*[F.avg(F.get(F.col(vector), F.lit(i)).cast("double")).alias(f"d{i}") for i in range(dimensions)]).collect()}
     if set(means) != {True, False}:
         raise ValueError("an axis needs rows of both groups")
     base = [means[False][f"d{i}"] for i in range(dimensions)]

@@ -126,5 +126,5 @@ def vote(neighbours: DataFrame, labels: DataFrame, key: str, label: str) -> Data
 
 def dimension_means(df: DataFrame, group: str, vector: str, dimensions: int) -> DataFrame:
     """(group, centre array<double>): the mean vector of each group, aggregated per dimension on the map side."""
-    sums = df.groupBy(group).agg(*[F.avg(F.col(vector)[i].cast("double")).alias(f"d{i}") for i in range(dimensions)])
+    sums = df.groupBy(group).agg(*[F.avg(F.get(F.col(vector), F.lit(i)).cast("double")).alias(f"d{i}") for i in range(dimensions)])
     return sums.select(group, F.array(*[f"d{i}" for i in range(dimensions)]).alias("centre"))

@@ -20,8 +20,8 @@ def average_rank(df: DataFrame, group: list[str], value: str, name: str) -> Data
 def spearman(df: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
     """(group, rho): Pearson correlation of the average ranks, 0 where one side does not vary."""
     both = average_rank(average_rank(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()), group, a, "_ra"), group, b, "_rb")
-    rho = F.corr("_ra", "_rb")
-    return both.groupBy(*group).agg(F.when(rho.isNull() | F.isnan(rho), F.lit(0.0)).otherwise(rho).alias("rho"))
+    spread = F.stddev_pop("_ra") * F.stddev_pop("_rb")
+    return both.groupBy(*group).agg(F.when(spread > 0, F.covar_pop("_ra", "_rb") / F.nullif(spread, F.lit(0.0))).otherwise(F.lit(0.0)).alias("rho"))
 
 
 def migration(df: DataFrame, cell: list[str], step: str, value: str) -> DataFrame:

@@ -9,37 +9,37 @@ from .registry import query
 
 
 @query(_KNN + """, votes AS (SELECT query, own, label, count(*) AS n FROM near GROUP BY ALL), pred AS (SELECT query, own, min_by(label, (-n, label)) AS predicted FROM votes GROUP BY query, own)
-SELECT count(*) AS n, round(avg((predicted = own)::INT), 6) AS accuracy FROM pred""")
+SELECT count(*) AS n, round(avg((predicted = own)::INT), 9) AS accuracy FROM pred""")
 def knn_accuracy(spark, d):
     """Share of the stated queries whose five nearest rows vote for their label."""
     from .joins import knn_vote
 
-    return knn_vote(spark, d).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("correct").cast("int")), 6).alias("accuracy"))
+    return knn_vote(spark, d).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("correct").cast("int")), 9).alias("accuracy"))
 
 
 @query(_BMU + """, two AS (SELECT vec_id, min(code) FILTER (place = 1) AS c1, min(code) FILTER (place = 2) AS c2, min(d2) FILTER (place = 1) AS d2 FROM bmu GROUP BY vec_id),
 g AS (SELECT *, c1 // 6 AS z1, c1 // 3 % 2 AS y1, c1 % 3 AS x1, c2 // 6 AS z2, c2 // 3 % 2 AS y2, c2 % 3 AS x2 FROM two)
-SELECT round(avg(sqrt(d2)), 6) AS quantization_error, round(avg(((z1 - z2) * (z1 - z2) + (y1 - y2) * (y1 - y2) + (x1 - x2) * (x1 - x2) > 3)::INT), 6) AS topographic_error, round(1 - count(DISTINCT c1) / 12, 6) AS dead_fraction FROM g""")
+SELECT round(avg(sqrt(d2)), 9) AS quantization_error, round(avg(((z1 - z2) * (z1 - z2) + (y1 - y2) * (y1 - y2) + (x1 - x2) * (x1 - x2) > 3)::INT), 9) AS topographic_error, round(1 - count(DISTINCT c1) / 12, 9) AS dead_fraction FROM g""")
 def som_quality(spark, d):
     """Quantization and topographic error and dead share on a lattice of 2 x 2 x 3 units."""
     two = dense.nearest(load(spark, d, "embeddings"), "vec_id", "embedding", codebook(spark, d), "code", "centre", k=2)
     c = F.col("code")
     units = spark.range(12).toDF("code").select("code", F.floor(c / 6).alias("z"), (F.floor(c / 3) % 2).alias("y"), (c % 3).alias("x"))
     q = quality.som_quality(two, units)
-    return q.select(*[F.round(n, 6).alias(n) for n in q.columns])
+    return q.select(*[F.round(n, 9).alias(n) for n in q.columns])
 
 
 @query("""WITH s AS (SELECT vec_id, embedding AS e FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 400), n AS (SELECT count(*) AS n FROM s),
 d AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2]))), 9) AS h,
  round(power(a.e[1]::DOUBLE - b.e[1], 2) + power(a.e[2]::DOUBLE - b.e[2], 2), 9) AS l FROM s a JOIN s b ON a.vec_id <> b.vec_id),
 r AS (SELECT row_number() OVER (PARTITION BY i ORDER BY h, j) AS rh, row_number() OVER (PARTITION BY i ORDER BY l, j) AS rl FROM d)
-SELECT any_value(n) AS n, round(1 - 2.0 / (any_value(n) * 7 * (2 * any_value(n) - 22)) * coalesce(sum(rh - 7) FILTER (rl <= 7 AND rh > 7), 0), 6) AS trustworthiness,
- round(1 - 2.0 / (any_value(n) * 7 * (2 * any_value(n) - 22)) * coalesce(sum(rl - 7) FILTER (rh <= 7 AND rl > 7), 0), 6) AS continuity FROM r, n""")
+SELECT any_value(n) AS n, round(1 - 2.0 / (any_value(n) * 7 * (2 * any_value(n) - 22)) * coalesce(sum(rh - 7) FILTER (rl <= 7 AND rh > 7), 0), 9) AS trustworthiness,
+ round(1 - 2.0 / (any_value(n) * 7 * (2 * any_value(n) - 22)) * coalesce(sum(rl - 7) FILTER (rh <= 7 AND rl > 7), 0), 9) AS continuity FROM r, n""")
 def manifold_quality(spark, d):
     """Trustworthiness and continuity of the first two dimensions against all."""
     rows = load(spark, d, "embeddings").select("vec_id", "embedding", F.slice("embedding", 1, 2).alias("low"))
     q = quality.trustworthiness(rows, "vec_id", "embedding", "low")
-    return q.select("n", F.round("trustworthiness", 6).alias("trustworthiness"), F.round("continuity", 6).alias("continuity"))
+    return q.select("n", F.round("trustworthiness", 9).alias("trustworthiness"), F.round("continuity", 9).alias("continuity"))
 
 
 @query()
@@ -85,16 +85,16 @@ def linear_probe(spark, d):
     rows = hashed(_vectors(spark, d), F.col("vec_id"), 0.8, 0.1, 1)
     model = LogisticRegression(maxIter=20, regParam=0.01).fit(rows.filter("split = 'train'"))
     said = model.transform(rows.filter("split <> 'train'"))
-    return said.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("int")), 6).alias("recall"))
+    return said.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("int")), 9).alias("recall"))
 
 
 @query("""WITH p AS (SELECT DISTINCT ON (pack_id) model.arch AS arch, dataset_id, faithfulness.deletion_auc.chefer AS a FROM pack_manifest)
-SELECT arch, round(avg(a) FILTER (dataset_id = 'ds01'), 6) AS ds01, round(avg(a) FILTER (dataset_id = 'ds02'), 6) AS ds02, round(avg(a) FILTER (dataset_id = 'ds03'), 6) AS ds03 FROM p WHERE isfinite(a) AND a BETWEEN 0 AND 1 AND arch IS NOT NULL GROUP BY arch""")
+SELECT arch, round(avg(a) FILTER (dataset_id = 'ds01'), 9) AS ds01, round(avg(a) FILTER (dataset_id = 'ds02'), 9) AS ds02, round(avg(a) FILTER (dataset_id = 'ds03'), 9) AS ds03 FROM p WHERE isfinite(a) AND a BETWEEN 0 AND 1 AND arch IS NOT NULL GROUP BY arch""")
 def ablation_table(spark, d):
     """Variants by dataset, as a pivot of the long metrics."""
     p = load(spark, d, "pack_manifest").select("pack_id", F.col("model.arch").alias("arch"), "dataset_id", F.col("faithfulness.deletion_auc.chefer").alias("a")).dropDuplicates(["pack_id"])
     p = p.filter("arch IS NOT NULL AND NOT isnan(a) AND a BETWEEN 0 AND 1")
-    return p.groupBy("arch").pivot("dataset_id", ["ds01", "ds02", "ds03"]).agg(F.round(F.avg("a"), 6))
+    return p.groupBy("arch").pivot("dataset_id", ["ds01", "ds02", "ds03"]).agg(F.round(F.avg("a"), 9))
 
 
 @query("""WITH p AS (SELECT DISTINCT ON (pack_id) * FROM pack_manifest), m AS (SELECT count(*) AS n, avg(prediction.confidence) FILTER (prediction.confidence BETWEEN 0 AND 1) AS c, avg(faithfulness.deletion_auc.chefer) FILTER (faithfulness.deletion_auc.chefer BETWEEN 0 AND 1) AS a, avg(timings.predict_ms) FILTER (timings.predict_ms > 0 AND isfinite(timings.predict_ms)) AS t FROM p)

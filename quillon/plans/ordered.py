@@ -32,10 +32,10 @@ _RANKS = f"""WITH {_PACKS}, ok AS (SELECT * FROM packs WHERE isfinite(a) AND isf
  s AS (SELECT run_id, count(*) AS n, avg(ra) AS ma, avg(rb) AS mb, sum(ra * rb) AS sab, sum(ra * ra) AS saa, sum(rb * rb) AS sbb FROM r GROUP BY run_id)"""
 
 
-@query(_RANKS + """ SELECT run_id, round(CASE WHEN saa - n * ma * ma <= 1e-9 OR sbb - n * mb * mb <= 1e-9 THEN 0 ELSE (sab - n * ma * mb) / sqrt((saa - n * ma * ma) * (sbb - n * mb * mb)) END, 6) AS rho FROM s""")
+@query(_RANKS + """ SELECT run_id, round(CASE WHEN saa - n * ma * ma <= 1e-9 OR sbb - n * mb * mb <= 1e-9 THEN 0 ELSE (sab - n * ma * mb) / sqrt((saa - n * ma * ma) * (sbb - n * mb * mb)) END, 9) AS rho FROM s""")
 def method_agreement(spark, d):
     """Spearman correlation of two attribution methods by run."""
-    return O.spearman(packs(spark, d).filter(finite("a") & finite("b")), ["run_id"], "a", "b").select("run_id", F.round("rho", 6).alias("rho"))
+    return O.spearman(packs(spark, d).filter(finite("a") & finite("b")), ["run_id"], "a", "b").select("run_id", F.round("rho", 9).alias("rho"))
 
 
 _TIMES = "t AS (SELECT DISTINCT ON (event_id) event_id, user_id, ts, event_type, value FROM events)"
@@ -46,24 +46,24 @@ def events(spark, d):
 
 
 @query(f"""WITH {_TIMES}, p AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM t)
-SELECT step, round(avg((event_type <> before)::INT), 6) AS rate FROM p WHERE before IS NOT NULL GROUP BY step""")
+SELECT step, round(avg((event_type <> before)::INT), 9) AS rate FROM p WHERE before IS NOT NULL GROUP BY step""")
 def migration_curve(spark, d):
     """Share of cells that change between consecutive steps."""
     e = with_position(events(spark, d).filter("user_id IS NOT NULL"), "user_id", [F.col("ts").asc(), F.col("event_id").asc()], "step")
-    return O.migration(e, ["user_id"], "step", "event_type").select("step", F.round("rate", 6).alias("rate"))
+    return O.migration(e, ["user_id"], "step", "event_type").select("step", F.round("rate", 9).alias("rate"))
 
 
 @query(f"""WITH {_TIMES}, p AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS back FROM t)
-SELECT user_id, round(sum(0.2 * power(0.8, back) * value), 6) AS ema FROM p GROUP BY user_id""")
+SELECT user_id, round(sum(0.2 * power(0.8, back) * value), 9) AS ema FROM p GROUP BY user_id""")
 def last_ema(spark, d):
     """Exponential average of each timeline after its last value, from zero."""
     e = with_position(events(spark, d).filter("user_id IS NOT NULL"), "user_id", [F.col("ts").asc(), F.col("event_id").asc()], "place", "total")
-    return O.last_ema(e, "user_id", "value", "place", "total", 0.2).select("user_id", F.round("ema", 6).alias("ema"))
+    return O.last_ema(e, "user_id", "value", "place", "total", 0.2).select("user_id", F.round("ema", 9).alias("ema"))
 
 
 @query(f"""WITH {_TIMES}, e AS (SELECT user_id, max(ts) AS last FROM t GROUP BY user_id), p AS (SELECT t.user_id, value, epoch(last) - epoch(ts) AS back,
  epoch(ts) - epoch(lag(ts) OVER (PARTITION BY t.user_id ORDER BY ts, event_id)) AS dt FROM t JOIN e USING (user_id))
-SELECT user_id, round(sum((CASE WHEN dt IS NULL THEN 1 ELSE 1 - exp(-dt / 86400.0) END) * exp(-back / 86400.0) * value), 6) AS ema FROM p GROUP BY user_id""")
+SELECT user_id, round(sum((CASE WHEN dt IS NULL THEN 1 ELSE 1 - exp(-dt / 86400.0) END) * exp(-back / 86400.0) * value), 9) AS ema FROM p GROUP BY user_id""")
 def time_aware_ema(spark, d):
     """Exponential average that weighs by elapsed time: 1 - exp(-dt / tau) at each step, the first value taken whole."""
     e = events(spark, d).withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
@@ -71,7 +71,7 @@ def time_aware_ema(spark, d):
     dt = F.col("s") - F.lag("s").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     alpha = F.when(dt.isNull(), F.lit(1.0)).otherwise(1 - F.exp(-dt / 86400.0))
     placed = e.withColumn("alpha", alpha).join(last, "user_id")
-    return placed.groupBy("user_id").agg(F.round(F.sum(F.col("alpha") * F.exp(-(F.col("last") - F.col("s")) / 86400.0) * F.col("value")), 6).alias("ema"))
+    return placed.groupBy("user_id").agg(F.round(F.sum(F.col("alpha") * F.exp(-(F.col("last") - F.col("s")) / 86400.0) * F.col("value")), 9).alias("ema"))
 
 
 @query(f"""WITH {_TIMES}, m AS (SELECT median(value) AS m FROM t), s AS (SELECT event_id, user_id, ts, CASE WHEN value > m + 0.06 THEN true WHEN value <= m - 0.06 THEN false END AS d FROM t, m)
@@ -97,21 +97,21 @@ def nodes(spark, d):
     return load(spark, d, "sgp_node").select("node_id", "bundle_id", "idx", F.col("grid.z").alias("z"), "hits", "umatrix", "community", "dead").dropDuplicates(["node_id"])
 
 
-@query(f"WITH {_N} SELECT bundle_id, z, idx, round(CASE WHEN sum(hits) OVER (PARTITION BY bundle_id, z) > 0 THEN hits / sum(hits) OVER (PARTITION BY bundle_id, z) ELSE 0 END, 6) AS share FROM nodes")
+@query(f"WITH {_N} SELECT bundle_id, z, idx, round(CASE WHEN sum(hits) OVER (PARTITION BY bundle_id, z) > 0 THEN hits / sum(hits) OVER (PARTITION BY bundle_id, z) ELSE 0 END, 9) AS share FROM nodes")
 def depth_histogram(spark, d):
     """Share of each node in the hits of its depth."""
     n = nodes(spark, d)
     total = n.groupBy("bundle_id", "z").agg(F.sum("hits").alias("all"))
-    return n.join(total, ["bundle_id", "z"]).select("bundle_id", "z", "idx", F.round(F.when(F.col("all") > 0, F.col("hits") / F.col("all")).otherwise(0.0), 6).alias("share"))
+    return n.join(total, ["bundle_id", "z"]).select("bundle_id", "z", "idx", F.round(F.when(F.col("all") > 0, F.col("hits") / F.col("all")).otherwise(0.0), 9).alias("share"))
 
 
 @query(f"""WITH {_N}, h AS (SELECT bundle_id, z, avg(hits) AS v FROM nodes GROUP BY ALL)
-SELECT a.bundle_id, a.z, round(a.v * (1 - 0.25) + coalesce(b.v, a.v) * 0.25, 6) AS v FROM h a LEFT JOIN h b ON a.bundle_id = b.bundle_id AND b.z = a.z + 1""")
+SELECT a.bundle_id, a.z, round(a.v * (1 - 0.25) + coalesce(b.v, a.v) * 0.25, 9) AS v FROM h a LEFT JOIN h b ON a.bundle_id = b.bundle_id AND b.z = a.z + 1""")
 def depth_interpolated(spark, d):
     """Mean hits a quarter of a step beyond each depth; the last depth stays."""
     h = nodes(spark, d).groupBy("bundle_id", "z").agg(F.avg("hits").alias("v"))
     after = h.select("bundle_id", (F.col("z") - 1).alias("z"), F.col("v").alias("w"))
-    return h.join(after, ["bundle_id", "z"], "left").select("bundle_id", "z", F.round(F.col("v") * 0.75 + F.coalesce("w", "v") * 0.25, 6).alias("v"))
+    return h.join(after, ["bundle_id", "z"], "left").select("bundle_id", "z", F.round(F.col("v") * 0.75 + F.coalesce("w", "v") * 0.25, 9).alias("v"))
 
 
 @query(f"""WITH {_N}, f AS (SELECT bundle_id, community, min(idx) AS first FROM nodes WHERE community IS NOT NULL GROUP BY ALL)
@@ -122,11 +122,11 @@ def canonical_labels(spark, d):
 
 
 @query(f"""WITH {_N}, b AS (SELECT bundle_id, min(umatrix) AS lo, max(umatrix) AS hi FROM nodes GROUP BY ALL)
-SELECT node_id, round(CASE WHEN hi > lo THEN (umatrix - lo) / (hi - lo) ELSE 0 END, 6) AS strength FROM nodes JOIN b USING (bundle_id) WHERE umatrix IS NOT NULL""")
+SELECT node_id, round(CASE WHEN hi > lo THEN (umatrix - lo) / (hi - lo) ELSE 0 END, 9) AS strength FROM nodes JOIN b USING (bundle_id) WHERE umatrix IS NOT NULL""")
 def boundary_strength(spark, d):
     n = nodes(spark, d)
     bounds = n.groupBy("bundle_id").agg(F.min("umatrix").alias("lo"), F.max("umatrix").alias("hi"))
-    return n.filter("umatrix IS NOT NULL").join(bounds, "bundle_id").select("node_id", F.round(V.unit_range(F.col("umatrix"), F.col("lo"), F.col("hi")), 6).alias("strength"))
+    return n.filter("umatrix IS NOT NULL").join(bounds, "bundle_id").select("node_id", F.round(V.unit_range(F.col("umatrix"), F.col("lo"), F.col("hi")), 9).alias("strength"))
 
 
 @query(f"""WITH {_N}, h AS (SELECT bundle_id, z, avg(umatrix) AS v FROM nodes WHERE isfinite(umatrix) GROUP BY ALL), s AS (SELECT bundle_id, v - lag(v) OVER (PARTITION BY bundle_id ORDER BY z) AS d FROM h)
@@ -136,19 +136,19 @@ def monotone_verdict(spark, d):
     return O.not_rising(h, "bundle_id", "z", "v")
 
 
-@query("""SELECT feature_id, round((list_sum(firing_rates)::DOUBLE - (firing_rates[1]::DOUBLE + firing_rates[-1]::DOUBLE) / 2) / (len(firing_rates) - 1), 5) AS area FROM concept_feature WHERE len(firing_rates) >= 2""")
+@query("""SELECT feature_id, round((list_sum(firing_rates)::DOUBLE - (firing_rates[1]::DOUBLE + firing_rates[-1]::DOUBLE) / 2) / (len(firing_rates) - 1), 9) AS area FROM concept_feature WHERE len(firing_rates) >= 2""")
 def curve_area(spark, d):
     """Trapezoid area under an evenly spaced curve."""
-    return load(spark, d, "concept_feature").filter(F.size("firing_rates") >= 2).select("feature_id", F.round(V.trapezoid(F.col("firing_rates")), 5).alias("area"))
+    return load(spark, d, "concept_feature").filter(F.size("firing_rates") >= 2).select("feature_id", F.round(V.trapezoid(F.col("firing_rates")), 9).alias("area"))
 
 
 @query(f"""WITH {_PACKS}, v AS (SELECT pack_id, CASE WHEN isfinite(c) THEN greatest(0, least(12, c * 12)) END AS t FROM packs)
 SELECT pack_id, CASE WHEN t < 2 THEN 0 WHEN t < 5 THEN 1 WHEN t < 9 THEN 2 ELSE 3 END AS stage,
- round(1.25 * (0.35 + 0.65 * sin(pi() * CASE WHEN t < 2 THEN t / 2 WHEN t < 5 THEN (t - 2) / 3 WHEN t < 9 THEN (t - 5) / 4 ELSE (t - 9) / 3 END)), 6) AS velocity FROM v WHERE t IS NOT NULL""")
+ round(1.25 * (0.35 + 0.65 * sin(pi() * CASE WHEN t < 2 THEN t / 2 WHEN t < 5 THEN (t - 2) / 3 WHEN t < 9 THEN (t - 5) / 4 ELSE (t - 9) / 3 END)), 9) AS velocity FROM v WHERE t IS NOT NULL""")
 def stage_velocity(spark, d):
     """Stage of a position on a timeline and the half-sine rate within it."""
     t = F.greatest(F.lit(0.0), F.least(F.lit(12.0), F.col("c") * 12))
     v = packs(spark, d).filter(finite("c")).select("pack_id", t.alias("t"))
     stage = F.when(F.col("t") < 2, 0).when(F.col("t") < 5, 1).when(F.col("t") < 9, 2).otherwise(3)
     inside = F.when(F.col("t") < 2, F.col("t") / 2).when(F.col("t") < 5, (F.col("t") - 2) / 3).when(F.col("t") < 9, (F.col("t") - 5) / 4).otherwise((F.col("t") - 9) / 3)
-    return v.select("pack_id", stage.alias("stage"), F.round(1.25 * (0.35 + 0.65 * F.sin(F.lit(3.141592653589793) * inside)), 6).alias("velocity"))
+    return v.select("pack_id", stage.alias("stage"), F.round(1.25 * (0.35 + 0.65 * F.sin(F.lit(3.141592653589793) * inside)), 9).alias("velocity"))

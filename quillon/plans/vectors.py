@@ -23,7 +23,7 @@ SELECT vec_id, round(sum(abs((x - m) / (sd + 1e-6))), 5) AS spread FROM l JOIN s
 def standardized(spark, d):
     """Z-scores by the sample deviation of each dimension; the row's total size of them."""
     rows = load(spark, d, "embeddings")
-    stats = rows.agg(*[F.avg(F.col("embedding")[i].cast("double")).alias(f"m{i}") for i in range(64)], *[F.stddev_samp(F.col("embedding")[i].cast("double")).alias(f"s{i}") for i in range(64)])
+    stats = rows.agg(*[F.avg(F.get(F.col("embedding"), F.lit(i)).cast("double")).alias(f"m{i}") for i in range(64)], *[F.stddev_samp(F.get(F.col("embedding"), F.lit(i)).cast("double")).alias(f"s{i}") for i in range(64)])
     one = stats.select(F.array(*[f"m{i}" for i in range(64)]).alias("m"), F.array(*[f"s{i}" for i in range(64)]).alias("s"))
     z = F.zip_with(F.zip_with("embedding", "m", lambda x, m: x.cast("double") - m), "s", lambda x, s: F.abs(x / (s + 1e-6)))
     return rows.join(F.broadcast(one)).select("vec_id", F.round(V.total(z), 5).alias("spread"))
