@@ -42,8 +42,9 @@ def _with_config(rows: DataFrame, config: DataFrame) -> DataFrame:
     if len(named.take(SMALL_DIMENSION + 1)) <= SMALL_DIMENSION:
         named = F.broadcast(named)
     texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
-    both = rows.join(named, "dataset_id", "left")
-    pick = lambda which: F.coalesce(*[F.when(F.col(which) == c, F.col(c)) for c in texts])
+    own = rows.select("row_id", "dataset_id", "image_id", *[F.col(f"`{c}`").alias(f"text:{c}") for c in texts])
+    both = own.join(named, "dataset_id", "left")
+    pick = lambda which: F.coalesce(F.lit(None).cast("string"), *[F.when(F.col(which) == c, F.col(f"`text:{c}`")) for c in texts])
     return both.select("row_id", "dataset_id", comparable(F.col("image_id")).alias("ik"), comparable(pick("_gc")).alias("gk"), F.coalesce(comparable(pick("_lc")), F.lit("")).alias("label"), "_splits")
 
 
