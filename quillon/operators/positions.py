@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,12 +13,20 @@ from pyspark.sql import types as T
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by writing it to the folder named by ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, notebooks) a folder of this machine is set once.
+    Where the session names none (tests, notebooks) a folder of this machine is set once.  The result is read as
+    a plain table of rows: a checkpoint would keep the size estimate of the plan it came from, and as joins
+    multiply estimates, these would double their digits with every round of an iterative job.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-checkpoint-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    try:
+        rows = kept._jdf.queryExecution().toRdd()
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
+    except (AttributeError, TypeError, Py4JError):  # no classic session behind this one
+        return kept
 
 
 def cores(spark: SparkSession) -> int:
