@@ -162,12 +162,12 @@ def distinct_counts(spark, d):
     return load(spark, d, "pack_manifest").groupBy("run_id").agg(F.countDistinct("image.id").alias("n_images"), F.countDistinct("dataset_id").alias("n_datasets"))
 
 
-@query("""SELECT bundle_id, round(coalesce(avg(umatrix) FILTER (NOT dead), 0), 9) AS mean_live, min(umatrix) AS low, max(umatrix) AS high
+@query("""SELECT bundle_id, round(coalesce(avg(umatrix) FILTER (NOT dead), 0), 12) AS mean_live, min(umatrix) AS low, max(umatrix) AS high
 FROM (SELECT DISTINCT ON (node_id) * FROM sgp_node) GROUP BY bundle_id""")
 def bounds_and_means(spark, d):
     """Extrema, and the mean over the living members with 0 for none."""
     nodes = load(spark, d, "sgp_node").dropDuplicates(["node_id"])
-    return nodes.groupBy("bundle_id").agg(F.round(F.coalesce(F.avg(F.when(~F.col("dead"), F.col("umatrix"))), F.lit(0.0)), 9).alias("mean_live"), F.min("umatrix").alias("low"), F.max("umatrix").alias("high"))
+    return nodes.groupBy("bundle_id").agg(F.round(F.coalesce(F.avg(F.when(~F.col("dead"), F.col("umatrix"))), F.lit(0.0)), 12).alias("mean_live"), F.min("umatrix").alias("low"), F.max("umatrix").alias("high"))
 
 
 @query("""SELECT prediction.label AS label, round(avg((prediction.confidence > 0.5)::INT), 9) AS recall, count(*) AS n FROM (SELECT DISTINCT ON (pack_id) * FROM pack_manifest) WHERE isfinite(prediction.confidence) GROUP BY ALL""")

@@ -89,12 +89,12 @@ def linear_probe(spark, d):
 
 
 @query("""WITH p AS (SELECT DISTINCT ON (pack_id) model.arch AS arch, dataset_id, faithfulness.deletion_auc.chefer AS a FROM pack_manifest)
-SELECT arch, round(avg(a) FILTER (dataset_id = 'ds01'), 9) AS ds01, round(avg(a) FILTER (dataset_id = 'ds02'), 9) AS ds02, round(avg(a) FILTER (dataset_id = 'ds03'), 9) AS ds03 FROM p WHERE isfinite(a) AND a BETWEEN 0 AND 1 AND arch IS NOT NULL GROUP BY arch""")
+SELECT arch, round(avg(a) FILTER (dataset_id = 'ds01'), 12) AS ds01, round(avg(a) FILTER (dataset_id = 'ds02'), 12) AS ds02, round(avg(a) FILTER (dataset_id = 'ds03'), 12) AS ds03 FROM p WHERE isfinite(a) AND a BETWEEN 0 AND 1 AND arch IS NOT NULL GROUP BY arch""")
 def ablation_table(spark, d):
     """Variants by dataset, as a pivot of the long metrics."""
     p = load(spark, d, "pack_manifest").select("pack_id", F.col("model.arch").alias("arch"), "dataset_id", F.col("faithfulness.deletion_auc.chefer").alias("a")).dropDuplicates(["pack_id"])
     p = p.filter("arch IS NOT NULL AND NOT isnan(a) AND a BETWEEN 0 AND 1")
-    return p.groupBy("arch").pivot("dataset_id", ["ds01", "ds02", "ds03"]).agg(F.round(F.avg("a"), 9))
+    return p.groupBy("arch").pivot("dataset_id", ["ds01", "ds02", "ds03"]).agg(F.round(F.avg("a"), 12))
 
 
 @query("""WITH p AS (SELECT DISTINCT ON (pack_id) * FROM pack_manifest), m AS (SELECT count(*) AS n, avg(prediction.confidence) FILTER (prediction.confidence BETWEEN 0 AND 1) AS c, avg(faithfulness.deletion_auc.chefer) FILTER (faithfulness.deletion_auc.chefer BETWEEN 0 AND 1) AS a, avg(timings.predict_ms) FILTER (timings.predict_ms > 0 AND isfinite(timings.predict_ms)) AS t FROM p)
