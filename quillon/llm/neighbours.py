@@ -32,7 +32,7 @@ WIDTH = DIMENSIONS // SUBSPACES
 THRESHOLD = 0.8
 ETA = (DIMENSIONS - 1) * THRESHOLD**2 / (1 - THRESHOLD**2)
 RESIDENTS = 1000
-PROBES, MARGIN = 4, 0.05
+PROBES, MARGIN = 6, 0.06
 RERANKED = 48
 QUERY_BLOCK = 256
 #: Queries that are broadcast at once when a stated set is compared with all rows.
