@@ -24,10 +24,15 @@ def spearman(df: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
     return both.groupBy(*group).agg(F.when(spread > 0, F.covar_pop("_ra", "_rb") / F.nullif(spread, F.lit(0.0))).otherwise(F.lit(0.0)).alias("rho"))
 
 
-def migration(df: DataFrame, cell: list[str], step: str, value: str) -> DataFrame:
+def with_previous(placed: DataFrame, key: list[str], place: str, value: str, name: str = "_previous") -> DataFrame:
+    """Adds the value at the place before, null for the first: an equi-join on key and place, so no key is one task's."""
+    before = placed.select(*key, (F.col(place) + 1).alias(place), F.col(value).alias(name))
+    return placed.join(before, [*key, place], "left")
+
+
+def migration(placed: DataFrame, cell: list[str], step: str, value: str) -> DataFrame:
     """(step, rate): share of cells whose value differs from that of the step before."""
-    previous = F.lag(value).over(Window.partitionBy(*cell).orderBy(step))
-    moved = df.withColumn("_previous", previous).filter(F.col("_previous").isNotNull())
+    moved = with_previous(placed, cell, step, value).filter(F.col("_previous").isNotNull())
     return moved.groupBy(step).agg(F.avg((F.col(value) != F.col("_previous")).cast("int")).alias("rate"))
 
 
@@ -44,7 +49,8 @@ def last_ema(placed: DataFrame, key: str, value: str, place: str, total: str, al
 def hysteresis(df: DataFrame, key: str, order: list[str], value: str, threshold: float, margin: float = 0.06) -> DataFrame:
     """Adds ``visible``: on above threshold + margin, off at or below threshold - margin, else as before (at first off).
 
-    The state is that of the last decisive value, so the fold is one running window without state of its own.
+    The state is that of the last decisive value, so the fold is one running window that holds a single row; the
+    rows of a key are sorted by one task, which spills, so keys are expected to be many.
     """
     decisive = F.when(F.col(value) > threshold + margin, True).when(F.col(value) <= threshold - margin, False)
     running = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

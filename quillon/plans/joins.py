@@ -34,11 +34,11 @@ def prioritized_source(spark, d):
 _EX = "SELECT feature_id, unnest(exemplars, recursive := true) FROM concept_feature"
 
 
-@query(f"""WITH e AS ({_EX}) SELECT token_idx, array_to_string(list_sort(list(DISTINCT feature_id)), ',') AS features, count(DISTINCT feature_id) AS n FROM e WHERE token_idx IS NOT NULL GROUP BY token_idx""")
+@query(f"""WITH e AS ({_EX}) SELECT DISTINCT token_idx, feature_id FROM e WHERE token_idx IS NOT NULL""")
 def inverted_index(spark, d):
-    """Token to the sorted concepts that fire on it."""
+    """Token to the concepts that fire on it, as postings of one row each: lists would grow with the concepts."""
     e = load(spark, d, "concept_feature").select("feature_id", F.explode("exemplars").alias("e")).filter("e.token_idx IS NOT NULL")
-    return e.select("feature_id", "e.token_idx").distinct().groupBy("token_idx").agg(F.array_join(F.array_sort(F.collect_list("feature_id")).cast("array<string>"), ",").alias("features"), F.count(F.lit(1)).alias("n"))
+    return e.select("e.token_idx", "feature_id").distinct()
 
 
 @query(f"""WITH e AS (SELECT DISTINCT feature_id, image_id, token_idx FROM ({_EX}) WHERE token_idx IS NOT NULL AND image_id IS NOT NULL)

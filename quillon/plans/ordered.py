@@ -1,6 +1,5 @@
 """Ordered and running operators."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -66,11 +65,12 @@ def last_ema(spark, d):
 SELECT user_id, round(sum((CASE WHEN dt IS NULL THEN 1 ELSE 1 - exp(-dt / 86400.0) END) * exp(-back / 86400.0) * value), 9) AS ema FROM p GROUP BY user_id""")
 def time_aware_ema(spark, d):
     """Exponential average that weighs by elapsed time: 1 - exp(-dt / tau) at each step, the first value taken whole."""
-    e = events(spark, d).withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    e = events(spark, d).filter("user_id IS NOT NULL").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     last = e.groupBy("user_id").agg(F.max("s").alias("last"))
-    dt = F.col("s") - F.lag("s").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = with_position(e, "user_id", [F.col("ts").asc(), F.col("event_id").asc()], "step")
+    dt = F.col("s") - F.col("_previous")
     alpha = F.when(dt.isNull(), F.lit(1.0)).otherwise(1 - F.exp(-dt / 86400.0))
-    placed = e.withColumn("alpha", alpha).join(last, "user_id")
+    placed = O.with_previous(e, ["user_id"], "step", "s").withColumn("alpha", alpha).join(last, "user_id")
     return placed.groupBy("user_id").agg(F.round(F.sum(F.col("alpha") * F.exp(-(F.col("last") - F.col("s")) / 86400.0) * F.col("value")), 9).alias("ema"))
 
 
@@ -83,13 +83,6 @@ def label_hysteresis(spark, d):
     return O.hysteresis(e, "user_id", ["ts", "event_id"], "value", middle or 0.0).select("event_id", "visible")
 
 
-@query(f"WITH {_TIMES} SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_id) AS trail FROM t GROUP BY user_id")
-def trail(spark, d):
-    """Ordered values of each cell."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
-    return events(spark, d).groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda s: s["event_type"]), ">").alias("trail"))
-
-
 _N = "nodes AS (SELECT DISTINCT ON (node_id) node_id, bundle_id, idx, grid.z AS z, hits, umatrix, community, dead FROM sgp_node)"
 
 
@@ -97,6 +90,14 @@ def nodes(spark, d):
     return load(spark, d, "sgp_node").select("node_id", "bundle_id", "idx", F.col("grid.z").alias("z"), "hits", "umatrix", "community", "dead").dropDuplicates(["node_id"])
 
 
+@query("""SELECT bundle_id, grid.y AS y, grid.x AS x, string_agg(idx, '>' ORDER BY grid.z, node_id) AS trail FROM (SELECT DISTINCT ON (node_id) * FROM sgp_node) WHERE grid.z IS NOT NULL GROUP BY ALL""")
+def trail(spark, d):
+    """Ordered units of each cell over the depths of its map, at most one for each depth."""
+    n = load(spark, d, "sgp_node").select("node_id", "bundle_id", "idx", "grid").dropDuplicates(["node_id"]).filter("grid.z IS NOT NULL")
+    ordered = F.array_sort(F.collect_list(F.struct("grid.z", "node_id", "idx")))
+    return n.groupBy("bundle_id", F.col("grid.y").alias("y"), F.col("grid.x").alias("x")).agg(F.array_join(F.transform(ordered, lambda s: s["idx"].cast("string")), ">").alias("trail"))
+
+
 @query(f"WITH {_N} SELECT bundle_id, z, idx, round(CASE WHEN sum(hits) OVER (PARTITION BY bundle_id, z) > 0 THEN hits / sum(hits) OVER (PARTITION BY bundle_id, z) ELSE 0 END, 9) AS share FROM nodes")
 def depth_histogram(spark, d):
     """Share of each node in the hits of its depth."""
