@@ -1,11 +1,13 @@
 """Problem 1: the most similar vectors of every vector, with score-aware four-bit codes.
 
-A partition tree (``cells``) is fitted on a bounded sample; every vector lives in the cell of its nearest centre
-and visits the next ones that are almost as near.  In a cell each resident is stored as 32 codes of four bits
+A partition tree is fitted on a bounded sample; every vector lives in the cell of its nearest centre and visits
+all others that are almost as near, however many.  A group that splits would not separate stays one cell, and
+cells of many rows are scanned in salted blocks of residents and visitors.  In a cell each resident is stored as 32 codes of four bits
 of its residual to the centre.  Codes and codebook minimise the anisotropic loss: of the residual error, the
 part parallel to the vector weighs ``eta`` times the rest, as it is that part which changes large inner
 products.  Visitors score all residents by table scans (16 entries per code, all queries of a block side by
-side), the best go to an exact comparison, and the lists of all cells are merged by similarity and id.
+side), the best go to an exact comparison, as do all others whose codes cannot rule them out, and the lists of all
+cells are merged by similarity and id.
 
 Nothing is dropped: every usable vector is indexed and asks.  Equal vectors stay as their ``k + 1`` smallest
 ids: by the tie rule these are the neighbours of all others, so a set of copies of any size costs ``k + 1``
@@ -23,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .cells import DIMENSIONS, FIT_ROWS, as_rows, first_copies, nearest_cells, sample, split_cells, usable_vectors
+from .cells import DIMENSIONS, FIT_ROWS, as_rows, first_copies, sample, split_cells, usable_vectors
 from .common import checkpointed, table
 
 SUBSPACES, CODES = 32, 16
@@ -32,13 +34,18 @@ WIDTH = DIMENSIONS // SUBSPACES
 THRESHOLD = 0.8
 ETA = (DIMENSIONS - 1) * THRESHOLD**2 / (1 - THRESHOLD**2)
 RESIDENTS = 1000
-PROBES, MARGIN = 6, 0.06
+#: A visit is made where a centre is less near than the nearest by at most this.
+MARGIN = 0.06
+#: Residents and visitors of a cell that one task scans, about.
+RESIDENT_BLOCK, ASKER_BLOCK = 8192, 32_768
 RERANKED = 48
 QUERY_BLOCK = 256
 #: Queries that are broadcast at once when a stated set is compared with all rows.
 STATED_BLOCK = 8192
 #: Rows scored together and of these the number compared exactly, for stated queries.
 STATED_ROWS, STATED_RERANKED = 2048, 192
+#: Rows whose visits are looked for together, and visits sent together.
+VISIT_ROWS, VISIT_SENT = 2048, 16_384
 
 
 def encode(vectors, residuals, codebook, sweeps: int = 2):
@@ -95,13 +102,57 @@ def fit_codebook(vectors, residuals, rounds: int = 6, seed: int = 3):
     return book
 
 
-def fit(points, rows: int):
+def reach(least: float) -> float:
+    """The largest distance of unit vectors of similarity ``least``."""
+    return math.sqrt(max(0.0, 2 - 2 * least))
+
+
+def visited_cells(points, centres, most_apart: float, margin: float = MARGIN):
+    """(row, cell, home): for each point its nearest cell and all within ``margin`` of it.
+
+    A vector and its partner, ``most_apart`` away at most, differ by at most that times the distance of two centres
+    in how much nearer one of them is, so cells beyond that hold no partner and are not visited.
+    """
+    import numpy as np
+
+    close = points @ centres.T
+    best = close.argmax(axis=1)
+    between = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))[best]
+    kept = close[np.arange(len(points)), best][:, None] - close <= np.minimum(margin, most_apart * between + 1e-6)
+    kept[np.arange(len(points)), best] = True
+    row, cell = np.nonzero(kept)
+    return row, cell, cell == best[row]
+
+
+def separable_cells(points, largest: int, most_apart: float, seed: int = 7):
+    """Centres of a tree of two-means splits; a leaf of which most points would visit both sides is not split."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    centres, open_ = [], [np.arange(len(points))]
+    while open_:
+        own = open_.pop()
+        pair = split_cells(points[own], max(largest, len(own) // 2, 4), int(rng.integers(1 << 30))) if len(own) > max(largest, 4) else []
+        if len(pair) >= 2:
+            near = (points[own] @ pair.T).argmax(axis=1)
+            row, _, _ = visited_cells(points[own], pair, most_apart)
+            parts = [own[near == c] for c in range(len(pair))]
+            if len(row) - len(own) <= 0.5 * len(own) * (len(pair) - 1) and max(map(len, parts)) < len(own):
+                open_ += [part for part in parts if len(part)]
+                continue
+        centres.append(points[own].mean(axis=0))
+    found = np.array(centres, "float32")
+    return found / np.maximum(np.linalg.norm(found, axis=1), 1e-9)[:, None]
+
+
+def fit(points, rows: int, centres=None):
     """Model of an index: cell centres, the length of the residuals in each cell, and the codebook."""
     import numpy as np
 
     if not len(points):
         points = np.eye(1, DIMENSIONS, dtype="float32")
-    centres = split_cells(points, max(8, math.ceil(len(points) * RESIDENTS / max(rows, 1))))
+    if centres is None:
+        centres = split_cells(points, largest_leaf(points, rows))
     home = (points @ centres.T).argmax(axis=1)
     residuals = points - centres[home]
     squared = (residuals**2).sum(axis=1)
@@ -112,21 +163,71 @@ def fit(points, rows: int):
     return {"centres": centres, "lengths": lengths, "codebook": fit_codebook(points, residuals / lengths[home][:, None])}
 
 
-def table_scores(queries, codes, codebook):
-    """(rows, queries) scores in integers that rank the rows of one cell for each query."""
+def largest_leaf(points, rows: int) -> int:
+    return max(8, math.ceil(len(points) * RESIDENTS / max(rows, 1)))
+
+
+def pair_model(points, rows: int, least: float):
+    """``fit`` with cells for pairs of similarity ``least`` or more, and in how many blocks each is scanned."""
+    import numpy as np
+
+    if not len(points):
+        points = np.eye(1, DIMENSIONS, dtype="float32")
+    model = fit(points, rows, separable_cells(points, largest_leaf(points, rows), reach(least)))
+    each, count = rows / len(points), len(model["centres"])
+    residents, askers = np.zeros(count), np.zeros(count)
+    for start in range(0, len(points), 2048):
+        _, cell, home = visited_cells(points[start : start + 2048], model["centres"], reach(least))
+        residents += np.bincount(cell[home], minlength=count)
+        askers += np.bincount(cell, minlength=count)
+    blocks = lambda n, size: np.maximum(1, np.ceil(n * each / size)).astype("int64")
+    return model | {"blocks": np.stack([blocks(residents, RESIDENT_BLOCK), blocks(askers, ASKER_BLOCK)], axis=1)}
+
+
+def placed_in_blocks(ids, cell, home, blocks):
+    """(visit, part, home, asks): visits repeated so that in each cell every visitor meets every resident once."""
+    import numpy as np
+
+    mixed = (ids.astype("uint64") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    r, a = blocks[cell, 0], blocks[cell, 1]
+    own_r, own_a = (mixed % r.astype("uint64")).astype("int64"), ((mixed >> np.uint64(7)) % a.astype("uint64")).astype("int64")
+    repeated = lambda n: (np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    visit, block = repeated(r)
+    out = [(visit, block * a[visit] + own_a[visit], home[visit] & (block == own_r[visit]), np.ones(len(visit), bool))]
+    visit, block = repeated(np.where(home, a, 0))
+    rest = block != own_a[visit]  # elsewhere a resident only answers
+    visit, block = visit[rest], block[rest]
+    out.append((visit, own_r[visit] * a[visit] + block, np.ones(len(visit), bool), np.zeros(len(visit), bool)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def entry_tables(queries, codebook):
+    """(tables, low, step): entries of 11 bits for each query, their zero summed up and the value of one."""
     import numpy as np
 
     n = len(queries)
     tables = np.einsum("qmw,mkw->mkq", queries.reshape(n, SUBSPACES, WIDTH), codebook, optimize=True)
-    tables -= tables.min(axis=1, keepdims=True)
-    tables *= 2047.0 / np.maximum(tables.max(axis=(0, 1), keepdims=True), 1e-9)  # 32 entries of 11 bits fit 16 bits
-    tables = tables.astype("uint16")
-    scores = np.zeros((len(codes), n), "uint16")
+    low = tables.min(axis=1, keepdims=True)
+    tables -= low
+    top = np.maximum(tables.max(axis=(0, 1), keepdims=True), 1e-9)
+    tables *= 2047.0 / top  # 32 entries of 11 bits fit 16 bits
+    return tables.astype("uint16"), low.sum(axis=(0, 1)), top[0, 0] / 2047.0
+
+
+def summed(tables, codes):
+    import numpy as np
+
+    scores = np.zeros((len(codes), tables.shape[2]), "uint16")
     for m in range(SUBSPACES):
         scores += tables[m][codes[:, m]]
     return scores
 
 
+def table_scores(queries, codes, codebook):
+    """(rows, queries) scores in integers that rank the rows of one cell for each query."""
+    return summed(entry_tables(queries, codebook)[0], codes)
+
+
 def _scan_cell(model, k: int, least: float):
     """Function for applyInArrow: the pairs (a, b, s) of a cell's visitors and their best residents."""
 
@@ -144,56 +245,86 @@ def _scan_cell(model, k: int, least: float):
         values = model.value
         out = ([], [], [])
         if len(at):
-            codes = encode(residents, (residents - values["centres"][cell]) / values["lengths"][cell], values["codebook"])
+            centre, length = values["centres"][cell], values["lengths"][cell]
+            codes = encode(residents, (residents - centre) / length, values["codebook"])
+            missed = residents - centre - length * values["codebook"][np.arange(SUBSPACES), codes].reshape(len(at), DIMENSIONS)
+            along, off = (missed * residents).sum(axis=1), np.sqrt((missed**2).sum(axis=1))
+            double = residents.astype("float64")
             kept = min(RERANKED, len(at))
             askers = np.flatnonzero(asks)
             for start in range(0, len(askers), QUERY_BLOCK):
                 block = askers[start : start + QUERY_BLOCK]
                 q = x[block]
                 if kept < len(at):
-                    scores = np.ascontiguousarray(table_scores(q, codes, values["codebook"]).T)
+                    tables, low, step = entry_tables(q, values["codebook"])
+                    scores = np.ascontiguousarray(summed(tables, codes).T)
                     some = np.argpartition(scores, len(at) - kept, axis=1)[:, len(at) - kept :]
                     some.sort(axis=1)
                 else:
                     some = np.broadcast_to(np.arange(kept), (len(q), kept))
-                exact = np.round(np.einsum("qd,qrd->qr", q, residents[some]).astype("float64"), 6)
+                exact = np.round(np.einsum("qd,qrd->qr", q.astype("float64"), double[some]), 6)
                 exact[names[some] == ids[block][:, None]] = -9
                 best = np.argsort(-exact, axis=1, kind="stable")[:, : min(k, kept)]
                 value = np.take_along_axis(exact, best, axis=1)
                 row, place = np.nonzero(value >= max(least, -8))
-                out[0].append(ids[block][row])
-                out[1].append(names[some[row, best[row, place]]])
-                out[2].append(value[row, place])
+                who, whom, how = row, some[row, best[row, place]], value[row, place]
+                if kept < len(at):
+                    # a resident of similarity ``floor`` or more has at most this one by its codes and what they miss
+                    floor = np.maximum(value[:, -1], least) if kept >= k else np.full(len(q), least)
+                    bound = scores * (length * step)[:, None].astype("float32")
+                    bound += off * np.sqrt(np.maximum(2 - 2 * floor + 1e-5, 0))[:, None].astype("float32")
+                    bound += along
+                    bound += (q @ centre + length * (low + (SUBSPACES + 1) * step))[:, None]
+                    possible = bound >= (floor - 1e-5)[:, None]
+                    np.put_along_axis(possible, some, False, axis=1)
+                    again = np.flatnonzero(possible.any(axis=1))
+                    if len(again):
+                        full = np.round(q[again].astype("float64") @ double.T, 6)
+                        full[names == ids[block[again]][:, None]] = -9
+                        most = min(k, len(at))
+                        last = np.maximum(-np.partition(-full, most - 1, axis=1)[:, most - 1], max(least, -8))
+                        row, found = np.nonzero(full >= last[:, None])
+                        order = np.lexsort((found, -full[row, found], row))
+                        row, found = row[order], found[order]
+                        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                        row, found = row[first], found[first]
+                        rest = ~np.isin(who, again)
+                        who, whom, how = (np.concatenate(p) for p in ((who[rest], again[row]), (whom[rest], found), (how[rest], full[row, found])))
+                out[0].append(ids[block][who])
+                out[1].append(names[whom])
+                out[2].append(how)
         a, b, s = (np.concatenate(o) if o else np.zeros(0) for o in out)
         return pa.table({"a": pa.array(a.astype("int64")), "b": pa.array(b.astype("int64")), "s": pa.array(s.astype("float64"))})
 
     return scan
 
 
-def neighbour_pairs(df: DataFrame, key: str, vector: str, k: int = 10, least: float = -2.0, probes: int = PROBES, margin: float = MARGIN) -> DataFrame:
+def neighbour_pairs(df: DataFrame, key: str, vector: str, k: int = 10, least: float = -1.0, margin: float = MARGIN) -> DataFrame:
     """(a, b, s, place): for each indexed vector its ``k`` most similar ones of similarity ``least`` or more.
 
     A pair that either side finds counts for both.
     """
     rows = df.count()
     vectors = usable_vectors(df, key, vector)
-    model = df.sparkSession.sparkContext.broadcast(fit(sample(vectors, rows), rows))
+    model = df.sparkSession.sparkContext.broadcast(pair_model(sample(vectors, rows), rows, least))
 
     def visit(batches):
         import numpy as np
         import pyarrow as pa
 
-        centres = model.value["centres"]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        centres, blocks = model.value["centres"], model.value["blocks"]
+        for batch in (b.slice(i, VISIT_ROWS) for b in batches for i in range(0, b.num_rows, VISIT_ROWS)):
             points = as_rows(pa.chunked_array([batch.column(1)]))
-            row, cell, home = nearest_cells(points, centres, probes, margin)
-            took = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype("int32")), took.column(0), pa.array(home), pa.array(np.ones(len(row), bool)), took.column(1)], names=["cell", "id", "home", "asks", "v"])
-
-    visits = first_copies(vectors, k + 1).select("id", "v").mapInArrow(visit, "cell int, id bigint, home boolean, asks boolean, v array<float>")
-    pairs = visits.groupBy("cell").applyInArrow(_scan_cell(model, k, least), "a bigint, b bigint, s double")
+            row, cell, home = visited_cells(points, centres, reach(least), margin)
+            visit, part, home, asks = placed_in_blocks(batch.column(0).to_numpy()[row], cell, home, blocks)
+            for i in range(0, len(visit), VISIT_SENT):
+                own = visit[i : i + VISIT_SENT]
+                took = batch.take(pa.array(row[own]))
+                columns = [pa.array(cell[own].astype("int32")), pa.array(part[i : i + VISIT_SENT]), took.column(0), pa.array(home[i : i + VISIT_SENT]), pa.array(asks[i : i + VISIT_SENT]), took.column(1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "part", "id", "home", "asks", "v"])
+
+    visits = first_copies(vectors, k + 1).select("id", "v").mapInArrow(visit, "cell int, part bigint, id bigint, home boolean, asks boolean, v array<float>")
+    pairs = visits.groupBy("cell", "part").applyInArrow(_scan_cell(model, k, least), "a bigint, b bigint, s double")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")) if least <= -1 else _both_ways(pairs)
     once = both.groupBy("a", "b").agg(F.max("s").alias("s"))
     order = Window.partitionBy("a").orderBy(F.col("s").desc(), F.col("b").asc())

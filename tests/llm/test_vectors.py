@@ -48,6 +48,25 @@ def test_pairs_equal_brute_force(spark):
     assert len(want) > 30 and got == want
 
 
+def test_pairs_of_a_dense_group_equal_brute_force(spark, monkeypatch):
+    """A third of the rows are near copies of one vector: all their partners are met, over several blocks too."""
+    monkeypatch.setattr(neighbours, "RESIDENT_BLOCK", 700)
+    monkeypatch.setattr(neighbours, "ASKER_BLOCK", 900)
+    monkeypatch.setattr(neighbours, "RESIDENTS", 60)
+    rng = np.random.default_rng(11)
+    one = rng.normal(size=64)
+    near = one / np.linalg.norm(one) + rng.normal(size=(2000, 64)) * 0.0125
+    vectors = [*near, *rng.normal(size=(4000, 64))]
+    x = np.array(vectors, "float32").astype("float64")
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype("float32").astype("float64")  # as stored
+    s = np.round(x @ x.T, 6)
+    np.fill_diagonal(s, -9)
+    top = [set(np.argsort(-row, kind="stable")[:10]) for row in s]
+    want = {(i + 1, j + 1) for i in range(len(s)) for j in top[i] if i < j and i in top[j] and s[i, j] >= 0.985}
+    got = {(r.a, r.b) for r in neighbours.mutual_pairs(frame(spark, vectors), "id", "vec", 0.985).collect()}
+    assert len(want) > 1000 and got == want
+
+
 def test_all_neighbours_recall(spark):
     vectors = planted(5)
     s = brute(vectors)
