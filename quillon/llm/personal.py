@@ -156,15 +156,19 @@ def plain_word(word: str) -> str:
 
 
 class Hints:
-    """Which names are hinted: bit 1 given, bit 2 family; and the words that are common in small letters."""
+    """Which names are hinted: bit 1 given, bit 2 family; and the ordinary words.
 
-    def __init__(self, given, family, common=()):
+    ``fixed`` are those of them that may be names for all that: candidates, of which the field decides.
+    """
+
+    def __init__(self, given, family, common=(), fixed=()):
         self.kind: dict[str, int] = defaultdict(int)
         for names, bit in ((given, 1), (family, 2)):
             for name in names:
                 self.kind[plain_word(name.lower())] |= bit
         self.kind = dict(self.kind)
         self.common = set(common)
+        self.fixed = set(fixed)
 
     def of(self, word: str) -> int:
         return self.kind.get(word, 0)
@@ -185,7 +189,7 @@ def active_runs(u: Units, hints: Hints) -> list[range]:
             elif c == "1":
                 if not (i + 2 < n and kind[i + 2] == "word" and (case[i + 2] in ("c", "A", "1") or word[i + 2] in known)):
                     continue
-            elif w in common:
+            elif w in common and w not in hints.fixed:
                 # an ordinary word in capitals counts beside another name, an initial or a rare word in capitals
                 if w not in known or not any(0 <= j < n and kind[j] == "word" and (case[j] == "1" or (case[j] in "cA" and (word[j] in known or word[j] not in common))) for j in (i - 2, i - 1, i + 1, i + 2)):
                     continue
@@ -199,8 +203,9 @@ def active_runs(u: Units, hints: Hints) -> list[range]:
     return runs
 
 
-def features(u: Units, i: int, hints: Hints, hidden: bool = False) -> list[str]:
-    """Observations at one unit.  ``hidden`` drops the hints, as for names that nobody listed."""
+def features(u: Units, i: int, hints: Hints, hidden: bool = False, fixed: bool = False) -> list[str]:
+    """Observations at one unit.  ``hidden`` drops the hints, as for names that nobody listed; ``fixed`` makes
+    hinted names look like those that are always written together."""
     n = len(u)
 
     def at(j):
@@ -209,7 +214,13 @@ def features(u: Units, i: int, hints: Hints, hidden: bool = False) -> list[str]:
         w, k = u.word[j], u.kind[j]
         known = 0 if hidden or k != "word" else hints.of(plain_word(w))
         tag = u.case[j] or k
-        return (w if k in ("word", "mark", "break") else f"<{k}>"), tag, known, ("c" if w in hints.common else "r") if k == "word" else ""
+        if k != "word":
+            seen = ""
+        elif w in hints.fixed or (fixed and w not in hints.common and hints.of(plain_word(w))):
+            seen = "p"
+        else:
+            seen = "c" if w in hints.common else "r"
+        return (w if k in ("word", "mark", "break") else f"<{k}>"), tag, known, seen
 
     (w0, t0, g0, c0), (p1, pt, pg, pc), (n1, nt, ng, nc) = at(i), at(i - 1), at(i + 1)
     (p2, pt2, pg2, _), (n2, nt2, ng2, nc2) = at(i - 2), at(i + 2)
@@ -338,6 +349,24 @@ def unclear(u: Units, run: range, labels: dict[int, int], hints: Hints) -> bool:
     return False
 
 
+def outside(u: Units, start: int, end: int) -> tuple[str, str]:
+    """The words before and after a name; the ends of a text are as those of a line."""
+    return u.word[start - 1] if start else "\n", u.word[end] if end < len(u) else "\n"
+
+
+def perhaps_named(u: Units, run: range, labels: dict[int, int], hints: Hints, around: set[tuple[str, str]]) -> bool:
+    """A run with a phrase of words that may be names, in a place where clear names stand."""
+    i = run.start
+    while i < run.stop:
+        j = i
+        while j < run.stop and u.kind[j] == "word" and u.word[j] in hints.fixed and not labels.get(j):
+            j += 1
+        if j - i >= 2 and outside(u, i, j) in around:
+            return True
+        i = max(j, i + 1)
+    return False
+
+
 # ---- the field
 
 
@@ -494,34 +523,66 @@ def fit_field(sequences, numbers: dict[str, int], steps: int = 80, rate: float =
     return field
 
 
-def common_words(texts: list[str], hinted: Hints) -> set[str]:
-    """Ordinary words: in small letters in at least three texts, in any case in one of 150, or held in a fixed phrase.
+def word_counts(text: str) -> Counter:
+    """What a text adds to the counts of words, by (word, what, neighbour).
 
-    A word of four occurrences or more that has one and the same neighbour in four of five is part of a phrase.
-    Hinted names are ordinary words only by their small letters.
+    0: the text holds it; 1: in small letters; 2: occurrences in capitals; 3, 4: of these, after and before a neighbour.
     """
-    small, any_case, total, before, after = Counter(), Counter(), Counter(), Counter(), Counter()
-    for text in texts:
-        u = Units(text)
-        small.update({w for w, k, c in zip(u.word, u.kind, u.case) if k == "word" and c == "a"})
-        any_case.update({w for w, k in zip(u.word, u.kind) if k == "word"})
-        for i, k in enumerate(u.kind):
-            if k == "word" and u.case[i] in "cA":
-                w = u.word[i]
-                total[w] += 1
-                if i and u.kind[i - 1] == "word":
-                    before[w, u.word[i - 1]] += 1
-                if i + 1 < len(u) and u.kind[i + 1] == "word":
-                    after[w, u.word[i + 1]] += 1
-    often = max(20, len(texts) // 150)
-    found = {w for w, n in small.items() if n >= 3 and n >= 0.2 * any_case[w]} | {w for w, n in any_case.items() if n >= often}
-    found |= {w for (w, _), n in [*before.items(), *after.items()] if total[w] >= 4 and n >= 0.8 * total[w]}
-    return {w for w in found if not hinted.of(plain_word(w)) or (small[w] >= 3 and small[w] >= 0.2 * any_case[w])}
+    u, out = Units(text), Counter()
+    for w, c in {(w, c == "a") for w, k, c in zip(u.word, u.kind, u.case) if k == "word"}:
+        out[w, 0, ""] = 1
+        if c:
+            out[w, 1, ""] = 1
+    for i, k in enumerate(u.kind):
+        if k == "word" and u.case[i] in "cA":
+            out[u.word[i], 2, ""] += 1
+            if i and u.kind[i - 1] == "word":
+                out[u.word[i], 3, u.word[i - 1]] += 1
+            if i + 1 < len(u) and u.kind[i + 1] == "word":
+                out[u.word[i], 4, u.word[i + 1]] += 1
+    return out
+
+
+def often(texts: int) -> tuple[int, int, int]:
+    """From how many texts in small letters, occurrences in capitals and texts in any case a word may be ordinary."""
+    return max(3, texts // 4000), max(4, texts // 3000), max(20, texts // 150)
+
+
+def common_words(counts: dict[str, tuple], texts: int, hinted: Hints) -> tuple[set[str], set[str]]:
+    """(ordinary words, those of them that may be names) of the counts over ``texts`` different texts.
+
+    ``counts``: texts with the word, with it in small letters, its occurrences in capitals, the most of these after
+    one and the same neighbour, that neighbour, the most before one, and it.  A word is ordinary by its small
+    letters, where it is in many texts, or in a fixed phrase: one neighbour in four of five.  Hinted names are so only
+    by their small letters.  A word never in small letters, beside another such word, may as well be of a name
+    that is written often.
+    """
+    small, capital, many = often(texts)
+    plain = {w for w, (held, low, *_) in counts.items() if low >= small and low >= 0.2 * held}
+    found = {w for w, (held, low, total, b, _, a, _) in counts.items() if held >= many or (total >= capital and max(b, a) >= 0.8 * total)}
+    found = {w for w in found if w in plain or not hinted.of(plain_word(w))}
+    proper = lambda w: w and len(w) > 1 and w not in plain and w not in TITLES and not counts.get(w, (0, 0))[1]
+    fixed = {w for w in found if proper(w) and (proper(counts[w][4]) or proper(counts[w][6]))}
+    return found | plain, fixed
 
 
 def prepare(texts: list[str], given, family) -> Hints:
-    """Hints with the ordinary words of the sample."""
-    return Hints(given, family, common_words(texts, Hints(given, family)) | TITLES)
+    """Hints with the ordinary words of the texts; copies of a text count once."""
+    texts, sums, counts = set(texts), Counter(), {}
+    for text in texts:
+        sums.update(word_counts(text))
+    for (w, what, other), n in sorted(sums.items()):
+        own = counts.setdefault(w, [0, 0, 0, 0, "", 0, ""])
+        if what < 3:
+            own[what] = n
+        elif n > own[2 * what - 3]:
+            own[2 * what - 3 : 2 * what - 1] = [n, other]
+    return hints_of(counts, len(texts), given, family)
+
+
+def hints_of(counts, texts: int, given, family) -> Hints:
+    common, fixed = common_words(counts, texts, Hints(given, family))
+    return Hints(given, family, common | TITLES, fixed)
 
 
 def votes(text: str, hints: Hints) -> Counter:
@@ -582,8 +643,12 @@ def join_lexicon(hints: Hints, found: dict[str, int]) -> Hints:
 def train(texts: list[str], hints: Hints, seed: int = 5) -> Field:
     """The field fitted on the clear places of the sample."""
     seen, doubtful = Counter(), Counter()
+    around: set[tuple[str, str]] = set()
     for text in texts:
-        clear_labels(Units(text), hints, seen, doubtful, decide=False)
+        u = Units(text)
+        for i, label in (clear_labels(u, hints, seen, doubtful, decide=False) or {}).items():
+            if label == 1:
+                around.add(outside(u, i, name_here(u, i, hints)[0]))
     rng = random.Random(seed)
     sequences, index = [], {}
 
@@ -601,10 +666,11 @@ def train(texts: list[str], hints: Hints, seed: int = 5) -> Field:
             continue
         for run in runs:
             gold = [labels.get(i, 0) for i in run]
-            if unclear(u, run, labels, hints) or (not any(gold) and rng.random() < 0.3):
+            if unclear(u, run, labels, hints) or perhaps_named(u, run, labels, hints, around) or (not any(gold) and rng.random() < 0.3):
                 continue
             hide = rng.random() < 0.3
-            rows = [[index.setdefault(f, len(index)) for f in features(u, i, hints, hide and rng.random() < 0.7)] for i in run]
+            fixed = bool(hints.fixed) and rng.random() < 0.4
+            rows = [[index.setdefault(f, len(index)) for f in features(u, i, hints, fixed or (hide and rng.random() < 0.7), fixed)] for i in run]
             sequences.append((rows, gold))
     return fit_field(sequences, index)
 
@@ -627,7 +693,7 @@ def mentions(texts: list[str], hints: Hints, field: Field) -> list[list[tuple[in
             for i in run:
                 rows.append([index[f] for f in features(u, i, hints) if f in index])
                 key = None
-                if u.kind[i] == "word" and len(u.word[i]) > 2 and u.case[i] in "cA" and u.word[i] not in hints.common:
+                if u.kind[i] == "word" and len(u.word[i]) > 2 and u.case[i] in "cA" and (u.word[i] not in hints.common or u.word[i] in hints.fixed):
                     key = u.word[i]
                 elif u.kind[i] == "number":
                     key = re.sub(r"\W", "", text[u.start[i] : u.end[i]])

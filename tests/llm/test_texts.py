@@ -129,6 +129,24 @@ def test_details_of_held_out_texts():
     assert right / said >= 0.95 and right / meant >= 0.9
 
 
+def test_an_unlisted_name_in_a_third_of_the_texts_is_found():
+    """Its two parts are always together, as those of a fixed phrase; a phrase that is no name stays."""
+    texts, _ = corpus(1500, 1)
+    rng = random.Random(4)
+    texts = [t + "\n" + (rng.choice(FRAMES).format("Xavika Zorplund") if i % 3 == 0 else "The Great Pyrenees crops were kept.") for i, t in enumerate(texts)]
+    hints = personal.prepare(texts, GIVEN[:4], FAMILY[:3])
+    field = personal.train(texts, hints)
+    said = [{t[s:e] for s, e, k in spans if k == "name"} for t, spans in zip(texts, personal.mentions(texts, hints, field))]
+    third = said[::3]
+    assert sum("Xavika Zorplund" in x for x in third) >= 0.95 * len(third)
+    assert sum("Great Pyrenees" in x for x in said) == 0
+
+
+def test_copies_of_a_text_count_once():
+    texts = corpus(300, 6)[0] + ["Signed: Xavika Zorplund for all."] * 200
+    assert not {"xavika", "zorplund"} & personal.prepare(texts, GIVEN, FAMILY).common
+
+
 def test_skip_edges_carry_a_label_to_a_repeated_unit():
     import numpy as np
 
