@@ -558,6 +558,7 @@ def common_words(counts: dict[str, tuple], texts: int, hinted: Hints) -> tuple[s
     that is written often.
     """
     small, capital, many = often(texts)
+    counts = {w: c for w, c in counts.items() if c[1] >= small or c[2] >= capital or c[0] >= many}
     plain = {w for w, (held, low, *_) in counts.items() if low >= small and low >= 0.2 * held}
     found = {w for w, (held, low, total, b, _, a, _) in counts.items() if held >= many or (total >= capital and max(b, a) >= 0.8 * total)}
     found = {w for w in found if w in plain or not hinted.of(plain_word(w))}
@@ -575,7 +576,7 @@ def prepare(texts: list[str], given, family) -> Hints:
         own = counts.setdefault(w, [0, 0, 0, 0, "", 0, ""])
         if what < 3:
             own[what] = n
-        elif n > own[2 * what - 3]:
+        elif (n, other) > tuple(own[2 * what - 3 : 2 * what - 1]):
             own[2 * what - 3 : 2 * what - 1] = [n, other]
     return hints_of(counts, len(texts), given, family)
 
@@ -771,7 +772,7 @@ def redact(text: str, spans) -> str:
 
 
 class Detector:
-    """Hints and field fitted on a bounded sample, with the lexicon of names counted over the whole corpus."""
+    """Field fitted on a bounded sample; ordinary words and the lexicon of names are counted over the whole corpus."""
 
     def __init__(self, documents: DataFrame, hints: DataFrame):
         self.spark = documents.sparkSession
@@ -785,9 +786,35 @@ class Detector:
         share = min(1.0, FIT_DOCUMENTS / max(rows, 1))
         chosen = self.texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("doc_id").select("text").limit(2 * FIT_DOCUMENTS)
         sampled = [r.text for r in chosen.collect()]
-        known = self._with_lexicon(prepare(sampled, given, family))
+        known = self._with_lexicon(self._with_words(given, family))
         self.model = self.spark.sparkContext.broadcast((known, train(sampled, known)))
 
+    def _with_words(self, given, family) -> Hints:
+        """Hints with the ordinary words of the whole corpus; what is collected is bounded by the shares in ``often``."""
+
+        def count(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                found = Counter({("", 0, ""): batch.num_rows})
+                for text in batch.column(0).to_pylist():
+                    found.update(word_counts(text))
+                words, what, other = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(what, pa.int32()), pa.array(other, pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "what", "other", "n"])
+
+        parts = self.texts.select("text").distinct().mapInArrow(count, "word string, what int, other string, n bigint")
+        of = lambda what, value: F.max(F.when(F.col("what") == what, value))
+        n = lambda what: F.coalesce(of(what, F.col("n")), F.lit(0))
+        beside = F.struct("n", "other")
+        words = parts.groupBy("word", "what", "other").agg(F.sum("n").alias("n")).groupBy("word")
+        words = checkpointed(words.agg(n(0).alias("held"), n(1).alias("low"), n(2).alias("total"), of(3, beside).alias("b"), of(4, beside).alias("a")))
+        texts = words.filter("word = ''").first()
+        texts = texts.held if texts else 0
+        small, capital, many = often(texts)
+        kept = words.filter((F.col("word") != "") & ((F.col("low") >= small) | (F.col("total") >= capital) | (F.col("held") >= many)))
+        counts = {r.word: (r.held, r.low, r.total, *(r.b or (0, "")), *(r.a or (0, ""))) for r in kept.toLocalIterator()}
+        return hints_of(counts, texts, given, family)
+
     def _with_lexicon(self, hints: Hints) -> Hints:
         """Hints joined by the names that stand beside hinted ones often enough in the whole corpus."""
         shared = self.spark.sparkContext.broadcast(hints)

@@ -147,6 +147,18 @@ def test_copies_of_a_text_count_once():
     assert not {"xavika", "zorplund"} & personal.prepare(texts, GIVEN, FAMILY).common
 
 
+def test_ordinary_words_are_counted_over_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(personal, "FIT_DOCUMENTS", 50)
+    texts = corpus(600, 7)[0] + ["Nothing"] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    hints = spark.createDataFrame([(n, "given") for n in GIVEN] + [(n, "family") for n in FAMILY], "name string, kind string")
+    seen = {}
+    monkeypatch.setattr(personal.Detector, "_with_lexicon", lambda self, hints: seen.setdefault("hints", hints))
+    personal.Detector(docs, hints)
+    want = personal.prepare(texts, GIVEN, FAMILY)
+    assert len(want.common) > 30 and (seen["hints"].common, seen["hints"].fixed) == (want.common, want.fixed)
+
+
 def test_skip_edges_carry_a_label_to_a_repeated_unit():
     import numpy as np
 
