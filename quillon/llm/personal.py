@@ -13,7 +13,7 @@ unmistakable formats.  Names of ordinary words are labelled as their context is
 of the fit where no context tells.  Hints are hidden at random while fitting, so that context is learned.
 
 Names seen often enough by the first labelling of the whole corpus join the hints for the second (a lexicon
-counted over all documents; LEXICON_MOST bounds what is broadcast by raising the count that is asked for).
+counted over all documents; every accepted name is broadcast, whatever their number).
 
 Defined cases: null and empty texts have no mentions and stay as they are; repeated mentions of a document give
 one row; rows with the same doc_id count as one document; long texts are read whole; further columns are not
@@ -36,7 +36,7 @@ LABELS = ("O", "name", "name+", "email", "phone", "id_number", "address")
 TYPES = ("name", "email", "phone", "id_number", "address")
 FIT_DOCUMENTS = 12_000
 HINTS_MOST = 100_000
-LEXICON_MOST, LEXICON_LEAST = 100_000, 3
+LEXICON_LEAST = 3
 SKIP_WEIGHT, ROUNDS = 1.5, 3
 REACH = 3
 
@@ -832,12 +832,18 @@ class Detector:
         n = lambda bit: F.coalesce(F.sum(F.when(F.col("bit") == bit, F.col("n"))), F.lit(0))
         counted = self.texts.mapInArrow(count, "word string, bit int, n bigint").groupBy("word").agg(n(0).alias("total"), n(1).alias("given"), n(2).alias("family"), n(3).alias("leading"))
         most = F.greatest("given", "family", "leading")
-        counted = checkpointed(counted.filter(most >= LEXICON_LEAST))
-        least = LEXICON_LEAST
-        while counted.filter(most >= least).count() > LEXICON_MOST:
-            least *= 2
-        found = {r.word: accepted(r.word, (r.total, r.given, r.family, r.leading), hints, least) for r in counted.filter(most >= least).toLocalIterator()}
-        return join_lexicon(hints, {word: bits for word, bits in found.items() if bits})
+
+        def accept(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                words, *counts = (c.to_pylist() for c in batch.columns)
+                bits = [accepted(w, c, shared.value) for w, c in zip(words, zip(*counts))]
+                kept = [i for i, b in enumerate(bits) if b]
+                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in kept], pa.string()), pa.array([bits[i] for i in kept], pa.int32())], names=["word", "bits"])
+
+        names = counted.filter(most >= LEXICON_LEAST).mapInArrow(accept, "word string, bits int")
+        return join_lexicon(hints, {r.word: r.bits for r in names.collect()})
 
     def found(self) -> DataFrame:
         """(doc_id, pii_type, mention), distinct."""

@@ -159,6 +159,16 @@ def test_ordinary_words_are_counted_over_all_texts(spark, monkeypatch):
     assert len(want.common) > 30 and (seen["hints"].common, seen["hints"].fixed) == (want.common, want.fixed)
 
 
+def test_names_of_few_votes_stay_in_a_large_lexicon(spark, monkeypatch):
+    monkeypatch.setattr(personal, "LEXICON_MOST", 5, raising=False)
+    monkeypatch.setattr(personal, "train", lambda texts, hints: None)
+    names = ["Zor" + a + b for a in "abcd" for b in "klmn"]
+    texts = [f"Annotated by Orla {n}. Item {i}" for i in range(3) for n in names]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    known, _ = personal.Detector(docs, spark.createDataFrame([("Orla", "given")], "name string, kind string")).model.value
+    assert all(known.of(n.lower()) == 2 for n in names)
+
+
 def test_skip_edges_carry_a_label_to_a_repeated_unit():
     import numpy as np
 
