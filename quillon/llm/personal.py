@@ -3,7 +3,7 @@
 Texts become units: words, numbers, punctuation, and candidates of the closed forms (addresses for e-mail, in
 plain or evasive writing; telephone and identity numbers; street addresses), each one unit with its shape.  A
 chain field over the units labels them from their words, shapes, name hints and neighbours; skip edges join
-repeated units of a document, so that what one place shows clearly carries over to the others, by loopy message
+each repeated unit of a document, hinted names in small letters too, to its first mention, so that what one place shows clearly carries over to the others, by loopy message
 passing: the chains are solved exactly, the skip messages pass between rounds.  Units away from any candidate
 have no evidence for a label and are left out of the chains, which changes no result.
 
@@ -689,22 +689,22 @@ def mentions(texts: list[str], hints: Hints, field: Field) -> list[list[tuple[in
         u = Units(text) if text else None
         runs = active_runs(u, hints) if u else []
         per_text.append((u, runs))
-        last: dict[str, int] = {}
+        first: dict[str, int] = {}  # the hub of all repeats
         for run in runs:
             for i in run:
                 rows.append([index[f] for f in features(u, i, hints) if f in index])
                 key = None
-                if u.kind[i] == "word" and len(u.word[i]) > 2 and u.case[i] in "cA" and (u.word[i] not in hints.common or u.word[i] in hints.fixed):
+                if u.kind[i] == "word" and len(u.word[i]) > 2 and (u.case[i] in "cA" or u.word[i] in hints.kind) and (u.word[i] not in hints.common or u.word[i] in hints.fixed):
                     key = u.word[i]
                 elif u.kind[i] == "number":
                     key = re.sub(r"\W", "", text[u.start[i] : u.end[i]])
                 elif u.kind[i] == "email":
                     key = text[u.start[i] : u.end[i]].lower()
                 if key is not None:
-                    if key in last:
-                        left.append(last[key])
+                    if key in first:
+                        left.append(first[key])
                         right.append(base)
-                    last[key] = base
+                    first.setdefault(key, base)
                 base += 1
             lengths.append(len(run))
     chains = Chains(lengths)

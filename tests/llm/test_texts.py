@@ -181,6 +181,16 @@ def test_skip_edges_carry_a_label_to_a_repeated_unit():
     assert list(personal.infer(chains, emission, transition, (np.array([0]), np.array([1])))) == [5, 5]
 
 
+def test_evidence_reaches_every_repeat(monkeypatch):
+    """All mentions of a text are joined to the first, those in small letters too."""
+    taken = {}
+    monkeypatch.setattr(personal, "infer", lambda chains, emission, transition, skips: taken.setdefault("skips", skips) and [0] * len(emission))
+    field = personal.fit_field([], {})
+    personal.mentions(["Zorplund was in. " + "The probe drifts on and on. Zorplund left. " * 6 + "Then zorplund again."], personal.Hints([], ["Zorplund"], {"the", "then", "probe", "drifts", "on", "and", "left", "was", "in", "again"}), field)
+    left, right = taken["skips"]
+    assert len(right) == 7 and set(left) == {left[0]}
+
+
 def test_chain_marginals_equal_enumeration():
     import itertools
 
