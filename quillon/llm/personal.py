@@ -776,6 +776,7 @@ class Detector:
 
     def __init__(self, documents: DataFrame, hints: DataFrame):
         self.spark = documents.sparkSession
+        self.documents = documents
         self.texts = spread(documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"))
         listed = hints.filter("name IS NOT NULL").select("name", "kind").distinct().take(HINTS_MOST + 1)  # a fixed table
         if len(listed) > HINTS_MOST:
@@ -863,7 +864,7 @@ class Detector:
         return self.texts.mapInArrow(cut, "doc_id bigint, pii_type string, mention string").distinct()
 
     def redacted(self) -> DataFrame:
-        """(doc_id, text) with typed placeholders; null and empty texts are not among them."""
+        """(doc_id, text) with typed placeholders of all rows; null and empty texts stay as they are."""
         model = self.model
 
         def replace(batches):
@@ -873,10 +874,10 @@ class Detector:
             for batch in batches:
                 for piece in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                     texts = piece.column(1).to_pylist()
-                    new = [redact(t, s) for t, s in zip(texts, mentions(texts, hints, field))]
+                    new = [redact(t, s) if t else t for t, s in zip(texts, mentions(texts, hints, field))]
                     yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(new, pa.string())], names=["doc_id", "text"])
 
-        return self.texts.mapInArrow(replace, "doc_id bigint, text string")
+        return spread(self.documents.select("doc_id", "text")).mapInArrow(replace, "doc_id bigint, text string")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

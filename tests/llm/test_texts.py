@@ -213,6 +213,13 @@ def test_redaction_leaves_the_rest():
     assert personal.redact("", []) == ""
 
 
+def test_redaction_keeps_every_row(spark):
+    docs = [(1, None), (2, ""), (None, "MRN: 00816507"), (None, None)] + [(100 + i, t) for i, t in enumerate(corpus(300, 3)[0])]
+    hints = spark.createDataFrame([("Orla", "given")], "name string, kind string")
+    done = personal.Detector(spark.createDataFrame(docs, "doc_id bigint, text string"), hints).redacted().filter("doc_id IS NULL OR doc_id < 100").collect()
+    assert sorted(map(tuple, done), key=str) == sorted([(1, None), (2, ""), (None, "MRN: [ID_NUMBER]"), (None, None)], key=str)
+
+
 def test_details_of_odd_tables(spark):
     docs = [(1, None, "a"), (2, "", "a"), (3, "   ", "a"), (4, "MRN: 00816507 and MRN: 00816507\n" + "x " * 20_000 + "\nPhone: +49 30 23125 079", "a"), (4, "MRN: 00816507", "a"), (None, "MRN: 00816507", "a")]
     docs = spark.createDataFrame(docs, "doc_id bigint, text string, mention string")
