@@ -33,20 +33,21 @@ def label_propagation(edges: DataFrame, rounds: int = 8) -> DataFrame:
     return labels
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(v, distance) from the nearest source over weights >= 0: Bellman-Ford over the vertices that changed, until none does."""
     both = checkpointed(undirected(edges))
+    if not both.filter("w < 0").isEmpty():
+        raise ValueError("shortest paths need weights >= 0")
     best = checkpointed(sources.select("v").distinct().withColumn("distance", F.lit(0.0)))
     moved = best
-    for _ in range(rounds):
+    while True:
         step = both.join(moved.select(F.col("v").alias("a"), "distance"), "a").groupBy(F.col("b").alias("v")).agg(F.min(F.col("distance") + F.col("w")).alias("reach"))
         merged = checkpointed(best.join(step, "v", "full").select("v", "distance", "reach"))
         closer = F.col("distance").isNull() | (F.col("reach") < F.col("distance") - 1e-12)
         moved = merged.filter(F.col("reach").isNotNull() & closer).select("v", F.col("reach").alias("distance"))
         best = merged.select("v", F.when(F.col("reach").isNotNull() & closer, F.col("reach")).otherwise(F.col("distance")).alias("distance"))
         if moved.isEmpty():
-            break
-    return best
+            return best
 
 
 def modularity_communities(edges: DataFrame, graph: str) -> DataFrame:

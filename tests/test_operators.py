@@ -159,6 +159,12 @@ def test_shortest_paths(spark):
     assert rows(found) == [(1, 0.0), (2, 1.0), (3, 2.0)]
 
 
+def test_shortest_paths_of_many_edges(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(68)], "a bigint, b bigint, w double")
+    found = graph.shortest_paths(edges, spark.createDataFrame([(0,)], "v bigint"))
+    assert rows(found) == [(i, float(i)) for i in range(69)]
+
+
 def test_axis_refuses_one_group(spark):
     df = spark.createDataFrame([([1.0, 2.0], True)], "v array<double>, m boolean")
     with pytest.raises(ValueError):
