@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,14 +15,13 @@ from pyspark.sql import types as T
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by writing it to the folder named by ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, notebooks) a folder of this machine is set once.  The result is read as
-    a plain table of rows: a checkpoint would keep the size estimate of the plan it came from, and as joins
-    multiply estimates, these would double their digits with every round of an iterative job.
+    The result is read as a plain table of rows: a checkpoint would keep the size estimate of the plan it came
+    from, and as joins multiply estimates, these would double their digits with every round of an iterative job.
+    Files of rounds that no plan refers to any more are deleted where the session sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``session.session`` does.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-checkpoint-"))
+    shared_folder(spark)
     kept = df.checkpoint(eager=True)
     try:
         rows = kept._jdf.queryExecution().toRdd()
@@ -29,6 +30,50 @@ def checkpointed(df: DataFrame) -> DataFrame:
         return kept
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share.  A local session (tests, notebooks) that names none gets one of this machine.
+
+    On a cluster a folder of the driver's machine would be written where nobody else can read, so there is none.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(named)
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder; on a cluster it must name one that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, for tables that one query writes and reads again."""
+    return f"{shared_folder(spark).rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"
+
+
+#: Keys that hold more than one in so many rows are hot; there can be no more of them than that.
+HOT_KEYS = 1000
+#: Below so many rows a hot key is no burden for one task.
+FEW_ROWS = 2_000_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
+    """``left.join(right, on, how)`` where one key may hold any share of ``left``; ``right`` has one row a key.
+
+    The keys are not null.  Hot keys, fewer than HOT_KEYS by their definition, are joined with their broadcast rows
+    of ``right`` where they lie; the rest is shuffled.  ``rows``, the size of ``left``, spares that where it is small.
+    """
+    if rows is not None and rows < FEW_ROWS:
+        return left.join(right, on, how)
+    total = left.agg(F.count(F.lit(1)).alias("_total"))
+    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(total)).filter(F.col("_n") * HOT_KEYS > F.col("_total")).select(*on)
+    marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
+    few = F.broadcast(right.join(F.broadcast(hot), on, "left_semi"))
+    rest = marked.filter("_hot IS NULL").drop("_hot").join(right, on, how)
+    return marked.filter("_hot").drop("_hot").join(few, on, how).unionByName(rest)
+
+
 def cores(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 2)
 

@@ -14,6 +14,7 @@ _shipped: set[str] = set()
 def session(app: str = "quillon", **conf: str) -> SparkSession:
     """A session with UTC timestamps and adaptive execution; ``conf`` entries use ``__`` for dots."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
     return builder.getOrCreate()
