@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.positions import checkpointed, cores, shuffle_width, top_positions, with_position
+from ..operators.positions import checkpointed, cores, join_hot, scratch, shuffle_width, top_positions, with_position
 
-__all__ = ["checkpointed", "cores", "finite", "once_per_id", "shuffle_width", "spread", "table", "top_positions", "with_position"]
+__all__ = ["checkpointed", "cores", "finite", "join_hot", "once_per_id", "scratch", "shuffle_width", "spread", "table", "top_positions", "with_position"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import forest, quantiles, splits, topn
+from quillon.operators import positions
 
 REFS = "feature_id bigint, image_id string, token_idx int, activation double, position int, e string"
 FEATURES = "feature_id bigint, exemplars array<struct<image_id:string,token_idx:int,activation:double,class_label:int>>, activation string"
@@ -119,3 +120,31 @@ def test_splits_hold_groups_together_and_meet_proportions(spark):
 def test_splits_of_nothing(spark):
     empty, config = spark.createDataFrame([], META), spark.createDataFrame([], CONFIG)
     assert splits.assign_splits(empty, config).count() == 0 and splits.related(empty, config)[0].count() == 0
+
+
+@pytest.fixture
+def hot(monkeypatch):
+    """Every join treats keys of more than a thousandth of the rows as hot, however few rows there are."""
+    monkeypatch.setattr(positions, "FEW_ROWS", 0)
+
+
+def test_forest_and_groups_with_hot_keys(spark, hot, tmp_path):
+    edges = [(1, x) for x in range(2, 400)] + [(x, 1000 + x) for x in range(2, 60)] + [(7000, 7001)]
+    labels, tree = forest.spanning_forest(spark.createDataFrame(edges, "a bigint, b bigint"))
+    want = components(edges)
+    assert {r.v: r.root for r in labels.collect()} == want
+    kept = forest.write_forest(tree, str(tmp_path / "forest"))
+    assert kept.count() == len(want) - 2
+    # a third of the rows share one group, another third one image
+    rows = [(i, "d1", f"i{i}" if i % 3 else "one", "g" if i % 3 == 1 else f"g{i}", "a", "", "") for i in range(1, 601)]
+    config = spark.createDataFrame([("d1", "dx", "lesion_id", (0.7, 0.2, 0.1, 9))], CONFIG)
+    got, tree = splits.related(spark.createDataFrame(rows, META), config)
+    groups = {r.row_id: r.group_id for r in got.collect()}
+    assert groups == {i: 3 if i % 3 == 0 else 1 if i % 3 == 1 else i for i in range(1, 601)}
+    assert tree.count() == 2 * 199
+    assert splits.assign_splits(spark.createDataFrame(rows, META), config).count() == 600
+
+
+def test_forest_of_nothing(spark):
+    labels, tree = forest.spanning_forest(spark.createDataFrame([(3, 3), (None, 1)], "a bigint, b bigint"))
+    assert labels.count() == 0 and tree.count() == 0
