@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import cells, clusters, neighbours
+from quillon.operators import positions
 
 SCHEMA = "id bigint, vec array<float>, cell int, v string, h1 string"
 
@@ -136,6 +137,50 @@ def test_copies_form_a_cluster_and_are_described(spark):
     assert (r.cluster_id, r["size"], r.typical_ids, r.medoid_similarity) == (1, 4, [1, 2, 3], 1.0)
 
 
+@pytest.mark.parametrize("few", [None, 0])
+def test_clusters_of_cells_in_parts_equal_brute_force(spark, monkeypatch, few):
+    """Cells are cut into parts of a few rows, so clusters lie in many parts; joins take their way for hot keys."""
+    monkeypatch.setattr(clusters, "PART_ROWS", 40)
+    monkeypatch.setattr(clusters, "RESIDENTS", 400)
+    if few is not None:
+        monkeypatch.setattr(positions, "FEW_ROWS", few)
+    rng = np.random.default_rng(21)
+    one = rng.normal(size=64)
+    one /= np.linalg.norm(one)
+    vectors = [*planted(9, 20, 100), *(one + rng.normal(size=(250, 64)) * 0.02), *([one] * 30)]
+    s = brute(vectors)
+    want = {(i + 1, int(min(i, *np.flatnonzero(row >= 0.8))) + 1) for i, row in enumerate(s) if (row >= 0.8).sum() >= 2}
+    got = {(r.id, r.cluster_id) for r in clusters.cluster(frame(spark, vectors), "id", "vec").collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("part", [20, 8192])
+def test_merged_sets_hold_similar_vectors_only(spark, monkeypatch, part):
+    """Chains run through many cells: whatever is merged, no set has a pair that is not similar."""
+    monkeypatch.setattr(clusters, "PART_ROWS", part)
+    monkeypatch.setattr(clusters, "RESIDENTS", 8)
+    rng = np.random.default_rng(2)
+    chains = []
+    for _ in range(12):
+        a, b = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        chains += [np.cos(t) * a + np.sin(t) * b for t in np.radians(np.arange(0, 180, 6) + rng.uniform(0, 3, 30))]
+    s = brute(chains)
+    sets = {}
+    for r in clusters.cluster(frame(spark, chains), "id", "vec", smallest=2).collect():
+        sets.setdefault(r.cluster_id, []).append(r.id - 1)
+    assert len(sets) > 40 and all(s[i, j] >= 0.8 - 1e-6 for own in sets.values() for i in own for j in own if i != j)
+    assert all(min(own) + 1 == name for name, own in sets.items())
+
+
+def test_points_make_a_core_point():
+    """With three points to a core, two alone are no cluster, and one in reach of a core belongs to it."""
+    x = np.zeros((6, 64), "float32")
+    for i, t in enumerate(np.radians([0, 8, 16, 50, 90, 98])):
+        x[i, 0], x[i, 1] = np.cos(t), np.sin(t)
+    assert sorted(map(sorted, clusters.local_clusters(x, 0.95, points=3))) == [[0, 1, 2]]
+    assert sorted(map(sorted, clusters.local_clusters(x, 0.95))) == [[0, 1, 2], [4, 5]]
+
+
 def test_a_chain_is_divided_into_mutually_similar_sets():
     angles = np.radians([0, 25, 50, 75])
     x = np.zeros((4, 64))
