@@ -1,17 +1,19 @@
 """Problem 1: the most similar vectors of every vector, with score-aware four-bit codes.
 
 A partition tree is fitted on a bounded sample; every vector lives in the cell of its nearest centre and visits
-all others that are almost as near, however many.  A group that splits would not separate stays one cell, and
-cells of many rows are scanned in salted blocks of residents and visitors.  In a cell each resident is stored as 32 codes of four bits
+all others that are almost as near, however many.  Where the table has many more rows than the tree's leaves can
+hold, every leaf is cut again by the same residual centres, so that the number of cells grows with the table.
+A group that splits would not separate stays one cell, and cells of many rows are scanned in salted blocks of
+residents and visitors.  In a cell each resident is stored as 32 codes of four bits
 of its residual to the centre.  Codes and codebook minimise the anisotropic loss: of the residual error, the
 part parallel to the vector weighs ``eta`` times the rest, as it is that part which changes large inner
 products.  Visitors score all residents by table scans (16 entries per code, all queries of a block side by
 side), the best go to an exact comparison, as do all others whose codes cannot rule them out, and the lists of all
 cells are merged by similarity and id.
 
-Nothing is dropped: every usable vector is indexed and asks.  Equal vectors stay as their ``k + 1`` smallest
-ids: by the tie rule these are the neighbours of all others, so a set of copies of any size costs ``k + 1``
-rows.  Sizes that are broadcast (centres, codebook, query blocks) are bounded by constants below.
+Nothing is dropped: every usable vector is indexed or a copy, and asks.  Equal vectors are indexed by their ``k + 1``
+smallest ids: by the tie rule the first ``k`` are the neighbours of all further ones, which get that list by a join.
+Sizes that are broadcast (centres, residual centres, codebook) are bounded by constants below.
 
 Defined cases: vectors that are null, wrongly sized, not finite or zero have no neighbours; rows with one id
 count once; ties go to the smaller id; similarities are rounded to six places before they are ranked; empty
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .cells import DIMENSIONS, FIT_ROWS, as_rows, first_copies, sample, split_cells, usable_vectors
-from .common import checkpointed, table
+from .common import join_hot, table
 
 SUBSPACES, CODES = 32, 16
 WIDTH = DIMENSIONS // SUBSPACES
@@ -40,10 +42,10 @@ MARGIN = 0.06
 RESIDENT_BLOCK, ASKER_BLOCK = 8192, 32_768
 RERANKED = 48
 QUERY_BLOCK = 256
-#: Queries that are broadcast at once when a stated set is compared with all rows.
-STATED_BLOCK = 8192
-#: Rows scored together and of these the number compared exactly, for stated queries.
-STATED_ROWS, STATED_RERANKED = 2048, 192
+#: The margin where neighbours of any similarity are asked for: those of noise lie in more cells.
+WIDE_MARGIN = 0.4
+#: Cells of the second level in one of the first, at most, and of both levels together.
+SUB_MOST, CELLS_MOST = 256, 1 << 20
 #: Rows whose visits are looked for together, and visits sent together.
 VISIT_ROWS, VISIT_SENT = 2048, 16_384
 
@@ -107,12 +109,66 @@ def reach(least: float) -> float:
     return math.sqrt(max(0.0, 2 - 2 * least))
 
 
-def visited_cells(points, centres, most_apart: float, margin: float = MARGIN):
-    """(row, cell, home): for each point its nearest cell and all within ``margin`` of it.
+class Cells:
+    """Cells of one or two levels: centres of the tree, and in each of them the same residual centres ``sub``.
 
-    A vector and its partner, ``most_apart`` away at most, differ by at most that times the distance of two centres
-    in how much nearer one of them is, so cells beyond that hold no partner and are not visited.
+    What is kept is bounded by constants, while the number of cells is the product: it grows with the table to
+    CELLS_MOST.  A cell's number is that of its tree cell times the number of residual centres, plus that of its own.
     """
+
+    def __init__(self, centres, sub):
+        import numpy as np
+
+        self.centres, self.sub, self.width = centres, sub, len(sub)
+        self.cross = centres @ sub.T
+        lengths = (sub**2).sum(axis=1)[None, :] + 2 * self.cross + (centres**2).sum(axis=1)[:, None]
+        self.norm = np.sqrt(np.maximum(lengths, 1e-12)).astype("float32")
+        self.gram = sub @ sub.T
+
+    def __len__(self):
+        return len(self.centres) * self.width
+
+    def centre(self, cell: int):
+        top, low = divmod(int(cell), self.width)
+        return (self.centres[top] + self.sub[low]) / self.norm[top, low]
+
+    def visits(self, points, most_apart: float, margin: float = MARGIN):
+        """(row, cell, home): for each point its nearest cell and all within ``margin`` of it.
+
+        A vector and its partner, ``most_apart`` away at most, differ by at most that times the distance of two centres
+        in how much nearer one of them is, so cells beyond that hold no partner and are not visited.  This holds on both
+        levels, as a vector's home is the nearest of the second level in the nearest of the first.
+        """
+        import numpy as np
+
+        row, cell, home = visited_cells(points, self.centres, most_apart, margin)
+        if self.width == 1:
+            return row, cell, home
+        found = ([], [], [])
+        for start in range(0, len(row), VISIT_ROWS):
+            r, c, h = (x[start : start + VISIT_ROWS] for x in (row, cell, home))
+            norm = self.norm[c]
+            close = ((points[r] * self.centres[c]).sum(axis=1)[:, None] + points[r] @ self.sub.T) / norm
+            best = close.argmax(axis=1)
+            at = np.arange(len(r))
+            inner = 1 + self.cross[c, best][:, None] + self.cross[c] + self.gram[best]
+            between = np.sqrt(np.maximum(2 - 2 * inner / (norm[at, best][:, None] * norm), 0))
+            kept = close[at, best][:, None] - close <= np.minimum(margin, most_apart * between + 1e-5)
+            kept[at, best] = True
+            i, low = np.nonzero(kept)
+            for out, x in zip(found, (r[i], c[i] * self.width + low, h[i] & (low == best[i]))):
+                out.append(x)
+        return tuple(np.concatenate(x) if x else np.zeros(0, int) for x in found)
+
+    def homes(self, points):
+        row, cell, home = self.visits(points, 0.0, 0.0)
+        out = cell[home].copy()
+        out[row[home]] = cell[home]
+        return out
+
+
+def visited_cells(points, centres, most_apart: float, margin: float = MARGIN):
+    """As ``Cells.visits`` on one level."""
     import numpy as np
 
     close = points @ centres.T
@@ -124,6 +180,25 @@ def visited_cells(points, centres, most_apart: float, margin: float = MARGIN):
     return row, cell, cell == best[row]
 
 
+def residual_centres(points, centres, rows: int, wanted: int | None = None, seed: int = 5):
+    """Centres of the second level, by k-means of the sample's residuals; one at zero where a level is enough."""
+    import numpy as np
+
+    need = rows / (len(centres) * RESIDENTS)
+    if wanted is None:
+        wanted = 1 if need <= 4 else int(min(SUB_MOST, CELLS_MOST // len(centres), 2 ** math.ceil(math.log2(need))))
+    if wanted <= 1 or len(points) < 4 * wanted:
+        return np.zeros((1, DIMENSIONS), "float32")
+    rest = points - centres[(points @ centres.T).argmax(axis=1)]
+    book = rest[np.random.default_rng(seed).choice(len(rest), wanted, replace=False)].copy()
+    for _ in range(8):
+        near = ((book**2).sum(axis=1)[None, :] - 2 * rest @ book.T).argmin(axis=1)
+        count = np.bincount(near, minlength=wanted)
+        sums = np.stack([np.bincount(near, rest[:, d], minlength=wanted) for d in range(DIMENSIONS)], axis=1)
+        book[count > 0] = (sums[count > 0] / count[count > 0][:, None]).astype("float32")
+    return book
+
+
 def separable_cells(points, largest: int, most_apart: float, seed: int = 7):
     """Centres of a tree of two-means splits; a leaf of which most points would visit both sides is not split."""
     import numpy as np
@@ -145,43 +220,36 @@ def separable_cells(points, largest: int, most_apart: float, seed: int = 7):
     return found / np.maximum(np.linalg.norm(found, axis=1), 1e-9)[:, None]
 
 
-def fit(points, rows: int, centres=None):
-    """Model of an index: cell centres, the length of the residuals in each cell, and the codebook."""
-    import numpy as np
-
-    if not len(points):
-        points = np.eye(1, DIMENSIONS, dtype="float32")
-    if centres is None:
-        centres = split_cells(points, largest_leaf(points, rows))
-    home = (points @ centres.T).argmax(axis=1)
-    residuals = points - centres[home]
-    squared = (residuals**2).sum(axis=1)
-    count = np.bincount(home, minlength=len(centres))
-    overall = max(float(np.sqrt(squared.mean())), 1e-3)
-    lengths = np.sqrt(np.bincount(home, squared, minlength=len(centres)) / np.maximum(count, 1))
-    lengths = np.where((count >= 4) & (lengths > 1e-3), lengths, overall).astype("float32")
-    return {"centres": centres, "lengths": lengths, "codebook": fit_codebook(points, residuals / lengths[home][:, None])}
-
-
 def largest_leaf(points, rows: int) -> int:
     return max(8, math.ceil(len(points) * RESIDENTS / max(rows, 1)))
 
 
-def pair_model(points, rows: int, least: float):
-    """``fit`` with cells for pairs of similarity ``least`` or more, and in how many blocks each is scanned."""
+def pair_model(points, rows: int, least: float, margin: float = MARGIN, wanted: int | None = None):
+    """Model of an index: centres of both levels, the length of the residuals in each tree cell, the codebook, and in
+    how many blocks of residents and of visitors each cell is scanned."""
     import numpy as np
 
     if not len(points):
         points = np.eye(1, DIMENSIONS, dtype="float32")
-    model = fit(points, rows, separable_cells(points, largest_leaf(points, rows), reach(least)))
-    each, count = rows / len(points), len(model["centres"])
-    residents, askers = np.zeros(count), np.zeros(count)
-    for start in range(0, len(points), 2048):
-        _, cell, home = visited_cells(points[start : start + 2048], model["centres"], reach(least))
-        residents += np.bincount(cell[home], minlength=count)
-        askers += np.bincount(cell, minlength=count)
-    blocks = lambda n, size: np.maximum(1, np.ceil(n * each / size)).astype("int64")
-    return model | {"blocks": np.stack([blocks(residents, RESIDENT_BLOCK), blocks(askers, ASKER_BLOCK)], axis=1)}
+    centres = separable_cells(points, largest_leaf(points, rows), reach(least))
+    sub = residual_centres(points, centres, rows, wanted)
+    cells = Cells(centres, sub)
+    home = cells.homes(points)
+    top = home // cells.width
+    residuals = points - (centres[top] + sub[home % cells.width]) / cells.norm[top, home % cells.width][:, None]
+    squared = (residuals**2).sum(axis=1)
+    count = np.bincount(top, minlength=len(centres))
+    overall = max(float(np.sqrt(squared.mean())), 1e-3)
+    lengths = np.sqrt(np.bincount(top, squared, minlength=len(centres)) / np.maximum(count, 1))
+    lengths = np.where((count >= 4) & (lengths > 1e-3), lengths, overall).astype("float32")
+    book = fit_codebook(points, residuals / lengths[top][:, None])
+    each, residents, askers = rows / len(points), np.zeros(len(cells)), np.zeros(len(cells))
+    for start in range(0, len(points), VISIT_ROWS):
+        _, cell, at_home = cells.visits(points[start : start + VISIT_ROWS], reach(least), margin)
+        residents += np.bincount(cell[at_home], minlength=len(cells))
+        askers += np.bincount(cell, minlength=len(cells))
+    blocks = lambda n, size: np.maximum(1, np.ceil(n * each / size)).astype("int32")
+    return {"centres": centres, "sub": sub, "lengths": lengths, "codebook": book, "blocks": np.stack([blocks(residents, RESIDENT_BLOCK), blocks(askers, ASKER_BLOCK)], axis=1)}
 
 
 def placed_in_blocks(ids, cell, home, blocks):
@@ -189,7 +257,7 @@ def placed_in_blocks(ids, cell, home, blocks):
     import numpy as np
 
     mixed = (ids.astype("uint64") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    r, a = blocks[cell, 0], blocks[cell, 1]
+    r, a = blocks[cell, 0].astype("int64"), blocks[cell, 1].astype("int64")
     own_r, own_a = (mixed % r.astype("uint64")).astype("int64"), ((mixed >> np.uint64(7)) % a.astype("uint64")).astype("int64")
     repeated = lambda n: (np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
     visit, block = repeated(r)
@@ -245,7 +313,8 @@ def _scan_cell(model, k: int, least: float):
         values = model.value
         out = ([], [], [])
         if len(at):
-            centre, length = values["centres"][cell], values["lengths"][cell]
+            levels = Cells(values["centres"], values["sub"])
+            centre, length = levels.centre(cell), values["lengths"][cell // levels.width]
             codes = encode(residents, (residents - centre) / length, values["codebook"])
             missed = residents - centre - length * values["codebook"][np.arange(SUBSPACES), codes].reshape(len(at), DIMENSIONS)
             along, off = (missed * residents).sum(axis=1), np.sqrt((missed**2).sum(axis=1))
@@ -299,24 +368,25 @@ def _scan_cell(model, k: int, least: float):
     return scan
 
 
-def neighbour_pairs(df: DataFrame, key: str, vector: str, k: int = 10, least: float = -1.0, margin: float = MARGIN) -> DataFrame:
-    """(a, b, s, place): for each indexed vector its ``k`` most similar ones of similarity ``least`` or more.
-
-    A pair that either side finds counts for both.
-    """
-    rows = df.count()
-    vectors = usable_vectors(df, key, vector)
-    model = df.sparkSession.sparkContext.broadcast(pair_model(sample(vectors, rows), rows, least))
+def _indexed_pairs(vectors: DataFrame, rows: int, k: int, least: float, margin: float, every: int | None, sub_cells: int | None) -> DataFrame:
+    """(a, b, s, place) for the indexed vectors that ask: all of them, or those whose id ``every`` divides."""
+    model = vectors.sparkSession.sparkContext.broadcast(pair_model(sample(vectors, rows), rows, least, margin, sub_cells))
 
     def visit(batches):
         import numpy as np
         import pyarrow as pa
 
-        centres, blocks = model.value["centres"], model.value["blocks"]
+        cells, blocks = Cells(model.value["centres"], model.value["sub"]), model.value["blocks"]
         for batch in (b.slice(i, VISIT_ROWS) for b in batches for i in range(0, b.num_rows, VISIT_ROWS)):
-            points = as_rows(pa.chunked_array([batch.column(1)]))
-            row, cell, home = visited_cells(points, centres, reach(least), margin)
-            visit, part, home, asks = placed_in_blocks(batch.column(0).to_numpy()[row], cell, home, blocks)
+            points, ids = as_rows(pa.chunked_array([batch.column(1)])), batch.column(0).to_numpy()
+            row, cell, home = cells.visits(points, reach(least), margin)
+            asker = np.ones(len(ids), bool) if every is None else ids % every == 0
+            used = home | asker[row]
+            row, cell, home = row[used], cell[used], home[used]
+            visit, part, home, asks = placed_in_blocks(ids[row], cell, home, blocks)
+            asks &= asker[row[visit]]
+            used = home | asks
+            visit, part, home, asks = visit[used], part[used], home[used], asks[used]
             for i in range(0, len(visit), VISIT_SENT):
                 own = visit[i : i + VISIT_SENT]
                 took = batch.take(pa.array(row[own]))
@@ -325,84 +395,53 @@ def neighbour_pairs(df: DataFrame, key: str, vector: str, k: int = 10, least: fl
 
     visits = first_copies(vectors, k + 1).select("id", "v").mapInArrow(visit, "cell int, part bigint, id bigint, home boolean, asks boolean, v array<float>")
     pairs = visits.groupBy("cell", "part").applyInArrow(_scan_cell(model, k, least), "a bigint, b bigint, s double")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")) if least <= -1 else _both_ways(pairs)
+    both = _both_ways(pairs)
+    if every is not None:
+        both = both.filter(F.pmod("a", F.lit(every)) == 0)
     once = both.groupBy("a", "b").agg(F.max("s").alias("s"))
     order = Window.partitionBy("a").orderBy(F.col("s").desc(), F.col("b").asc())
     return once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
+def neighbour_pairs(df: DataFrame, key: str, vector: str, k: int = 10, least: float = -1.0, margin: float | None = None, every: int | None = None, sub_cells: int | None = None) -> DataFrame:
+    """(a, b, s, place): for each usable vector its ``k`` most similar ones of similarity ``least`` or more.
+
+    With ``every`` only the rows whose id it divides ask, against all.  A pair that either side finds counts for both.
+    """
+    rows = df.count()
+    vectors = usable_vectors(df, key, vector)
+    margin = margin if margin is not None else MARGIN if least > 0.5 else WIDE_MARGIN
+    found = _indexed_pairs(vectors, rows, k, least, margin, every, sub_cells)
+    # copies beyond the k + 1 smallest ids of their set have the k smallest as neighbours
+    asks = F.lit(True) if every is None else F.pmod("id", F.lit(every)) == 0
+    index = first_copies(vectors.select("id", "h1", "h2"), k + 1)
+    heads = index.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids")).filter(F.size("ids") > k)
+    heads = heads.select("h1", "h2", F.slice("ids", 1, k).alias("near"), F.element_at("ids", k + 1).alias("last"))
+    later = join_hot(vectors.select("id", "h1", "h2").filter(asks), heads, ["h1", "h2"], rows=rows).filter(F.col("id") > F.col("last")).dropDuplicates(["id"])
+    later = later.select(F.col("id").alias("a"), F.posexplode("near").alias("at", "b"))
+    return found.unionByName(later.select("a", "b", F.lit(1.0).alias("s"), (F.col("at") + 1).alias("place")))
+
+
 def _both_ways(pairs: DataFrame) -> DataFrame:
     """Each pair in both directions, from one evaluation of ``pairs``."""
     ways = F.array(F.struct("a", "b", "s"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
     return pairs.select(F.inline(ways))
 
 
-def mutual_pairs(df: DataFrame, key: str, vector: str, least: float, k: int = 10) -> DataFrame:
-    """(a, b, s), a < b: each is among the ``k`` most similar of the other, with similarity ``least`` or more."""
-    listed = neighbour_pairs(df, key, vector, k, least)
+def mutual_pairs(df: DataFrame, key: str, vector: str, least: float, k: int = 10, sub_cells: int | None = None) -> DataFrame:
+    """(a, b, s), a < b: each is among the ``k`` most similar of the other, with similarity ``least`` or more.
+
+    A copy beyond the ``k + 1`` smallest ids of its set is among nobody's first, so the indexed ones are enough.
+    """
+    listed = _indexed_pairs(usable_vectors(df, key, vector), df.count(), k, least, MARGIN, None, sub_cells)
     ends = listed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s")
     return ends.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("s")).filter("n = 2").drop("n")
 
 
 def stated_neighbours(df: DataFrame, key: str, vector: str, every: int = 20, k: int = 10) -> DataFrame:
-    """(id, neighbour_id, similarity, place) for the rows whose id ``every`` divides, against all rows.
-
-    The queries go out in blocks of STATED_BLOCK; each task scores its rows by table scans (centre part plus
-    residual codes), compares the best of each batch exactly and keeps ``k`` per query.
-    """
-    spark = df.sparkSession
-    rows = df.count()
-    vectors = usable_vectors(df, key, vector)
-    shared = spark.sparkContext.broadcast(fit(sample(vectors, rows), rows))
-    base = checkpointed(first_copies(vectors, k + 1).select("id", "v"))
-    asked = vectors.filter(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id"]).select("id", "v")
-    asked = checkpointed(asked.repartition(max(1, math.ceil(rows / every / STATED_BLOCK))).withColumn("block", F.spark_partition_id()))
-    blocks = [r.block for r in asked.select("block").distinct().collect()]
-    found = None
-    for number in sorted(blocks):
-        block = asked.filter(F.col("block") == number).select("id", "v").toArrow()
-        queries = spark.sparkContext.broadcast((block.column(0).to_numpy(), as_rows(block.column(1))))
-        part = base.mapInArrow(_scan_stated(shared, queries, k), "id bigint, neighbour_id bigint, similarity double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "id bigint, neighbour_id bigint, similarity double, place int")
-    order = Window.partitionBy("id").orderBy(F.col("similarity").desc(), F.col("neighbour_id").asc())
-    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
-
-
-def _scan_stated(model, queries, k: int):
-    def scan(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        values, (asking, asked) = model.value, queries.value
-        for batch in (b.slice(i, STATED_ROWS) for b in batches for i in range(0, b.num_rows, STATED_ROWS)):
-            names, points = batch.column(0).to_numpy(), as_rows(pa.chunked_array([batch.column(1)]))
-            order = np.argsort(names, kind="stable")
-            names, points = names[order], points[order]
-            home = (points @ values["centres"].T).argmax(axis=1)
-            length = values["lengths"][home]
-            codes = encode(points, (points - values["centres"][home]) / length[:, None], values["codebook"])
-            kept = min(STATED_RERANKED, len(names))
-            for start in range(0, len(asked), QUERY_BLOCK):
-                q, who = asked[start : start + QUERY_BLOCK], asking[start : start + QUERY_BLOCK]
-                tables = np.einsum("qmw,mkw->mkq", q.reshape(len(q), SUBSPACES, WIDTH), values["codebook"], optimize=True)
-                scores = np.zeros((len(names), len(q)), "float32")
-                for m in range(SUBSPACES):
-                    scores += tables[m][codes[:, m]]
-                scores *= length[:, None]
-                scores += (values["centres"] @ q.T)[home]
-                scores = np.ascontiguousarray(scores.T)
-                some = np.argpartition(scores, len(names) - kept, axis=1)[:, len(names) - kept :]
-                some.sort(axis=1)
-                exact = np.round(np.einsum("qd,qrd->qr", q, points[some]).astype("float64"), 6)
-                exact[names[some] == who[:, None]] = -9
-                best = np.argsort(-exact, axis=1, kind="stable")[:, : min(k, kept)]
-                value = np.take_along_axis(exact, best, axis=1)
-                row, place = np.nonzero(value > -8)
-                yield pa.RecordBatch.from_arrays([pa.array(who[row]), pa.array(names[some[row, best[row, place]]]), pa.array(value[row, place])], names=["id", "neighbour_id", "similarity"])
-
-    return scan
+    """(id, neighbour_id, similarity, place) for the rows whose id ``every`` divides, against all rows in the cells they visit."""
+    found = neighbour_pairs(df, key, vector, k, every=every)
+    return found.select(F.col("a").alias("id"), F.col("b").alias("neighbour_id"), F.col("s").alias("similarity"), "place")
 
 
 TABLES = (("lens_lesion", "lens_id", "feature"), ("frozen_feature", "feat_id", "pooled"))
@@ -418,5 +457,20 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+_UNIT = """
+WITH all_rows AS (SELECT DISTINCT ON (tbl, id) * FROM (SELECT 'lens_lesion' AS tbl, lens_id AS id, feature AS v FROM lens_lesion UNION ALL SELECT 'frozen_feature', feat_id, pooled FROM frozen_feature)),
+doubles AS (SELECT tbl, id, list_transform(v, lambda x: x::DOUBLE) AS v FROM all_rows WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT tbl, id, (list_transform(v, lambda x: x / n))::DOUBLE[64] AS v FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM doubles) WHERE n > 0)"""
+#: A table that fits one cell, as those of the SQL check do, is searched whole, so the lists are exact there.
+ORACLE = {
+    "p1_neighbours": _UNIT + """,
+f AS (SELECT tbl, id, (list_transform(v, lambda x: x::FLOAT::DOUBLE))::DOUBLE[64] AS v FROM u),
+near AS (SELECT a.tbl, a.id, b.id AS neighbour_id, round(array_inner_product(a.v, b.v), 6) AS similarity FROM f a JOIN f b ON a.tbl = b.tbl AND a.id <> b.id WHERE a.id % 20 = 0)
+SELECT tbl, id, neighbour_id, similarity, row_number() OVER (PARTITION BY tbl, id ORDER BY similarity DESC, neighbour_id) AS place FROM near QUALIFY place <= 10""",
+    "p1_found": _UNIT + """,
+near AS (SELECT a.tbl, a.id AS a, b.id AS b, round(array_inner_product(a.v, b.v), 6) AS s FROM u a JOIN u b ON a.tbl = b.tbl AND a.id <> b.id AND array_inner_product(a.v, b.v) >= 0.9849),
+top AS (SELECT *, row_number() OVER (PARTITION BY tbl, a ORDER BY s DESC, b) AS place FROM near WHERE s >= 0.985)
+SELECT x.tbl, x.a AS a_id, x.b AS b_id FROM top x JOIN top y ON x.tbl = y.tbl AND x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.place <= 10 AND y.place <= 10""",
+}
 QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours}
 assert FIT_ROWS * DIMENSIONS * 4 <= 16 << 20  # what is gathered to fit an index

@@ -84,6 +84,24 @@ def test_many_equal_vectors_keep_the_smallest_ids(spark):
     df = frame(spark, [same] * 30 + [other])
     got = {(r.a, r.b) for r in neighbours.mutual_pairs(df, "id", "vec", 0.985).collect()}
     assert got == {(a, b) for a in range(1, 12) for b in range(a + 1, 12)}
+    lists = {}
+    for r in neighbours.neighbour_pairs(df, "id", "vec").orderBy("a", "place").collect():
+        lists.setdefault(r.a, []).append(r.b)
+    assert set(lists) == set(range(1, 32))  # every copy has its list
+    assert all(lists[a] == [b for b in range(1, 12) if b != a][:10] for a in range(1, 31))
+    asked = {r.a for r in neighbours.neighbour_pairs(df, "id", "vec", every=10).collect()}
+    assert asked == {10, 20, 30}
+
+
+@pytest.mark.parametrize("sub_cells", [1, 8, 32])
+def test_pairs_of_two_levels_equal_brute_force(spark, sub_cells):
+    """The second level of cells, as large tables have it: no pair is lost to it."""
+    vectors = planted(7, 60, 600)
+    s = brute(vectors)
+    top = [set(np.argsort(-row, kind="stable")[:10]) for row in s]
+    want = {(i + 1, j + 1) for i in range(len(s)) for j in top[i] if i < j and i in top[j] and s[i, j] >= 0.985}
+    got = {(r.a, r.b) for r in neighbours.mutual_pairs(frame(spark, vectors), "id", "vec", 0.985, sub_cells=sub_cells).collect()}
+    assert len(want) > 50 and got == want
 
 
 @pytest.mark.parametrize("count", [0, 1, 2])
