@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .cumulative import exact_percentiles, level_name
 
 
 def _components(df: DataFrame, vector: str, axis: dict) -> DataFrame:
@@ -34,12 +35,14 @@ def build(df: DataFrame, vector: str, positive: Column, dimensions: int, low: fl
         raise ValueError("the centroids of the groups coincide; there is no axis")
     axis = {"u": [x / length for x in difference], "base": base}
     measured = _components(usable, vector, axis)
-    pick = lambda column, share, when: F.expr(f"percentile({column}, {share}) FILTER (WHERE {when})")
-    one = measured.agg(
-        pick("_proj", low, "NOT _positive").alias("lo"), pick("_proj", high, "_positive").alias("hi"), pick("residual", off, "true").alias("thr"), F.min("_proj").alias("least"), F.max("_proj").alias("most")
-    ).first()
-    lo, hi = (one.lo, one.hi) if one.hi > one.lo else (one.least, one.most + 1e-9)
-    return axis | {"anchor_lo": lo, "anchor_hi": hi, "residual_threshold": one.thr}
+    kind = F.when(F.col("_positive"), "high").otherwise("low")
+    long = measured.select(F.inline(F.array(F.struct(kind.alias("kind"), F.col("_proj").alias("x")), F.struct(F.lit("off").alias("kind"), F.col("residual").alias("x")))))
+    found = {r["kind"]: r for r in exact_percentiles(long, ["kind"], "x", sorted({low, high, off})).collect()}  # three rows
+    name = level_name
+    one = measured.agg(F.min("_proj").alias("least"), F.max("_proj").alias("most")).first()
+    bottom, top, threshold = found["low"][name(low)], found["high"][name(high)], found["off"][name(off)]
+    lo, hi = (bottom, top) if top > bottom else (one.least, one.most + 1e-9)
+    return axis | {"anchor_lo": lo, "anchor_hi": hi, "residual_threshold": threshold}
 
 
 def project(df: DataFrame, vector: str, axis: dict) -> DataFrame:

@@ -17,11 +17,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
-def _rows(column):
+def finite_rows(batch, dimensions: int):
+    """(keys, matrix) of the rows of an Arrow batch (key, vector) whose vector has ``dimensions`` finite values; others are left out."""
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(n, -1) if n else np.zeros((0, 0))
+    good = pc.and_(pc.equal(pc.list_value_length(batch.column(1)), dimensions), batch.column(0).is_valid())
+    batch = batch.filter(pc.fill_null(good, False))
+    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, dimensions)  # a null becomes NaN
+    fine = np.isfinite(x).all(axis=1)
+    return batch.column(0).filter(pa.array(fine)), x[fine]
 
 
 def codebook_blocks(codebook: DataFrame, key: str, vector: str):
@@ -29,7 +35,13 @@ def codebook_blocks(codebook: DataFrame, key: str, vector: str):
     import numpy as np
 
     ids, rows = [], []
-    for r in codebook.select(key, vector).orderBy(key).toLocalIterator():
+    v, d = F.col(vector), None
+    usable = codebook.filter(F.col(key).isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    for r in usable.select(key, vector).orderBy(key).toLocalIterator():
+        if d is None:
+            d = len(r[1])
+        if len(r[1]) != d or not d:
+            raise ValueError(f"vectors of {len(r[1])} and {d} values on the bounded side; all must have the same number, and one at least")
         ids.append(r[0])
         rows.append(r[1])
         if len(ids) == BLOCK_ROWS:
@@ -39,10 +51,11 @@ def codebook_blocks(codebook: DataFrame, key: str, vector: str):
         yield np.array(ids), np.array(rows, "float64")
 
 
-def nearest(df: DataFrame, key: str, vector: str, codebook: DataFrame, code_key: str, code_vector: str, k: int = 1) -> DataFrame:
-    """(key, code, d2, place): the ``k`` nearest codebook vectors of every row; ties go to the smaller code.
+def nearest(df: DataFrame, key: str, vector: str, codebook: DataFrame, code_key: str, code_vector: str, k: int | None = 1) -> DataFrame:
+    """(key, code, d2, place): the ``k`` nearest codebook vectors of every row, all of them for None; ties go to the smaller code.
 
-    Rows with a null vector or a null inside it have none.
+    Rows whose vector is null, has another number of values than the codebook's, or one that is null or not finite
+    have none, nor do rows without a key; such codebook vectors are left out.
     """
     spark, found = df.sparkSession, None
     usable = spread(df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, vector))
@@ -55,17 +68,17 @@ def nearest(df: DataFrame, key: str, vector: str, codebook: DataFrame, code_key:
 
             codes, book = shared.value
             squares = (book**2).sum(axis=1)
-            width = min(k, len(codes))
+            width = min(k or len(codes), len(codes))
             for batch in batches:
-                if not batch.num_rows:
+                names, x = finite_rows(batch, book.shape[1])
+                if not len(x):
                     continue
-                x = _rows(batch.column(1))
                 d2 = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ book.T + squares[None, :], 0)
                 best = np.argsort(d2, axis=1, kind="stable")[:, :width]
                 value = np.take_along_axis(d2, best, axis=1)
-                place = np.repeat(np.arange(batch.num_rows), width)
+                place = np.repeat(np.arange(len(x)), width)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(place)), pa.array(codes[best.ravel()].astype("int64")), pa.array(value.ravel())], names=[key, "code", "d2"]
+                    [names.take(pa.array(place)), pa.array(codes[best.ravel()].astype("int64")), pa.array(value.ravel())], names=[key, "code", "d2"]
                 )
 
         part = usable.mapInArrow(measure, f"{key} {dict(df.dtypes)[key]}, code bigint, d2 double")
@@ -73,14 +86,16 @@ def nearest(df: DataFrame, key: str, vector: str, codebook: DataFrame, code_key:
     if found is None:
         return spark.createDataFrame([], f"{key} {dict(df.dtypes)[key]}, code bigint, d2 double, place int")
     order = Window.partitionBy(key).orderBy("d2", "code")
-    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    placed = found.withColumn("place", F.row_number().over(order))
+    return placed if k is None else placed.filter(F.col("place") <= k)
 
 
 def cosine_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(query, neighbour, s, place): the ``k`` most cosine-similar rows of ``base``, itself left out.
 
     The queries go out in blocks; each task keeps ``k`` of its rows per query. Similarities are rounded to nine
-    places, ties go to the smaller id, zero vectors take no part.
+    places, ties go to the smaller id; vectors of zero, null, of another length or with a value that is null or not
+    finite take no part.
     """
     spark, found = base.sparkSession, None
     usable = spread(base.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, vector))
@@ -95,9 +110,10 @@ def cosine_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str
             length = np.linalg.norm(asked, axis=1)
             asking, asked = asking[length > 0], asked[length > 0] / length[length > 0][:, None]
             for batch in batches:
-                if not batch.num_rows or not len(asking):
+                names, x = finite_rows(batch, asked.shape[1])
+                if not len(x) or not len(asking):
                     continue
-                names, x = batch.column(0).to_numpy(), _rows(batch.column(1))
+                names = names.to_numpy()
                 own = np.linalg.norm(x, axis=1)
                 names, x = names[own > 0], x[own > 0] / own[own > 0][:, None]
                 order = np.argsort(names, kind="stable")

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positions import last_known, with_position
+
 
 def average_rank(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
     """Adds the 0-based rank of ``value`` in its group, ties sharing the mean of their places.
 
-    Ranks are counted over the different values, so a value that fills a group costs one row of the window.
+    Ranks are running sums over the different values, sorted by range over all partitions, so neither a group nor a
+    value is one task's.
     """
-    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn(name, before + (F.col("_n") - 1) / 2.0).drop("_n")
-    return df.join(ranks, [*group, value])
+    keyed = F.to_json(F.struct(*group), {"ignoreNullFields": "false"})
+    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_key", keyed)
+    upto = with_position(counts, "_key", [F.col(value).asc()], "_upto", weight="_n")
+    ranks = upto.select(*group, value, (F.col("_upto") - F.col("_n") + (F.col("_n") - 1) / 2.0).alias(name))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, value]]
+    return df.alias("l").join(ranks.alias("r"), same).select("l.*", F.col(f"r.{name}"))
 
 
 def spearman(df: DataFrame, group: list[str], a: str, b: str) -> DataFrame:
@@ -46,15 +51,17 @@ def last_ema(placed: DataFrame, key: str, value: str, place: str, total: str, al
     return placed.groupBy(key).agg(F.sum(ema_weights(F.col(total) - F.col(place), alpha) * F.col(value)).alias("ema"))
 
 
-def hysteresis(df: DataFrame, key: str, order: list[str], value: str, threshold: float, margin: float = 0.06) -> DataFrame:
+def hysteresis(df: DataFrame, key: str, order: list[str], value: str, threshold: Column | float, margin: float = 0.06) -> DataFrame:
     """Adds ``visible``: on above threshold + margin, off at or below threshold - margin, else as before (at first off).
 
-    The state is that of the last decisive value, so the fold is one running window that holds a single row; the
-    rows of a key are sorted by one task, which spills, so keys are expected to be many.
+    The state is that of the last decisive value, carried over all partitions, so a key of any size is no single task's.
+    Rows without a key are a timeline of their own.
     """
-    decisive = F.when(F.col(value) > threshold + margin, True).when(F.col(value) <= threshold - margin, False)
-    running = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("visible", F.coalesce(F.last(decisive, ignorenulls=True).over(running), F.lit(False)))
+    limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    decisive = F.when(F.col(value) > limit + margin, True).when(F.col(value) <= limit - margin, False)
+    marked = df.withColumn("_line", F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("-"))).withColumn("_decisive", decisive)
+    placed = last_known(marked, "_line", [F.col(c).asc() for c in order], "_decisive", "_last")
+    return placed.select(*df.columns, F.coalesce("_last", F.lit(False)).alias("visible"))
 
 
 def first_seen_labels(df: DataFrame, group: list[str], label: str, order: str) -> DataFrame:
@@ -65,8 +72,9 @@ def first_seen_labels(df: DataFrame, group: list[str], label: str, order: str) -
 
 def not_rising(df: DataFrame, group: str, order: str, value: str, tolerance: float = 1e-4) -> DataFrame:
     """(group, steps, verdict): whether all steps stay within ``tolerance`` of not rising; two finite values at least."""
-    fine = df.filter(~F.isnan(value) & (F.abs(value) < float("inf")))
-    step = F.col(value) - F.lag(value).over(Window.partitionBy(group).orderBy(order))
-    held = fine.withColumn("_step", step).groupBy(group).agg(F.count("_step").alias("steps"), F.bool_and(F.col("_step") <= tolerance).alias("_down"))
+    fine = df.filter(~F.isnan(value) & (F.abs(value) < float("inf")) & F.col(group).isNotNull()).select(group, order, value)
+    placed = with_position(fine, group, [F.col(order).asc()], "_place")
+    step = F.col(value) - F.col("_previous")
+    held = with_previous(placed, [group], "_place", value).withColumn("_step", step).groupBy(group).agg(F.count("_step").alias("steps"), F.bool_and(F.col("_step") <= tolerance).alias("_down"))
     verdict = F.when(F.col("steps") < 1, "undetermined").when(F.col("_down"), "monotone").otherwise("not monotone")
     return held.select(group, "steps", verdict.alias("verdict"))

@@ -82,8 +82,9 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores(spark))
 
 
-def local_positions(df: DataFrame, group: str, order: list[Column], keep: int | None = None) -> DataFrame:
-    """Range-sort ``df`` by ``group`` and ``order`` over all partitions and number the rows inside each partition.
+def local_positions(df: DataFrame, group: str, order: list[Column], keep: int | None = None, weight: str | None = None) -> DataFrame:
+    """Range-sort ``df`` by ``group`` and ``order`` over all partitions and number the rows inside each partition, or
+    sum up their ``weight``, a bigint.
 
     ``group`` must not be null.  Adds ``_pid`` and ``_rank`` (from 1 inside partition and group).  With ``keep``,
     rows whose place in the partition is already beyond it are left out, as their place in the whole is no
@@ -93,6 +94,7 @@ def local_positions(df: DataFrame, group: str, order: list[Column], keep: int |
     spark = df.sparkSession
     ranged = df.repartitionByRange(shuffle_width(spark), F.col(group), *order).sortWithinPartitions(F.col(group), *order)
     at = df.columns.index(group)
+    heavy = None if weight is None else df.columns.index(weight)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     schema = schema.add("_pid", T.IntegerType()).add("_rank", T.LongType()).add("_count", T.LongType())
 
@@ -115,7 +117,11 @@ def local_positions(df: DataFrame, group: str, order: list[Column], keep: int |
             starts[0] = keys[0].as_py() != last
             place = np.arange(n)
             begin = np.maximum.accumulate(np.where(starts, place, -1))
-            rank = np.where(begin < 0, seen + place + 1, place - begin + 1)
+            if weight is None:
+                rank = np.where(begin < 0, seen + place + 1, place - begin + 1)
+            else:
+                upto = np.concatenate([[0], np.cumsum(batch.column(heavy).to_numpy())])
+                rank = np.where(begin < 0, seen + upto[1:], upto[1:] - upto[np.maximum(begin, 0)])
             last, seen = keys[n - 1].as_py(), int(rank[-1])
             if keep is not None:
                 chosen = rank <= keep
@@ -132,12 +138,14 @@ def local_positions(df: DataFrame, group: str, order: list[Column], keep: int |
     return ranged.mapInArrow(number, schema)
 
 
-def with_position(df: DataFrame, group: str, order: list[Column], name: str = "position", total: str | None = None) -> DataFrame:
+def with_position(df: DataFrame, group: str, order: list[Column], name: str = "position", total: str | None = None, weight: str | None = None) -> DataFrame:
     """Exact place of every row in its group by ``order``, from 1, for groups of any size; with ``total``, its size too.
 
+    With ``weight`` it is the sum of the weights up to and with the row instead.
+
     The offsets number at most two per partition, so they are the one side that is broadcast.
     """
-    local = checkpointed(local_positions(df, group, order))
+    local = checkpointed(local_positions(df, group, order, weight=weight))
     rows = local.filter(F.col("_count").isNull()).drop("_count")
     counts = local.filter(F.col("_count").isNotNull()).select(F.col(group).alias("_g"), F.col("_pid").alias("_p"), "_count")
     # a group goes on from the partition it ends in to the next one that is not empty, and no further
@@ -164,3 +172,53 @@ def top_positions(df: DataFrame, group: str, order: list[Column], n: int, name:
     earlier = Window.partitionBy(group).orderBy("_pid").rangeBetween(Window.unboundedPreceding, -1)
     placed = local.withColumn(name, F.col("_rank") + F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
     return placed.filter(F.col("_count").isNull() & (F.col(name) <= n)).select(*df.columns, name)
+
+
+def last_known(df: DataFrame, group: str, order: list[Column], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the last ``value`` of the group that is not null, up to and with the row, for groups of any size.
+
+    ``group`` must not be null, ``value`` is boolean.  Rows are sorted by range over all partitions and carried on inside each; what a partition
+    ends with is one row, and where a group goes on over partitions the last known of these is looked up.
+    """
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(shuffle_width(spark), F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    at, seen_at = df.columns.index(group), df.columns.index(value)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
+    schema = schema.add("_pid", T.IntegerType()).add("_known", T.BooleanType()).add("_ends", T.BooleanType())
+
+    def carry(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        pid, last, state, proto = TaskContext.get().partitionId(), None, None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            proto, keys, own = batch.schema, batch.column(at), batch.column(seen_at)
+            starts = np.ones(n, bool)
+            starts[1:] = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            starts[0] = keys[0].as_py() != last
+            given, place = own.is_valid().to_numpy(zero_copy_only=False), np.arange(n)
+            begin = np.maximum.accumulate(np.where(starts, place, -1))
+            source = np.maximum.accumulate(np.where(given, place, -1))
+            source = np.where(source >= begin, source, -1)
+            here = (source >= 0) & (given[np.maximum(source, 0)])
+            known = pa.array(np.where(here, np.array(pc.fill_null(own, False).to_numpy(zero_copy_only=False), bool)[np.maximum(source, 0)], bool(state)), mask=~(here | ((begin < 0) & (state is not None))))
+            last, state = keys[n - 1].as_py(), known[n - 1].as_py()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, pid, "int32")), known, pa.nulls(n, pa.bool_())], names=[*proto.names, "_pid", "_known", "_ends"])
+        if proto is not None:
+            row = [pa.array([last], f.type) if i == at else pa.nulls(1, f.type) for i, f in enumerate(proto)]
+            row += [pa.array([pid], pa.int32()), pa.array([state], pa.bool_()), pa.array([True])]
+            yield pa.RecordBatch.from_arrays(row, names=[*proto.names, "_pid", "_known", "_ends"])
+
+    carried = checkpointed(ranged.mapInArrow(carry, schema))
+    ends = carried.filter("_ends").select(F.col(group).alias("_g"), F.col("_pid").alias("_p"), F.col("_known").alias("_k"))
+    ends = ends.withColumn("_next", F.lead("_p").over(Window.orderBy("_p")))  # one row a partition
+    along = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("_before", F.last("_k", ignorenulls=True).over(along)).select("_g", F.col("_next").alias("_q"), "_before").filter("_q IS NOT NULL")
+    rows = carried.filter("_ends IS NULL").drop("_ends")
+    joined = rows.join(F.broadcast(ends), (F.col(group) == F.col("_g")) & (F.col("_pid") == F.col("_q")), "left")
+    return joined.withColumn(name, F.coalesce("_known", "_before")).select(*df.columns, name)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import ordered as O
+from ..operators.cumulative import exact_percentiles
 from ..operators.positions import with_position
 from ..session import load
 from .registry import query
@@ -79,8 +80,8 @@ SELECT event_id, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY user_id
 def label_hysteresis(spark, d):
     """Visibility with a margin around the median value."""
     e = events(spark, d)
-    middle = e.agg(F.expr("percentile(value, 0.5)")).first()[0]
-    return O.hysteresis(e, "user_id", ["ts", "event_id"], "value", middle or 0.0).select("event_id", "visible")
+    middle = exact_percentiles(e, [], "value", (0.5,)).select(F.col("p50").alias("middle"))
+    return O.hysteresis(e.join(F.broadcast(middle)), "user_id", ["ts", "event_id"], "value", F.col("middle")).select("event_id", "visible")
 
 
 _N = "nodes AS (SELECT DISTINCT ON (node_id) node_id, bundle_id, idx, grid.z AS z, hits, umatrix, community, dead FROM sgp_node)"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import axis as A
 from ..operators import dense
+from ..operators.cumulative import exact_percentiles
 from ..session import load
 from .joins import codebook
 from .registry import query
@@ -86,8 +87,8 @@ x AS (SELECT vec_id, code, exp(-d2 / (0.5 * (m + 1e-6))) AS x FROM dist, m)"""
 @query(_SOFT + " SELECT vec_id, code, round(x / sum(x) OVER (PARTITION BY vec_id), 6) AS weight FROM x")
 def soft_similarity(spark, d):
     """Softmax of -d2 over the temperature times the median of all distances: two passes."""
-    near = dense.nearest(load(spark, d, "embeddings"), "vec_id", "embedding", codebook(spark, d), "code", "centre", k=16)
-    middle = near.agg(F.expr("percentile(d2, 0.5)").alias("m"))
+    near = dense.nearest(load(spark, d, "embeddings"), "vec_id", "embedding", codebook(spark, d), "code", "centre", k=None)
+    middle = exact_percentiles(near, [], "d2", (0.5,)).select(F.col("p50").alias("m"))
     raised = near.join(F.broadcast(middle)).select("vec_id", "code", F.exp(-F.col("d2") / (0.5 * (F.col("m") + 1e-6))).alias("x"))
     total = raised.groupBy("vec_id").agg(F.sum("x").alias("t"))
     return raised.join(total, "vec_id").select("vec_id", F.col("code").cast("int").alias("code"), F.round(F.col("x") / F.col("t"), 6).alias("weight"))
