@@ -2,8 +2,8 @@
 
 Values are reduced to counts per group and value (the state: counts of days or files are added to combine
 them), sorted by range over all partitions, given running sums inside each partition plus the offset of the
-partitions before, and the first value that reaches each target rank is picked.  A group of any size is spread
-over partitions; what is gathered per group is one row for each partition it spans.
+partitions before, and the first value that reaches each target rank is picked, all where the sort left them.
+A group of any size is spread over partitions; what is gathered is two sums for each partition.
 
 Error: none by default.  ``relative_error=e`` merges values into logarithmic cells, so that a state has a
 bounded number of rows and every percentile is within ``e`` of the exact one, relative to its size.
@@ -15,28 +15,16 @@ no row; percentiles lie linearly between the two nearest ranks, so ties and one
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, finite, once_per_id, shuffle_width, table
+from ..operators import cumulative
+from ..operators.cumulative import frequencies
+from .common import finite, once_per_id, table
 
 LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
-def frequencies(values: DataFrame, groups: list[str], value: str, relative_error: float | None = None) -> DataFrame:
-    """State of the operator: ``groups``, ``value`` and ``n``, one row for each different value of a group."""
-    v = F.col(value)
-    if relative_error:
-        width = math.log1p(relative_error) * 2
-        cell = F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * F.exp(F.round(F.log(F.abs(v)) / width) * width))
-        values = values.withColumn(value, cell)
-    else:
-        values = values.withColumn(value, F.when(v == 0, F.lit(0.0)).otherwise(v))  # -0.0 and 0.0 are one value
-    return values.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-
-
 def combine(*states: DataFrame) -> DataFrame:
     """One state from the states of separate days, files or runs over the same columns."""
     first, *rest = states
@@ -47,38 +35,7 @@ def combine(*states: DataFrame) -> DataFrame:
 
 def percentiles(state: DataFrame, groups: list[str], value: str, levels=LEVELS, at_least: int = 1) -> DataFrame:
     """``groups``, ``n`` and one column ``pXX`` for each level, of the groups with ``at_least`` values."""
-    spark = state.sparkSession
-    ranged = state.repartitionByRange(shuffle_width(spark), *[F.col(g).asc() for g in groups], F.col(value).asc())
-    pieces = checkpointed(ranged.withColumn("_pid", F.spark_partition_id()))
-    keys = [F.coalesce(F.col(g).cast("string"), F.lit("")).alias(f"_k{i}") for i, g in enumerate(groups)]
-    keys += [F.col(g).isNull().alias(f"_z{i}") for i, g in enumerate(groups)]
-    pieces = pieces.select("*", *keys)
-    names = [f"_{c}{i}" for c in "kz" for i in range(len(groups))]
-    earlier = Window.partitionBy(*names).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        pieces.groupBy(*names, "_pid")
-        .agg(F.sum("n").alias("_m"))
-        .withColumn("_before", F.coalesce(F.sum("_m").over(earlier), F.lit(0)))
-        .withColumn("_total", F.sum("_m").over(Window.partitionBy(*names)))
-        .filter(F.col("_total") >= at_least)
-        .drop("_m")
-    )
-    running = F.sum("n").over(Window.partitionBy(*names, "_pid").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    placed = pieces.withColumn("_run", running).join(offsets, [*names, "_pid"])
-    upto = F.col("_before") + F.col("_run")
-    placed = placed.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("n"))
-    picks = []
-    for i, level in enumerate(levels):
-        rank = (F.col("_total") - 1) * F.lit(float(level))
-        for side, at in (("l", F.floor(rank)), ("h", F.ceil(rank))):
-            hit = (F.col("_from") <= at) & (at < F.col("_upto"))
-            picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{side}{i}"))
-    picked = placed.groupBy(*names).agg(*[F.first(g).alias(g) for g in groups], F.max("_total").alias("n"), *picks)
-    out = [F.col(g) for g in groups] + [F.col("n")]
-    for i, level in enumerate(levels):
-        rank = (F.col("n") - 1) * F.lit(float(level))
-        out.append((F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (rank - F.floor(rank))).alias(f"p{round(level * 100):02d}"))
-    return picked.select(*out)
+    return cumulative.percentiles(state, groups, value, levels, at_least)
 
 
 def measures(packs: DataFrame) -> DataFrame:
