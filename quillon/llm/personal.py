@@ -3,8 +3,9 @@
 Texts become units: words, numbers, punctuation, and candidates of the closed forms (addresses for e-mail, in
 plain or evasive writing; telephone and identity numbers; street addresses), each one unit with its shape.  A
 chain field over the units labels them from their words, shapes, name hints and neighbours; skip edges join
-each repeated unit of a document, hinted names in small letters too, to its first mention, so that what one place shows clearly carries over to the others, by loopy message
-passing: the chains are solved exactly, the skip messages pass between rounds.  Units away from any candidate
+each repeated or similar unit of a document (words that differ in case or accents only, numbers of the same digits,
+addresses for e-mail of the same letters) to its first mention, so that what one place shows clearly carries over to
+the others, by loopy message passing: the chains are solved exactly, the skip messages pass between rounds.  Units away from any candidate
 have no evidence for a label and are left out of the chains, which changes no result.
 
 There are no labelled texts.  The weights are fitted on a bounded sample of documents (FIT_DOCUMENTS, by a hash
@@ -12,8 +13,9 @@ of the id) labelled by clear evidence: hinted given and family names side by sid
 unmistakable formats.  Names of ordinary words are labelled as their context is with other names, and left out
 of the fit where no context tells.  Hints are hidden at random while fitting, so that context is learned.
 
-Names seen often enough by the first labelling of the whole corpus join the hints for the second (a lexicon
-counted over all documents; every accepted name is broadcast, whatever their number).
+Names that stand often enough beside hinted ones in the whole corpus join the hints (a lexicon counted over all
+different texts, in the same pass as the ordinary words).  Up to NAMES_SENT of them are sent to every task; more are
+joined to the texts that hold them, with the same result.
 
 Defined cases: null and empty texts have no mentions and stay as they are; repeated mentions of a document give
 one row; rows with the same doc_id count as one document; long texts are read whole; further columns are not
@@ -30,12 +32,14 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, spread, table
+from .common import checkpointed, join_hot, spread, table
 
 LABELS = ("O", "name", "name+", "email", "phone", "id_number", "address")
 TYPES = ("name", "email", "phone", "id_number", "address")
 FIT_DOCUMENTS = 12_000
 HINTS_MOST = 100_000
+#: So many names found in the corpus are sent to every task; more are joined to the texts that hold them.
+NAMES_SENT = 100_000
 LEXICON_LEAST = 3
 SKIP_WEIGHT, ROUNDS = 1.5, 3
 REACH = 3
@@ -80,24 +84,21 @@ def _unit(email: bool, address: bool) -> re.Pattern:
 
 UNITS = {(e, a): _unit(e, a) for e in (False, True) for a in (False, True)}
 
+_DIGIT = re.compile(r"\d")
 # what a text must hold anywhere for an address of either kind to be possible in it
 _MAY_MAIL = re.compile(r"[@＠]|&#64;|%40|[\(\[\{<] ?(?:at|arroba) ?[\)\]\}>]| (?:dot|punto) ")
-_MAY_NUMBER_FIRST = re.compile(r"\d[A-Za-z]? [^\W\d_a-zà-ÿ]")
-_MAY_NUMBER_LAST = re.compile(rf"(?:{_STRASSE}) \d")
-_MAY_PLACE = re.compile(r"(?:Am|An|Im|In|Auf|Zum|Zur|Unter|AM|IM|ZUM|ZUR) ")
-_MAY_WORDS = tuple(w.replace("\\.?", "") for w in f"{_RUE}|{_CALLE}".split("|"))
+_MAY_STREET = re.compile(rf"\d[A-Za-z]?\ (?:{_CAP}\ ){{1,3}}(?i:{_STREET})\b")
+_MAY_RUE = re.compile(rf"\d[a-z]?(?: (?:bis|ter|quater))?,? (?:{_RUE}) |(?:{_CALLE}) |(?:{_STRASSE}) \d")
+_MAY_PLACE = re.compile(rf"(?:Am|An der|An den|Im|In der|Auf dem|Auf der|Zum|Zur|Unter den|AM|IM|ZUM|ZUR) (?:{_WORD} ){{1,2}}\d")
 
 
 def cutter(text: str) -> re.Pattern:
     """The pattern that cuts a text into units, without the alternatives that cannot occur in it."""
     low = text.lower()
-    address = bool(
-        _MAY_NUMBER_FIRST.search(text) or any(w in low for w in _MAY_WORDS) or _MAY_NUMBER_LAST.search(low) or _MAY_PLACE.search(text)
-    )
+    address = _DIGIT.search(text) is not None and bool(_MAY_STREET.search(text) or _MAY_RUE.search(low) or _MAY_PLACE.search(text))
     return UNITS[bool(_MAY_MAIL.search(low)), address]
 
 
-_DIGIT = re.compile(r"\d")
 # How telephone numbers begin or are grouped; plain digits of other groupings are no clear case.
 _PHONE_FORMS = re.compile(
     r"\+\ ?\d|00[1-9]\d{0,2}\ \(?\d|\(0?\d{2,4}\)\ ?\d{3}|0\d{2,4}/\d{3,}|0\d{2,4}\ \d{3,}|\d{3}([.\-])\d{3}\1\d{4}(?!\d)"
@@ -105,52 +106,129 @@ _PHONE_FORMS = re.compile(
 )
 
 
+_INITIAL = r"[^\W\d_](?=\.)"
+#: Units other than addresses, by (word, number, initial, any other), for texts and lines without addresses.  Words of
+#: three letters or more begin no number and are tried first.
+_PLAIN = re.compile(rf"([^\W\d_]{{3,}}+(?![̀-ͯ'’\-]))|((?<![\w.\-])(?:{_NUMBER}))|({_INITIAL})|({_WORD}|\d+|\n|[^\w\s])")
+_KNOWN: dict[str, tuple[str, str, str]] = {}
+_KNOWN_MOST = 400_000
+
+
+def _number(said: str) -> tuple[str, str, str]:
+    digits = len(_DIGIT.findall(said))
+    plain = re.fullmatch(r"\d+\.\d+|\d{4}[-/.]\d\d[-/.]\d\d", said)
+    if digits < 5 or plain or (digits < 6 and not re.fullmatch(r"[A-Z]{1,2}-?\d{5}|\d\d-\d{4,}", said)):
+        return "digits", "0", ""
+    shape = re.sub(r"[A-Za-z]{2,}", "a", re.sub(r"[A-Z]\b|[A-Z](?=\d)", "A", re.sub(r"\d", "0", said)))
+    return "number", shape, "tel" if digits <= 18 and _PHONE_FORMS.match(said) else "num"
+
+
+def _lower(said: str) -> str:
+    return (said if said.isascii() else unicodedata.normalize("NFKC", said)).lower()
+
+
+def _other(said: str) -> tuple[str, str, str]:
+    """Kind, word and case of a word, a run of digits, a break or a mark; the same for all places it stands in."""
+    first = said[0]
+    if first.isdecimal():
+        out = ("digits", "0", "")
+    elif first == "\n":
+        out = ("break", "\n", "")
+    elif not (first.isalnum() or first == "_"):
+        out = ("mark", said, "")
+    elif len(said) == 1:
+        out = ("word", _lower(said), "c" if said.isupper() else "a")
+    else:
+        out = ("word", _lower(said), "A" if said.isupper() else "c" if first.isupper() else "a")
+    if len(_KNOWN) >= _KNOWN_MOST:
+        _KNOWN.clear()
+    _KNOWN[said] = out
+    return out
+
+
+def _mail(said: str) -> tuple[str, str, str]:
+    last = re.split(r"\W+", said)[-1].lower()
+    return "email", "file" if last in _FILES else "plain" if re.fullmatch(r"\S+@\S+", said) else "evasive", ""
+
+
 class Units:
-    """The units of one text: kinds, spans and lower-case words (shapes for candidates)."""
+    """The units of one text: kinds, lower-case words (shapes for candidates) and cases; spans on demand.
+
+    Lines in which an address of either kind may stand are cut by the pattern that knows them, all others by one that
+    leaves the loop over their units to the pattern engine.  No unit reaches over a line.
+    """
 
-    __slots__ = ("kind", "start", "end", "word", "case")
+    __slots__ = ("text", "said", "kind", "word", "case", "_start")
 
     def __init__(self, text: str):
-        self.kind, self.start, self.end, self.word, self.case = [], [], [], [], []
-        for found in cutter(text).finditer(text):
-            kind, said = found.lastgroup, found.group()
-            start, end = found.span()
-            case = ""
-            if kind == "word":
-                word = (said if said.isascii() else unicodedata.normalize("NFKC", said)).lower()
-                if len(said) == 1:
-                    case = "1" if text[end : end + 1] == "." else "c" if said.isupper() else "a"
-                else:
-                    case = "A" if said.isupper() else "c" if said[0].isupper() else "a"
-            elif kind == "number":
-                digits = len(_DIGIT.findall(said))
-                plain = re.fullmatch(r"\d+\.\d+|\d{4}[-/.]\d\d[-/.]\d\d", said)
-                if digits < 5 or plain or (digits < 6 and not re.fullmatch(r"[A-Z]{1,2}-?\d{5}|\d\d-\d{4,}", said)):
-                    kind, word = "digits", "0"
+        said, made = [], []
+        for part, pattern in _stretches(text):
+            if pattern is None:
+                known = _KNOWN.get
+                found = _PLAIN.findall(part)
+                said += [w or o or n or i for w, n, i, o in found]
+                made += [(known(w) or _other(w)) if w else (known(o) or _other(o)) if o else _number(n) if n else ("word", _lower(i), "1") for w, n, i, o in found]
+                continue
+            start, end = part
+            for match in pattern.finditer(text, start):
+                if match.start() >= end:
+                    break
+                kind, one = match.lastgroup, match.group()
+                said.append(one)
+                if kind == "number":
+                    made.append(_number(one))
+                elif kind == "email":
+                    made.append(_mail(one))
+                elif kind == "address":
+                    made.append(("address", "address", ""))
+                elif kind == "word" and len(one) == 1 and text[match.end() : match.end() + 1] == ".":
+                    made.append(("word", _lower(one), "1"))
                 else:
-                    word = re.sub(r"[A-Za-z]{2,}", "a", re.sub(r"[A-Z]\b|[A-Z](?=\d)", "A", re.sub(r"\d", "0", said)))
-                    case = "tel" if digits <= 18 and _PHONE_FORMS.match(said) else "num"
-            elif kind == "digits":
-                word = "0"
-            elif kind == "email":
-                last = re.split(r"\W+", said)[-1].lower()
-                word = "file" if last in _FILES else "plain" if re.fullmatch(r"\S+@\S+", said) else "evasive"
-            elif kind == "address":
-                word = "address"
-            elif kind == "break":
-                word = "\n"
-            else:
-                word = said
-            self.kind.append(kind)
-            self.start.append(start)
-            self.end.append(end)
-            self.word.append(word)
-            self.case.append(case)
+                    made.append(_KNOWN.get(one) or _other(one))
+        self.text, self.said, self._start = text, said, None
+        self.kind, self.word, self.case = zip(*made) if made else ((), (), ())
+
+    @property
+    def start(self) -> list[int]:
+        """Between two units there is nothing but white space and underscores, so each begins where it is found next."""
+        if self._start is None:
+            at, out, find = 0, [], self.text.find
+            for one in self.said:
+                at = find(one, at)
+                out.append(at)
+                at += len(one)
+            self._start = out
+        return self._start
+
+    def end_of(self, i: int) -> int:
+        return self.start[i] + len(self.said[i])
 
     def __len__(self):
         return len(self.kind)
 
 
+_LINE = re.compile(r"[^\n]*\n|[^\n]+")
+
+
+def _stretches(text: str):
+    """Runs of lines to be cut alike: (text, None) for plain ones, ((start, end), pattern) for those that may hold addresses."""
+    whole = cutter(text)
+    if whole is UNITS[False, False]:
+        return [(text, None)]
+    out, plain, at = [], 0, 0
+    for line in _LINE.findall(text):
+        pattern = cutter(line)
+        if pattern is not UNITS[False, False]:
+            if plain < at:
+                out.append((text[plain:at], None))
+            out.append(((at, at + len(line)), whole))
+            plain = at + len(line)
+        at += len(line)
+    if plain < at:
+        out.append((text[plain:at], None))
+    return out
+
+
 def plain_word(word: str) -> str:
     return unicodedata.normalize("NFC", word)
 
@@ -289,22 +367,19 @@ def clear_labels(u: Units, hints: Hints, seen: Counter, doubtful: Counter, decid
     return labels
 
 
-def name_here(u: Units, i: int, hints: Hints) -> tuple[int, bool] | None:
-    """End of the name of hinted parts that begins at ``i``, and whether it is more than ordinary words."""
+def name_parts(u: Units, i: int, hints: Hints) -> tuple[int, tuple[str, ...], bool] | None:
+    """End of the name of hinted parts that begins at ``i``, the words that tell whether it is one, and whether all must."""
     n = len(u)
     part = lambda j: hints.of(plain_word(u.word[j])) if j < n and u.kind[j] == "word" else 0
     initial = lambda j: j + 1 < n and u.case[j] == "1" and u.word[j + 1] == "."
+    if u.case[i] != "1" and not part(i):
+        return None
     if initial(i):
         j = i + 2
         if initial(j):
             j += 2
-        if part(j) & 2 and u.case[j] != "a":
-            return j + 1, u.word[j] not in hints.common
-        return None
-    first = part(i)
-    if not first:
-        return None
-    case = u.case[i]
+        return (j + 1, (u.word[j],), True) if part(j) & 2 and u.case[j] != "a" else None
+    first, case = part(i), u.case[i]
     same = lambda j: j < n and u.case[j] == case
     if first & 1:
         j = i + 1
@@ -313,19 +388,26 @@ def name_here(u: Units, i: int, hints: Hints) -> tuple[int, bool] | None:
         elif part(j) & 1 and part(j + 1) & 2 and same(j):
             j += 1
         if part(j) & 2 and same(j):
-            own = [u.word[i], u.word[j]]
-            if case == "a" and all(w in hints.common for w in own):
-                return None
-            return j + 1, not all(w in hints.common for w in own)
+            return j + 1, (u.word[i], u.word[j]), False
     if first & 2:
         j = i + 1
         if j < n and u.word[j] == "," and part(j + 1) & 1 and same(j + 1):
-            return j + 2, u.word[i] not in hints.common or u.word[j + 1] not in hints.common
+            return j + 2, (u.word[i], u.word[j + 1]), False
         if part(j) & 1 and same(j) and case != "a" and not part(j + 1) & 2:
-            return j + 1, u.word[i] not in hints.common and u.word[j] not in hints.common
+            return j + 1, (u.word[i], u.word[j]), True
     return None
 
 
+def name_here(u: Units, i: int, hints: Hints) -> tuple[int, bool] | None:
+    """End of the name of hinted parts that begins at ``i``, and whether it is more than ordinary words."""
+    found = name_parts(u, i, hints)
+    if found is None:
+        return None
+    end, own, every = found
+    sure = (all if every else any)(w not in hints.common for w in own)
+    return None if not sure and u.case[i] == "a" and u.word[end - 2] != "," else (end, sure)
+
+
 def unclear(u: Units, run: range, labels: dict[int, int], hints: Hints) -> bool:
     """A run that may hold a name of which a part is not hinted: a rare or hinted word beside another in capitals."""
     n, capital = len(u), ("c", "A", "1")
@@ -469,16 +551,15 @@ class Field:
     def emission(self, rows: list[list[int]]):
         import numpy as np
 
-        out = np.zeros((len(rows), len(LABELS)))
-        flat = np.fromiter((x for r in rows for x in r), "int64")
-        sizes = np.array([len(r) for r in rows])
-        if len(flat):
-            owner = np.repeat(np.arange(len(rows)), sizes)
-            ends = np.cumsum(sizes)
-            sums = np.concatenate([np.zeros((1, len(LABELS))), np.cumsum(self.weights[flat], axis=0)])
-            out = sums[ends] - sums[ends - sizes]
-            del owner
-        return out
+        return self.summed(np.fromiter((x for r in rows for x in r), "int64"), np.array([len(r) for r in rows], "int64"))
+
+    def summed(self, flat, sizes):
+        """Sums of the weights of each unit's features, ``flat`` being all of them in a row."""
+        import numpy as np
+
+        sums = np.concatenate([np.zeros((1, len(LABELS))), np.cumsum(self.weights[flat], axis=0)])
+        ends = np.cumsum(sizes)
+        return sums[ends] - sums[ends - sizes]
 
 
 def fit_field(sequences, numbers: dict[str, int], steps: int = 80, rate: float = 0.4, penalty: float = 2e-6) -> Field:
@@ -500,7 +581,8 @@ def fit_field(sequences, numbers: dict[str, int], steps: int = 80, rate: float =
         transition[0] = [0, 0, -50, 0, 0, 0, 0]
         return Field(index, weights, transition)
     flat = np.array([x for r in rows for x in r], "int64")
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    sizes = np.array([len(r) for r in rows], "int64")
+    owner = np.repeat(np.arange(len(rows)), sizes)
     order = np.argsort(flat, kind="stable")
     sorted_rows, cuts = owner[order], np.searchsorted(flat[order], np.arange(len(index)))
     empirical = np.zeros((size, size))
@@ -510,7 +592,7 @@ def fit_field(sequences, numbers: dict[str, int], steps: int = 80, rate: float =
     total_w, total_t = np.full(weights.shape, 1e-8), np.full(transition.shape, 1e-8)
     hot = np.eye(size)[gold]
     for _ in range(steps):
-        node, edges, _ = chains.beliefs(field.emission(rows), transition)
+        node, edges, _ = chains.beliefs(field.summed(flat, sizes), transition)
         diff = (hot - np.exp(node)) / len(gold)
         grad = np.add.reduceat(diff[sorted_rows], cuts, axis=0) if len(index) else weights
         grad = grad - penalty * weights
@@ -523,23 +605,47 @@ def fit_field(sequences, numbers: dict[str, int], steps: int = 80, rate: float =
     return field
 
 
-def word_counts(text: str) -> Counter:
-    """What a text adds to the counts of words, by (word, what, neighbour).
+def word_counts(text: str, hints: Hints) -> Counter:
+    """What a text adds to the counts of words, by (word, what, other).
 
     0: the text holds it; 1: in small letters; 2: occurrences in capitals; 3, 4: of these, after and before a neighbour.
+    5, 6: beside a hinted name, so as given or family name, which counts where ``other`` is no ordinary word; 7: before a
+    whole name, which counts where all or any (by its first letter) of the words of ``other`` are none.
     """
     u, out = Units(text), Counter()
-    for w, c in {(w, c == "a") for w, k, c in zip(u.word, u.kind, u.case) if k == "word"}:
+    kind, case, word, n = u.kind, u.case, u.word, len(u)
+    for w, c in {(w, c == "a") for w, k, c in zip(word, kind, case) if k == "word"}:
         out[w, 0, ""] = 1
         if c:
             out[w, 1, ""] = 1
-    for i, k in enumerate(u.kind):
-        if k == "word" and u.case[i] in "cA":
-            out[u.word[i], 2, ""] += 1
-            if i and u.kind[i - 1] == "word":
-                out[u.word[i], 3, u.word[i - 1]] += 1
-            if i + 1 < len(u) and u.kind[i + 1] == "word":
-                out[u.word[i], 4, u.word[i + 1]] += 1
+    named = any(plain_word(w) in hints.kind for w in set(word))
+    known = lambda i: hints.of(plain_word(word[i])) if kind[i] == "word" and case[i] in ("c", "A") else 0
+    for i in [i for i, c in enumerate(case) if c == "c" or c == "A"]:
+        w = word[i]
+        out[w, 2, ""] += 1
+        if i and kind[i - 1] == "word":
+            out[w, 3, word[i - 1]] += 1
+        if i + 1 < n and kind[i + 1] == "word":
+            out[w, 4, word[i + 1]] += 1
+        if not named:
+            continue
+        own, j, turned = known(i), i + 1, False
+        if j < n and word[j] in (".", ",") and not own:
+            j += 1
+        if j < n and not own and kind[j] == "word" and (name := name_parts(u, j, hints)):
+            out[w, 7, "\x1f".join(("all" if name[2] else "any", *name[1]))] += 1
+        j = i + 1
+        if j + 2 < n and case[j] == "1" and word[j + 1] == ".":
+            j += 2
+        elif j + 1 < n and word[j] == ",":
+            j, turned = j + 1, True
+        if j >= n or kind[j] != "word" or case[j] != case[i]:
+            continue
+        g, f = (j, i) if turned else (i, j)
+        if known(g) & 1 and not known(f) and word[f] not in TITLES:
+            out[word[f], 6, word[g]] += 1
+        if known(f) & 2 and not known(g) and word[g] not in TITLES:
+            out[word[g], 5, word[f]] += 1
     return out
 
 
@@ -569,10 +675,12 @@ def common_words(counts: dict[str, tuple], texts: int, hinted: Hints) -> tuple[s
 
 def prepare(texts: list[str], given, family) -> Hints:
     """Hints with the ordinary words of the texts; copies of a text count once."""
-    texts, sums, counts = set(texts), Counter(), {}
+    texts, sums, counts, plain = set(texts), Counter(), {}, Hints(given, family)
     for text in texts:
-        sums.update(word_counts(text))
+        sums.update(word_counts(text, plain))
     for (w, what, other), n in sorted(sums.items()):
+        if what > 4:
+            continue
         own = counts.setdefault(w, [0, 0, 0, 0, "", 0, ""])
         if what < 3:
             own[what] = n
@@ -586,40 +694,6 @@ def hints_of(counts, texts: int, given, family) -> Hints:
     return Hints(given, family, common | TITLES, fixed)
 
 
-def votes(text: str, hints: Hints) -> Counter:
-    """What a text says of its words in capitals, as counts by (word, what).
-
-    0: occurrences; 1, 2: beside a hinted rare name, so as given or family name; 3: before a whole clear name.
-    """
-    u, out = Units(text), Counter()
-    n = len(u)
-    known = [hints.of(plain_word(w)) if k == "word" and c in ("c", "A") else 0 for w, k, c in zip(u.word, u.kind, u.case)]
-    rare = [w not in hints.common for w in u.word]
-    for i in range(n):
-        if u.kind[i] != "word" or u.case[i] not in ("c", "A"):
-            continue
-        word = plain_word(u.word[i])
-        out[word, 0] += 1
-        j, turned = i + 1, False
-        if j < n and u.word[j] in (".", ",") and not known[i]:
-            j += 1
-        if j < n and not known[i] and u.kind[j] == "word" and (name := name_here(u, j, hints)) and name[1]:
-            out[word, 3] += 1
-        j = i + 1
-        if j + 2 < n and u.case[j] == "1" and u.word[j + 1] == ".":
-            j += 2
-        elif j + 1 < n and u.word[j] == ",":
-            j, turned = j + 1, True
-        if j >= n or u.kind[j] != "word" or u.case[j] != u.case[i]:
-            continue
-        g, f = (j, i) if turned else (i, j)
-        if known[g] & 1 and rare[g] and not known[f] and u.word[f] not in TITLES:
-            out[plain_word(u.word[f]), 2] += 1
-        if known[f] & 2 and rare[f] and not known[g] and u.word[g] not in TITLES:
-            out[plain_word(u.word[g]), 1] += 1
-    return out
-
-
 def accepted(word: str, counts, hints: Hints, least: int = LEXICON_LEAST) -> int:
     """What the votes of the whole corpus make of a word: bits as in Hints, 4 for a word that introduces names, 0 for neither."""
     total, given, family, leading = counts
@@ -633,6 +707,12 @@ def accepted(word: str, counts, hints: Hints, least: int = LEXICON_LEAST) -> int
 
 
 def join_lexicon(hints: Hints, found: dict[str, int]) -> Hints:
+    """The hints and the names found, in a copy."""
+    if not found:
+        return hints
+    joined = Hints((), (), hints.common, hints.fixed)
+    joined.kind = dict(hints.kind)
+    hints = joined
     for word, bits in found.items():
         if bits & 4:
             hints.common.add(word)
@@ -645,8 +725,8 @@ def train(texts: list[str], hints: Hints, seed: int = 5) -> Field:
     """The field fitted on the clear places of the sample."""
     seen, doubtful = Counter(), Counter()
     around: set[tuple[str, str]] = set()
-    for text in texts:
-        u = Units(text)
+    cut = [Units(text) for text in texts]
+    for u in cut:
         for i, label in (clear_labels(u, hints, seen, doubtful, decide=False) or {}).items():
             if label == 1:
                 around.add(outside(u, i, name_here(u, i, hints)[0]))
@@ -654,13 +734,12 @@ def train(texts: list[str], hints: Hints, seed: int = 5) -> Field:
     sequences, index = [], {}
 
     def writings():
-        for text in texts:
-            yield text
-            if len(text) < 2_000 and rng.random() < 0.25 and any(name_here(u, i, hints) for u in [Units(text)] for i in range(len(u)) if u.kind[i] == "word"):
-                yield text.lower() if rng.random() < 0.5 else text.upper()  # names in any case
+        for u in cut:
+            yield u
+            if len(u.text) < 2_000 and rng.random() < 0.25 and any(name_here(u, i, hints) for i in range(len(u)) if u.kind[i] == "word"):
+                yield Units(u.text.lower() if rng.random() < 0.5 else u.text.upper())  # names in any case
 
-    for text in writings():
-        u = Units(text)
+    for u in writings():
         runs = active_runs(u, hints)
         labels = clear_labels(u, hints, seen.copy(), doubtful.copy(), decide=True) if runs else None
         if labels is None:
@@ -679,6 +758,11 @@ def train(texts: list[str], hints: Hints, seed: int = 5) -> Field:
 # ---- mentions
 
 
+def alike(word: str) -> str:
+    """What similar words have in common: their letters without accents and other marks."""
+    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+
+
 def mentions(texts: list[str], hints: Hints, field: Field) -> list[list[tuple[int, int, str]]]:
     """(start, end, type) spans of each text, in order."""
     import numpy as np
@@ -695,11 +779,11 @@ def mentions(texts: list[str], hints: Hints, field: Field) -> list[list[tuple[in
                 rows.append([index[f] for f in features(u, i, hints) if f in index])
                 key = None
                 if u.kind[i] == "word" and len(u.word[i]) > 2 and (u.case[i] in "cA" or u.word[i] in hints.kind) and (u.word[i] not in hints.common or u.word[i] in hints.fixed):
-                    key = u.word[i]
+                    key = alike(u.word[i])
                 elif u.kind[i] == "number":
-                    key = re.sub(r"\W", "", text[u.start[i] : u.end[i]])
+                    key = re.sub(r"\W", "", text[u.start[i] : u.end_of(i)])
                 elif u.kind[i] == "email":
-                    key = text[u.start[i] : u.end[i]].lower()
+                    key = text[u.start[i] : u.end_of(i)].lower()
                 if key is not None:
                     if key in first:
                         left.append(first[key])
@@ -730,7 +814,7 @@ def mentions(texts: list[str], hints: Hints, field: Field) -> list[list[tuple[in
                 if y and u.kind[place] in ("email", "number", "address"):
                     kind = LABELS[y]
                     if (kind == "email") == (u.kind[place] == "email") and (kind == "address") == (u.kind[place] == "address"):
-                        spans.append((u.start[place], u.end[place], kind))
+                        spans.append((u.start[place], u.end_of(place), kind))
                 i += 1
         out.append(spans)
     return out
@@ -755,7 +839,12 @@ def whole_name(u: Units, places: list[int], hints: Hints) -> tuple[int, int] | N
     words = [i for i in places if u.kind[i] == "word"]
     if len(words) < 2 or all(u.case[i] == "1" for i in words) or any(u.kind[i] not in ("word", "mark") for i in places):
         return None
-    return u.start[places[0]], u.end[places[-1]]
+    return u.start[places[0]], u.end_of(places[-1])
+
+
+def names_of(batch) -> dict[str, int]:
+    """The names of a batch of texts, where they come with the texts."""
+    return {x["word"]: x["bits"] for x in batch.column(2).flatten().to_pylist()} if batch.column(2).null_count < batch.num_rows else {}
 
 
 def redact(text: str, spans) -> str:
@@ -787,11 +876,22 @@ class Detector:
         share = min(1.0, FIT_DOCUMENTS / max(rows, 1))
         chosen = self.texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("doc_id").select("text").limit(2 * FIT_DOCUMENTS)
         sampled = [r.text for r in chosen.collect()]
-        known = self._with_lexicon(self._with_words(given, family))
-        self.model = self.spark.sparkContext.broadcast((known, train(sampled, known)))
-
-    def _with_words(self, given, family) -> Hints:
-        """Hints with the ordinary words of the whole corpus; what is collected is bounded by the shares in ``often``."""
+        self.hints = self._counted(given, family)
+        found = self.names.take(NAMES_SENT + 1)
+        self.sent = len(found) <= NAMES_SENT
+        if not self.sent:
+            words = sorted({plain_word(w) for t in sampled for w in Units(t).word})  # of the bounded sample
+            found = self.names.join(F.broadcast(self.spark.createDataFrame([(w,) for w in words], "word string")), "word", "left_semi").collect()
+        known = join_lexicon(self.hints, {r.word: r.bits for r in found})
+        field = train(sampled, known)
+        self.model = self.spark.sparkContext.broadcast((known if self.sent else self.hints, field))
+
+    def _counted(self, given, family) -> Hints:
+        """Hints with the ordinary words of the whole corpus, and ``self.names``, the names found beside hinted ones in it.
+
+        One pass over all different texts; what is collected of it is bounded by the shares in ``often``.
+        """
+        listed = self.spark.sparkContext.broadcast(Hints(given, family))
 
         def count(batches):
             import pyarrow as pa
@@ -799,7 +899,7 @@ class Detector:
             for batch in batches:
                 found = Counter({("", 0, ""): batch.num_rows})
                 for text in batch.column(0).to_pylist():
-                    found.update(word_counts(text))
+                    found.update(word_counts(text, listed.value))
                 words, what, other = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(what, pa.int32()), pa.array(other, pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "what", "other", "n"])
 
@@ -807,44 +907,58 @@ class Detector:
         of = lambda what, value: F.max(F.when(F.col("what") == what, value))
         n = lambda what: F.coalesce(of(what, F.col("n")), F.lit(0))
         beside = F.struct("n", "other")
+        said = F.collect_list(F.when(F.col("what") > 4, F.struct("what", "other", "n")))  # by hinted names, a fixed list
         words = parts.groupBy("word", "what", "other").agg(F.sum("n").alias("n")).groupBy("word")
-        words = checkpointed(words.agg(n(0).alias("held"), n(1).alias("low"), n(2).alias("total"), of(3, beside).alias("b"), of(4, beside).alias("a")))
+        words = checkpointed(words.agg(n(0).alias("held"), n(1).alias("low"), n(2).alias("total"), of(3, beside).alias("b"), of(4, beside).alias("a"), said.alias("said")))
         texts = words.filter("word = ''").first()
         texts = texts.held if texts else 0
         small, capital, many = often(texts)
-        kept = words.filter((F.col("word") != "") & ((F.col("low") >= small) | (F.col("total") >= capital) | (F.col("held") >= many)))
+        kept = words.filter((F.col("word") != "") & ((F.col("low") >= small) | (F.col("total") >= capital) | (F.col("held") >= many))).drop("said")
         counts = {r.word: (r.held, r.low, r.total, *(r.b or (0, "")), *(r.a or (0, ""))) for r in kept.toLocalIterator()}
-        return hints_of(counts, texts, given, family)
-
-    def _with_lexicon(self, hints: Hints) -> Hints:
-        """Hints joined by the names that stand beside hinted ones often enough in the whole corpus."""
+        hints = hints_of(counts, texts, given, family)
         shared = self.spark.sparkContext.broadcast(hints)
 
-        def count(batches):
+        def accept(batches):
             import pyarrow as pa
 
             for batch in batches:
-                found = Counter()
-                for text in batch.column(1).to_pylist():
-                    found.update(votes(text, shared.value))
-                words, bits, n = zip(*[(w, b, c) for (w, b), c in found.items()]) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(bits, pa.int32()), pa.array(n, pa.int64())], names=["word", "bit", "n"])
-
-        n = lambda bit: F.coalesce(F.sum(F.when(F.col("bit") == bit, F.col("n"))), F.lit(0))
-        counted = self.texts.mapInArrow(count, "word string, bit int, n bigint").groupBy("word").agg(n(0).alias("total"), n(1).alias("given"), n(2).alias("family"), n(3).alias("leading"))
-        most = F.greatest("given", "family", "leading")
+                names, bits = [], []
+                for word, total, said in zip(*(c.to_pylist() for c in batch.columns)):
+                    votes = [0, 0, 0]
+                    for what, other, n in ((x["what"], x["other"], x["n"]) for x in said):
+                        how, *own = other.split("\x1f") if what == 7 else ("any", other)
+                        votes[what - 5] += n * (all if how == "all" else any)(w not in shared.value.common for w in own)
+                    if found := accepted(plain_word(word), (total, *votes), shared.value):
+                        names.append(plain_word(word))
+                        bits.append(found)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bits, pa.int32())], names=["word", "bits"])
+
+        names = words.filter((F.col("word") != "") & (F.size("said") > 0)).select("word", "total", "said").mapInArrow(accept, "word string, bits int")
+        self.names = checkpointed(names.groupBy("word").agg(F.bit_or("bits").alias("bits")))
+        return hints
+
+    def _named(self, texts: DataFrame) -> DataFrame:
+        """Texts with ``names``, those of ``self.names`` that each holds: the way for more names than may be broadcast."""
 
-        def accept(batches):
+        def cut(batches):
             import pyarrow as pa
 
             for batch in batches:
-                words, *counts = (c.to_pylist() for c in batch.columns)
-                bits = [accepted(w, c, shared.value) for w, c in zip(words, zip(*counts))]
-                kept = [i for i, b in enumerate(bits) if b]
-                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in kept], pa.string()), pa.array([bits[i] for i in kept], pa.int32())], names=["word", "bits"])
-
-        names = counted.filter(most >= LEXICON_LEAST).mapInArrow(accept, "word string, bits int")
-        return join_lexicon(hints, {r.word: r.bits for r in names.collect()})
+                rows = []
+                for i, text in enumerate(batch.column(2).to_pylist()):
+                    u = Units(text)
+                    rows += [(i, w) for w in {plain_word(w) for w, k in zip(u.word, u.kind) if k == "word"}]
+                at = pa.array([i for i, _ in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([w for _, w in rows], pa.string())], names=["t0", "t1", "word"])
+
+        marks = [F.xxhash64(F.lit(i), F.coalesce("text", F.lit(""))).alias(f"t{i}") for i in (0, 1)]
+        keyed = texts.select("*", *marks)
+        words = keyed.filter("text IS NOT NULL").select("t0", "t1", "text").mapInArrow(cut, "t0 bigint, t1 bigint, word string").distinct()
+        held = join_hot(words, self.names, ["word"]).groupBy("t0", "t1").agg(F.collect_list(F.struct("word", "bits")).alias("names"))
+        return join_hot(keyed, held, ["t0", "t1"], "left").drop("t0", "t1")
+
+    def _with_names(self, texts: DataFrame) -> DataFrame:
+        return texts.withColumn("names", F.lit(None).cast("array<struct<word:string,bits:int>>")) if self.sent else self._named(texts)
 
     def found(self) -> DataFrame:
         """(doc_id, pii_type, mention), distinct."""
@@ -853,15 +967,16 @@ class Detector:
         def cut(batches):
             import pyarrow as pa
 
-            hints, field = model.value
+            listed, field = model.value
             for batch in batches:
                 for piece in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                    hints = join_lexicon(listed, names_of(piece))
                     texts, ids = piece.column(1).to_pylist(), piece.column(0).to_pylist()
                     out = {(doc, k, t[s:e]) for doc, t, spans in zip(ids, texts, mentions(texts, hints, field)) for s, e, k in spans}
                     doc, kind, said = zip(*sorted(out)) if out else ((), (), ())
                     yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(kind, pa.string()), pa.array(said, pa.string())], names=["doc_id", "pii_type", "mention"])
 
-        return self.texts.mapInArrow(cut, "doc_id bigint, pii_type string, mention string").distinct()
+        return self._with_names(self.texts).mapInArrow(cut, "doc_id bigint, pii_type string, mention string").distinct()
 
     def redacted(self) -> DataFrame:
         """(doc_id, text) with typed placeholders of all rows; null and empty texts stay as they are."""
@@ -870,14 +985,15 @@ class Detector:
         def replace(batches):
             import pyarrow as pa
 
-            hints, field = model.value
+            listed, field = model.value
             for batch in batches:
                 for piece in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                    hints = join_lexicon(listed, names_of(piece))
                     texts = piece.column(1).to_pylist()
                     new = [redact(t, s) if t else t for t, s in zip(texts, mentions(texts, hints, field))]
                     yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(new, pa.string())], names=["doc_id", "text"])
 
-        return spread(self.documents.select("doc_id", "text")).mapInArrow(replace, "doc_id bigint, text string")
+        return self._with_names(spread(self.documents.select("doc_id", "text"))).mapInArrow(replace, "doc_id bigint, text string")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,15 +152,12 @@ def test_ordinary_words_are_counted_over_all_texts(spark, monkeypatch):
     texts = corpus(600, 7)[0] + ["Nothing"] * 30
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     hints = spark.createDataFrame([(n, "given") for n in GIVEN] + [(n, "family") for n in FAMILY], "name string, kind string")
-    seen = {}
-    monkeypatch.setattr(personal.Detector, "_with_lexicon", lambda self, hints: seen.setdefault("hints", hints))
-    personal.Detector(docs, hints)
+    got = personal.Detector(docs, hints).hints
     want = personal.prepare(texts, GIVEN, FAMILY)
-    assert len(want.common) > 30 and (seen["hints"].common, seen["hints"].fixed) == (want.common, want.fixed)
+    assert len(want.common) > 30 and (got.common, got.fixed) == (want.common, want.fixed)
 
 
 def test_names_of_few_votes_stay_in_a_large_lexicon(spark, monkeypatch):
-    monkeypatch.setattr(personal, "LEXICON_MOST", 5, raising=False)
     monkeypatch.setattr(personal, "train", lambda texts, hints: None)
     names = ["Zor" + a + b for a in "abcd" for b in "klmn"]
     texts = [f"Annotated by Orla {n}. Item {i}" for i in range(3) for n in names]
@@ -169,6 +166,29 @@ def test_names_of_few_votes_stay_in_a_large_lexicon(spark, monkeypatch):
     assert all(known.of(n.lower()) == 2 for n in names)
 
 
+def test_names_joined_to_their_texts_give_the_same(spark, monkeypatch):
+    """More names than are sent to every task: each text gets those it holds."""
+    texts = corpus(400, 8)[0] + [None, "", "orla zorbik was here"] + [f"Annotated by Orla Zorbik. Item {i}" for i in range(5)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, "Orla Zorbik")], "doc_id bigint, text string")
+    hints = spark.createDataFrame([("Orla", "given")], "name string, kind string")
+    one = personal.Detector(docs, hints)
+    monkeypatch.setattr(personal, "NAMES_SENT", 0)
+    other = personal.Detector(docs, hints)
+    assert one.sent and not other.sent and one.names.count() == other.names.count() > 0
+    assert sorted(map(tuple, one.found().collect())) == sorted(map(tuple, other.found().collect()))
+    assert sorted(map(tuple, one.redacted().collect()), key=str) == sorted(map(tuple, other.redacted().collect()), key=str)
+
+
+def test_plain_lines_are_cut_as_by_the_whole_pattern():
+    """Lines without addresses are cut by another pattern: the units are the same."""
+    lines = ["J. Smith's don't-ask AB123456 and 12-04-1999", "x_y foo-12345678 (030) 23125 079", "Ångström ½ 3.14 e\u0301t\u00e9 J.K. 7", "A.\u00a0B", "tab\tEnd: 00816507_"]
+    text = "\n".join(lines)
+    u = personal.Units(text + "\n12 High Street, Leeds\n" + text)
+    whole = [(m.group(), m.start(), m.lastgroup) for m in personal.UNITS[True, True].finditer(u.text)]
+    assert [(s, a) for s, a, _ in whole] == list(zip(u.said, u.start))
+    assert [k for *_, k in whole if k in ("email", "address", "word", "mark", "break")] == [k for k in u.kind if k not in ("number", "digits")]
+
+
 def test_skip_edges_carry_a_label_to_a_repeated_unit():
     import numpy as np
 
