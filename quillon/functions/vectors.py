@@ -81,3 +81,20 @@ def trapezoid(a: Column) -> Column:
     n = F.size(a)
     inner = (total(a) - (F.element_at(a, 1).cast("double") + F.element_at(a, -1).cast("double")) / 2) / (n - 1)
     return F.when(n >= 2, inner).when(n == 1, F.element_at(a, 1).cast("double")).otherwise(F.lit(0.0))
+
+
+def weighted_sum(terms: Column, weights: dict[str, float]) -> Column:
+    """Sum over a map of named terms of weight times term; a term without a weight, or without a value, counts nothing."""
+    total = F.lit(0.0)
+    for name, weight in weights.items():
+        total = total + F.lit(float(weight)) * F.coalesce(F.try_element_at(terms, F.lit(name)).cast("double"), F.lit(0.0))
+    return total
+
+
+def at_step(rows, column: str, step: int):
+    """The rows of one step of a trace; a step that is not there is an error that names those that are."""
+    found = rows.filter(F.col(column) == step)
+    if found.isEmpty():
+        ends = rows.agg(F.min(column).alias("a"), F.max(column).alias("b")).first()
+        raise ValueError(f"{column}: no step {step}; steps go from {ends.a} to {ends.b}")
+    return found

@@ -89,3 +89,45 @@ def relevance(attention: DataFrame) -> DataFrame:
         return pd.DataFrame({"image": rows["image"].iloc[0], "token": np.arange(n), "score": r[0]})
 
     return means.groupBy("image").applyInPandas(multiply, f"image {kind}, token bigint, score double")
+
+
+#: Fixed values of the field: the eccentricity it is bounded by, and the displacement that counts as full.
+ECCENTRICITY, DISPLACEMENT = 2.5, 0.35
+
+
+def token_field(tokens: DataFrame, attention: DataFrame, grid: int, most: float = ECCENTRICITY, scale: float = DISPLACEMENT) -> DataFrame:
+    """Tokens (token, size, score) as a field of ellipses: their columns and x, y, rx, ry, theta, opacity, glow, halo.
+
+    Token 0 stands for the whole image and lies at (0, 0); others lie at the centres of a grid of patches.  An ellipse is stretched
+    and turned toward the mean displacement to the patches its ``attention(dst, src, w)`` goes to; opacity, glow and halo
+    are size, score and the attention that a token receives, each over its largest.
+    """
+    place = lambda t, c: F.when(t > 0, (c + 0.5) / grid).otherwise(0.0)
+    x, y = (lambda t: place(t, (t - 1) % grid)), (lambda t: place(t, F.floor((t - 1) / grid)))
+    dst, src, w = F.col("dst"), F.col("src"), F.col("w")
+    known = tokens.select(F.col("token").alias("src"))
+    patches = attention.filter((dst > 0) & (src > 0)).join(known, "src", "left_semi")
+    pull = patches.groupBy(dst.alias("token")).agg(F.sum(w * (x(src) - x(dst))).alias("vx"), F.sum(w * (y(src) - y(dst))).alias("vy"))
+    got = attention.groupBy(src.alias("token")).agg(F.sum("w").alias("received"))
+    t = tokens.join(pull, "token", "left").join(got, "token", "left").select(*tokens.columns, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("vx", "vy", "received")])
+    top = t.agg(*[F.max(c).alias(f"_{c}") for c in ("size", "score", "received")])
+    length = F.hypot("vx", "vy")
+    ratio = F.sqrt(1 + (most - 1) * F.least(F.lit(1.0), length / scale))
+    share = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / F.when(F.col(f"_{c}") > 0, F.col(f"_{c}")).otherwise(1.0)))
+    k, radius = F.col("token"), 0.5 / grid
+    channels = {"x": x(k), "y": y(k), "rx": radius * ratio, "ry": radius / ratio, "theta": F.when(length > 1e-9, F.atan2("vy", "vx")).otherwise(0.0), "opacity": share("size"), "glow": share("score"), "halo": share("received")}
+    return t.join(F.broadcast(top)).select(*tokens.columns, *[c.alias(name, metadata={"channel": i}) for i, (name, c) in enumerate(channels.items())])
+
+
+def channels(field: DataFrame) -> list[str]:
+    """The channels of a field in their order, which travels with the table as metadata of its columns."""
+    own = [(f.metadata["channel"], f.name) for f in field.schema.fields if "channel" in f.metadata]
+    return [name for _, name in sorted(own)]
+
+
+def patch_colours(pixels: DataFrame, grid: int, side: int) -> DataFrame:
+    """(token, r, g, b): mean colour, within [0, 1], of each patch of ``side`` pixels, and of all pixels as token 0."""
+    mean = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg(c))).alias(c)
+    token = (1 + F.floor(F.col("y") / side) * grid + F.floor(F.col("x") / side)).cast("bigint")
+    whole = pixels.agg(*[mean(c) for c in "rgb"]).select(F.lit(0).cast("bigint").alias("token"), "r", "g", "b")
+    return pixels.groupBy(token.alias("token")).agg(*[mean(c) for c in "rgb"]).unionByName(whole)

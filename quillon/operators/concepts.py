@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .positions import join_hot
 
 
 def firing_rates(rows: DataFrame, feature: str, label: str, activation: str, threshold: float = 0.0) -> DataFrame:
@@ -14,6 +15,8 @@ def firing_rates(rows: DataFrame, feature: str, label: str, activation: str, thr
     Labels below zero are unknown. The grid is features by classes; classes are few.
     """
     known = rows.filter(F.col(label) >= 0)
+    if len(known.select(label).distinct().take(CLASSES_MOST + 1)) > CLASSES_MOST:
+        raise ValueError(f"more than {CLASSES_MOST} classes; each is a column of the grid and sent to every task")
     rates = known.groupBy(feature, label).agg(F.avg((F.col(activation) > threshold).cast("int")).alias("rate"))
     classes = known.select(label).distinct().agg(F.collect_set(label).alias("_classes"))
     grid = rows.select(feature).distinct().join(F.broadcast(classes)).select(feature, F.explode("_classes").alias(label))
@@ -26,16 +29,24 @@ def coherence(rows: DataFrame, feature: str, label: str) -> DataFrame:
     return counted.groupBy(feature).agg((F.max("n") / F.sum("n")).alias("coherence"))
 
 
-def quality_gate(features: DataFrame, dead: float = 0.0, most_dead: float = 0.5, least_coherence: float = 0.3, most_duplicates: float = 0.35) -> DataFrame:
-    """One row: live features, mean coherence, duplicate rate, verdict and the reasons against."""
+def quality_gate(features: DataFrame, dead: float | None = 0.0, most_dead: float = 0.5, least_coherence: float = 0.3, most_duplicates: float = 0.35) -> DataFrame:
+    """One row: live features, mean coherence, duplicate rate, verdict and the reasons against.
+
+    ``dead`` is the dead rate that training reported; None takes it from the dictionary, as the share of features without
+    an exemplar, and adds ``dead_rate``.
+    """
     live = features.filter(F.size("exemplars") > 0).select(F.coalesce("coherence", F.lit(0.0)).alias("c"), F.element_at("exemplars", 1).alias("e"))
     # a null place is a place too, so it is written out before the distinct count
     place = F.concat_ws("\x1f", F.coalesce("e.image_id", F.lit("\x00")), F.coalesce(F.col("e.token_idx").cast("string"), F.lit("\x00")))
     one = live.agg(F.count(F.lit(1)).alias("live"), F.avg("c").alias("coherence"), F.countDistinct(place).alias("places"))
     one = one.select("live", F.coalesce("coherence", F.lit(0.0)).alias("coherence"), F.when(F.col("live") > 0, 1 - F.col("places") / F.col("live")).otherwise(1.0).alias("duplicate_rate"))
+    rate = F.lit(dead)
+    if dead is None:
+        share = F.count(F.when(F.coalesce(F.size("exemplars"), F.lit(0)) <= 0, 1)) / F.nullif(F.count(F.lit(1)), F.lit(0))
+        one, rate = one.join(F.broadcast(features.agg(share.alias("dead_rate")))), F.col("dead_rate")
     reasons = F.array_compact(
         F.array(
-            F.when(F.lit(dead) > most_dead, F.lit("dead_feature_rate")),
+            F.when(rate > most_dead, F.lit("dead_feature_rate")),
             F.when(F.col("coherence") < least_coherence, F.lit("exemplar_coherence")),
             F.when(F.col("duplicate_rate") > most_duplicates, F.lit("duplicate_feature_rate")),
         )
@@ -55,12 +66,26 @@ def class_affinity(rows: DataFrame, key: str, unit: str, label: str, value: str)
     return rows.groupBy(unit, label).agg(F.sum(value).alias("_s")).join(size, label).select(unit, label, (F.col("_s") / F.greatest(F.col("_n"), F.lit(1))).alias("affinity"))
 
 
-def coactivation(rows: DataFrame, key: str, unit: str, value: str) -> DataFrame:
-    """(i, j, c), i <= j: mean over the keys of the product of two units. Keys hold few units each."""
+#: Units of one key that meet in one task, at most about this many squared; keys of more are cut by a hash of the unit.
+KEY_BLOCK = 512
+CLASSES_MOST = 100_000
+
+
+def pairs_in_keys(rows: DataFrame, key: str, unit: str, value: str, block: int | None = None) -> DataFrame:
+    """(key, i, j, x, y), i <= j: all pairs of units of each key.  A key of many units is met block by block, in many tasks."""
+    size = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / (block or KEY_BLOCK)).cast("int").alias("_blocks"))
+    cut = join_hot(rows.select(key, unit, value), size, [key], rows=rows.count()).withColumn("_own", F.pmod(F.xxhash64(unit), F.col("_blocks")).cast("int"))
+    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    x = cut.select(key, F.col(unit).alias("i"), F.col(value).alias("x"), F.col("_own").alias("_a"), F.col("_other").alias("_b"))
+    y = cut.select(key, F.col(unit).alias("j"), F.col(value).alias("y"), F.col("_own").alias("_b"), F.col("_other").alias("_a"))
+    return x.join(y, [key, "_a", "_b"]).filter("i <= j").select(key, "i", "j", "x", "y")
+
+
+def coactivation(rows: DataFrame, key: str, unit: str, value: str, block: int | None = None) -> DataFrame:
+    """(i, j, c), i <= j: mean over the keys of the product of two units."""
+    rows = rows.filter(F.col(key).isNotNull())
     n = rows.select(key).distinct().agg(F.count(F.lit(1)).alias("_n"))
-    x = rows.select(key, F.col(unit).alias("i"), F.col(value).alias("x"))
-    y = rows.select(key, F.col(unit).alias("j"), F.col(value).alias("y"))
-    sums = x.join(y, key).filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    sums = pairs_in_keys(rows, key, unit, value, block).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
     return sums.join(F.broadcast(n)).select("i", "j", (F.col("s") / F.col("_n")).alias("c"))
 
 
@@ -102,3 +127,89 @@ def expected_level(p: Column, levels: tuple[int, ...]) -> Column:
     """Probability-weighted mean level; 0 where there is no mass."""
     weighted = V.dot(p, F.array(*[F.lit(float(x)) for x in levels]))
     return F.when(V.total(p) > 0, weighted / V.total(p)).otherwise(F.lit(0.0))
+
+
+def probe_activations(fires: DataFrame, image: str, unit: str, value: str) -> DataFrame:
+    """(image, unit, activation): repeated fires of a unit in one image are averaged, never put side by side."""
+    return fires.filter(F.col(image).isNotNull() & F.col(unit).isNotNull() & F.col(value).isNotNull()).groupBy(image, unit).agg(F.avg(value).alias("activation"))
+
+
+def tracked_units(state: DataFrame, unit: str, index: DataFrame) -> DataFrame:
+    """The rows of a loaded state with the original channel of each subsampled unit, by ``index(place, channel)``."""
+    return state.join(index.select(F.col("place").alias(unit), "channel"), unit)
+
+
+def sparse_diagnostics(codes: DataFrame, key: str, feature: str, value: str, inputs: DataFrame, decoder: DataFrame, dimensions: int, close: float = 0.9) -> DataFrame:
+    """One row about sparse codes (key, feature, value): features, dead rate, L0, reconstruction loss, duplicate rate.
+
+    ``inputs(key, x)`` are the vectors that were coded, ``decoder(feature, d)`` the decoder's direction of every feature.
+    L0 is the mean number of active features of a row, those of none among them; the loss is the mean squared error over
+    rows and dimensions; a feature is a duplicate if the cosine of its direction with another's is above ``close``.
+    Pairs of directions are compared block by block, as the matrix product of ``dense.cosine_neighbours``.
+    """
+    from .dense import cosine_neighbours
+
+    features = decoder.agg(F.count(F.lit(1)).alias("n_features"))
+    active = codes.filter(F.col(value) != 0)
+    dead = decoder.join(active.select(feature).distinct(), feature, "left_anti").agg(F.count(F.lit(1)).alias("_dead"))
+    parts = active.join(decoder, feature).groupBy(key).agg(F.count(F.lit(1)).alias("_l0"), *[F.sum(F.col(value) * F.get("d", F.lit(i))).alias(f"_r{i}") for i in range(dimensions)])
+    error = lambda i: F.pow(F.get("x", F.lit(i)).cast("double") - F.coalesce(f"_r{i}", F.lit(0.0)), 2)
+    rebuilt = inputs.join(parts, key, "left").agg(F.avg(F.coalesce("_l0", F.lit(0))).alias("l0"), (F.avg(sum(error(i) for i in range(dimensions))) / dimensions).alias("recon_loss"))
+    twins = cosine_neighbours(decoder, decoder, feature, "d", 1).filter(F.col("s") > close).agg(F.count(F.lit(1)).alias("_twins"))
+    one = features.join(F.broadcast(dead)).join(F.broadcast(rebuilt)).join(F.broadcast(twins))
+    return one.select("n_features", (F.col("_dead") / F.col("n_features")).alias("dead_rate"), "l0", "recon_loss", (F.col("_twins") / F.col("n_features")).alias("duplicate_rate"))
+
+
+#: Units whose correlation rows are clustered inside one task, at most.
+WARD_UNITS = 4096
+
+
+def concept_clusters(correlations: DataFrame, activity: DataFrame, concepts: int = 8, least_units: int = 2, share: float = 0.02) -> DataFrame:
+    """(unit, concept): units of like correlation rows (i, j, r; i <= j), by Ward's agglomeration.
+
+    Units whose mean activity is at most ``share`` of the most active one's are left out first; if fewer than
+    ``max(2 * least_units, 4)`` are left, all are kept.  Merging goes on until ``concepts`` are left, or as many as have
+    ``least_units`` units each on average; concepts of fewer units than that are not reported, and concepts are numbered
+    by their smallest unit.  One matrix of at most WARD_UNITS units is one task's; more active units are refused.
+    """
+    fired = activity.agg(F.max("mean").alias("_top"))
+    chosen = activity.join(F.broadcast(fired)).filter(F.col("mean") > share * F.greatest("_top", F.lit(1e-12))).select("unit")
+    few = len(chosen.take(WARD_UNITS + 1))
+    if few < max(2 * least_units, 4):
+        chosen = activity.select("unit")
+        few = len(chosen.take(WARD_UNITS + 1))
+    if few > WARD_UNITS:
+        raise ValueError(f"more than {WARD_UNITS} active units; raise the share or choose units first")
+    inside = correlations.join(chosen.withColumnRenamed("unit", "i"), "i", "left_semi").join(chosen.withColumnRenamed("unit", "j"), "j", "left_semi").select("i", "j", "r")
+    alone = chosen.select(F.col("unit").alias("i"), F.col("unit").alias("j"), F.lit(None).cast("double").alias("r"))
+
+    def ward(rows):
+        import numpy as np
+        import pandas as pd
+
+        units = np.unique(np.concatenate([rows["i"].to_numpy(), rows["j"].to_numpy()]))
+        n = len(units)
+        known = rows.dropna()
+        a, b = np.searchsorted(units, known["i"]), np.searchsorted(units, known["j"])
+        x = np.zeros((n, n))
+        x[a, b] = x[b, a] = np.nan_to_num(known["r"].to_numpy("float64"))
+        wanted = max(1, min(concepts, n // least_units, n))
+        squares = (x**2).sum(axis=1)
+        # the cost of a merge: what it adds to the squared distances from the means
+        cost = np.maximum(squares[:, None] + squares[None, :] - 2 * x @ x.T, 0) / 2
+        np.fill_diagonal(cost, np.inf)
+        size, label, living = np.ones(n), np.arange(n), n
+        while living > wanted:
+            i, j = sorted(divmod(int(np.round(cost, 12).argmin()), n))
+            both = size[i] + size[j]
+            others = np.isfinite(cost[i]) & np.isfinite(cost[j])
+            fresh = ((size[i] + size) * cost[i] + (size[j] + size) * cost[j] - size * cost[i, j]) / (both + size)
+            cost[i, others] = cost[others, i] = fresh[others]
+            cost[j, :] = cost[:, j] = np.inf
+            size[i], size[j], living = both, 0, living - 1
+            label[label == j] = i
+        kept = [(int(u), int(units[label == own].min())) for u, own in zip(units, label) if (label == own).sum() >= least_units]
+        names = {first: number for number, first in enumerate(sorted({first for _, first in kept}))}
+        return pd.DataFrame([(u, names[first]) for u, first in kept], columns=["unit", "concept"])
+
+    return inside.unionByName(alone).groupBy(F.lit(0).alias("_one")).applyInPandas(lambda rows: ward(rows), "unit bigint, concept bigint")

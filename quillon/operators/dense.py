@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +37,10 @@ def codebook_blocks(codebook: DataFrame, key: str, vector: str):
     import numpy as np
 
     ids, rows = [], []
-    v, d = F.col(vector), None
-    usable = codebook.filter(F.col(key).isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    for r in usable.select(key, vector).orderBy(key).toLocalIterator():
+    d = None
+    for r in codebook.select(key, vector).filter(F.col(key).isNotNull()).orderBy(key).toLocalIterator():
+        if r[1] is None or any(x is None or not math.isfinite(x) for x in r[1]):
+            continue
         if d is None:
             d = len(r[1])
         if len(r[1]) != d or not d:
@@ -90,6 +93,45 @@ def nearest(df: DataFrame, key: str, vector: str, codebook: DataFrame, code_key:
     return placed if k is None else placed.filter(F.col("place") <= k)
 
 
+def nearest_sums(df: DataFrame, key: str, vector: str, codebook: DataFrame, code_key: str, code_vector: str) -> DataFrame | None:
+    """(code, n, s): count and sum of the vectors whose nearest codebook vector is ``code``, as in ``nearest``; each task
+    adds its rows up before anything is sent.  None for a codebook of more than BLOCK_ROWS."""
+    blocks = codebook_blocks(codebook, code_key, code_vector)
+    block = next(blocks, None)
+    if block is None or next(blocks, None) is not None:
+        return None
+    shared = df.sparkSession.sparkContext.broadcast(block)
+
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        codes, book = shared.value
+        squares, total, count = (book**2).sum(axis=1), np.zeros(book.shape), np.zeros(len(codes), "int64")
+        for batch in batches:
+            _, x = finite_rows(batch, book.shape[1])
+            if len(x):
+                d2 = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ book.T + squares[None, :], 0)
+                best = d2.argmin(axis=1)
+                np.add.at(total, best, x)
+                count += np.bincount(best, minlength=len(codes))
+        hit = np.flatnonzero(count)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(hit) + 1, dtype="int32") * book.shape[1]), pa.array(total[hit].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(codes[hit].astype("int64")), pa.array(count[hit]), lists], names=["code", "n", "s"])
+
+    def merge(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        s = rows.column("s").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).sum(axis=0)
+        whole = pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), pa.array(s))
+        return pa.table({"code": rows.column("code").slice(0, 1), "n": pa.array([np.sum(rows.column("n").to_numpy())], pa.int64()), "s": whole})
+
+    usable = spread(df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, vector))
+    kind = "code bigint, n bigint, s array<double>"
+    return usable.mapInArrow(add, kind).groupBy("code").applyInArrow(merge, kind)
+
+
 def cosine_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(query, neighbour, s, place): the ``k`` most cosine-similar rows of ``base``, itself left out.
 
@@ -144,3 +186,40 @@ def dimension_means(df: DataFrame, group: str, vector: str, dimensions: int) ->
     """(group, centre array<double>): the mean vector of each group, aggregated per dimension on the map side."""
     sums = df.groupBy(group).agg(*[F.avg(F.get(F.col(vector), F.lit(i)).cast("double")).alias(f"d{i}") for i in range(dimensions)])
     return sums.select(group, F.array(*[f"d{i}" for i in range(dimensions)]).alias("centre"))
+
+
+def pair_contrast(rows: DataFrame, key: str, first: str, second: str, temperature: float) -> DataFrame:
+    """(key, view, loss) of a batch of paired views: cross-entropy of each view's pair among all others of the batch.
+
+    A batch is one set of stated rows; its normalized views go out in blocks of BLOCK_ROWS, and each task sums the
+    exponentials of its rows against them, so no pair is a row.  Vectors that are null, zero or not finite are left out.
+    """
+    both = rows.select(F.col(key).alias("_k"), F.posexplode(F.array(first, second)).alias("view", "_v"))
+    length = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+    unit = both.withColumn("_l", length).filter((F.col("_l") > 0) & (F.col("_l") < float("inf")))
+    unit = unit.select((F.col("_k") * 2 + F.col("view")).alias("id"), F.transform("_v", lambda x: x / F.col("_l")).alias("v"))
+    base, parts = spread(unit), None
+    for ids, matrix in codebook_blocks(unit, "id", "v"):
+        shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
+
+        def measure(batches, shared=shared):
+            import numpy as np
+            import pyarrow as pa
+
+            names, book = shared.value
+            for batch in batches:
+                own, x = finite_rows(batch, book.shape[1])
+                if not len(x):
+                    continue
+                mine = own.to_numpy()
+                s = x @ book.T / temperature
+                other, pair = names[None, :] != mine[:, None], names[None, :] == (mine ^ 1)[:, None]
+                yield pa.RecordBatch.from_arrays([own, pa.array((np.exp(s) * other).sum(axis=1)), pa.array((s * pair).sum(axis=1)), pa.array(pair.any(axis=1))], names=["id", "t", "p", "met"])
+
+        part = base.mapInArrow(measure, "id bigint, t double, p double, met boolean")
+        parts = part if parts is None else parts.unionByName(part)
+    kind = dict(rows.dtypes)[key]
+    if parts is None:
+        return rows.sparkSession.createDataFrame([], f"{key} {kind}, view int, loss double")
+    total = parts.groupBy("id").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.bool_or("met").alias("met")).filter("met")
+    return total.select(F.floor(F.col("id") / 2).cast(kind).alias(key), (F.col("id") % 2).cast("int").alias("view"), (F.log("t") - F.col("p")).alias("loss"))

@@ -50,8 +50,32 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
             return best
 
 
+def _moved(near: list[dict[int, float]], loops, passes: int = 50):
+    """Communities of a graph's nodes after greedy moves to the neighbouring community of most modularity gain."""
+    import numpy as np
+
+    degree = np.array([sum(x.values()) for x in near]) + 2 * loops
+    twice, own, weight = degree.sum(), np.arange(len(near)), degree.copy()
+    for _ in range(passes if twice > 0 else 0):
+        moved = False
+        for i, links_of in enumerate(near):
+            old, links = own[i], {}
+            for j, w in links_of.items():
+                links[own[j]] = links.get(own[j], 0.0) + w
+            weight[old] -= degree[i]
+            gain = {c: links.get(c, 0.0) - degree[i] * weight[c] / twice for c in {*links, old}}
+            new = min(gain, key=lambda c: (-round(gain[c], 12), c != old, c))
+            weight[new] += degree[i]
+            own[i] = new
+            moved = moved or new != old
+        if not moved:
+            break
+    return own
+
+
 def modularity_communities(edges: DataFrame, graph: str) -> DataFrame:
-    """(graph, v, community) of many small graphs: greedy moves to the neighbouring community of most modularity gain.
+    """(graph, v, community) of many small graphs, by modularity: nodes are moved, each community becomes one node of a
+    smaller graph, and so on until no level moves any.
 
     One task per graph; a graph of more than SMALL_GRAPH nodes is refused, use ``label_propagation`` for it.
     """
@@ -70,28 +94,95 @@ def modularity_communities(edges: DataFrame, graph: str) -> DataFrame:
             i, j = place[a], place[b]
             if i != j and w > 0:
                 near[i][j] = near[j][i] = max(near[i].get(j, 0.0), float(w))
-        degree = np.array([sum(x.values()) for x in near])
-        twice = degree.sum()
-        own, weight = np.arange(len(names)), degree.copy()
-        moved = twice > 0
-        for _ in range(50):
-            if not moved:
+        label, loops = np.arange(len(names)), np.zeros(len(names))
+        while True:
+            own = _moved(near, loops)
+            kept, own = np.unique(own, return_inverse=True)
+            label = own[label]
+            if len(kept) == len(near):
                 break
-            moved = False
-            for i in range(len(names)):
-                links: dict[int, float] = {}
-                for j, w in near[i].items():
-                    links[own[j]] = links.get(own[j], 0.0) + w
-                old = own[i]
-                weight[old] -= degree[i]
-                gain = {c: links.get(c, 0.0) - degree[i] * weight[c] / twice for c in {*links, old}}
-                new = min(gain, key=lambda c: (-round(gain[c], 12), c != old, c))
-                weight[new] += degree[i]
-                own[i] = new
-                moved = moved or new != old
+            higher, inside = [{} for _ in kept], np.bincount(own, loops, minlength=len(kept))
+            for i, links_of in enumerate(near):
+                for j, w in links_of.items():
+                    p, q = int(own[i]), int(own[j])
+                    if p == q:
+                        inside[p] += w / 2
+                    else:
+                        higher[p][q] = higher[p].get(q, 0.0) + w
+            near, loops = higher, inside
         order: dict[int, int] = {}
-        for c in own:
+        for c in label:
             order.setdefault(int(c), len(order))
-        return pd.DataFrame({graph: rows[graph].iloc[0], "v": names, "community": [order[int(c)] for c in own]})
+        return pd.DataFrame({graph: rows[graph].iloc[0], "v": names, "community": [order[int(c)] for c in label]})
 
     return edges.groupBy(graph).applyInPandas(solve, f"{graph} {kind}, v bigint, community bigint")
+
+
+def modularity(edges: DataFrame, labels: DataFrame, graph: str) -> DataFrame:
+    """(graph, q): the share of weight inside communities less that expected from the degrees; each edge once, w > 0."""
+    of = labels.select(graph, "v", "community")
+    both = edges.join(of.select(graph, F.col("v").alias("a"), F.col("community").alias("ca")), [graph, "a"]).join(of.select(graph, F.col("v").alias("b"), F.col("community").alias("cb")), [graph, "b"])
+    inside = both.groupBy(graph).agg(F.sum("w").alias("_m"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0)).alias("_in"))
+    degree = both.select(graph, F.inline(F.array(F.struct(F.col("ca").alias("c"), "w"), F.struct(F.col("cb").alias("c"), "w")))).groupBy(graph, "c").agg(F.sum("w").alias("_d"))
+    squares = degree.groupBy(graph).agg(F.sum(F.col("_d") * F.col("_d")).alias("_s"))
+    return inside.join(squares, graph).select(graph, (F.col("_in") / F.col("_m") - F.col("_s") / (4 * F.col("_m") * F.col("_m"))).alias("q"))
+
+
+def routes(edges: DataFrame, sources: DataFrame, targets: DataFrame, slack: float = 1e-9) -> DataFrame:
+    """(target, place, v): a shortest path from the nearest source to each target, place 0 being the target.
+
+    Each vertex is reached from the neighbour on a shortest path of the smallest id; all targets are walked back at once,
+    a step in each round.  Targets that no source reaches have no path.
+    """
+    reached = checkpointed(shortest_paths(edges, sources))
+    near = undirected(edges).join(reached.select(F.col("v").alias("a"), F.col("distance").alias("before")), "a").join(reached.select(F.col("v").alias("b"), "distance"), "b")
+    back = near.filter((F.col("distance") > 0) & (F.abs(F.col("before") + F.col("w") - F.col("distance")) <= slack) & (F.col("before") < F.col("distance")))
+    back = checkpointed(back.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("previous")))
+    at = checkpointed(targets.select(F.col("v").alias("target"), "v").distinct().join(reached.select("v"), "v", "left_semi").select("target", F.lit(0).alias("place"), "v"))
+    found = at
+    while True:
+        step = at.join(back, "v").select("target", (F.col("place") + 1).alias("place"), F.col("previous").alias("v"))
+        at = checkpointed(step)
+        if at.isEmpty():
+            return found
+        found = found.unionByName(at)
+
+
+def compact(labels: DataFrame, graph: str, node: str, label: str) -> DataFrame:
+    """(graph, node, community): labels renumbered from 0 by their smallest node in each graph; nodes without one are left out."""
+    from .ordered import first_seen_labels
+
+    names = first_seen_labels(labels, [graph], label, node)
+    return labels.join(names, [graph, label]).select(graph, node, F.col("canonical").alias("community"))
+
+
+def chosen_communities(nodes: DataFrame, edges: DataFrame, graph: str, node: str, published: str, place: str, rounds: int = 8) -> DataFrame:
+    """(graph, node, community, source): the best signal each graph has.
+
+    Its published labels if there are three or more; else those of label propagation if they are 3 to 20; else ``place``,
+    a number by position.  Nodes without edges are their own in propagation.  Labels are compacted.
+    """
+    heard = label_propagation(edges, rounds).withColumnRenamed("v", node).withColumnRenamed("label", "_heard")
+    all_ = checkpointed(nodes.select(graph, node, published, place).join(heard, node, "left").withColumn("_heard", F.coalesce("_heard", F.col(node))))
+    counts = all_.groupBy(graph).agg(F.countDistinct(published).alias("_p"), F.countDistinct("_heard").alias("_h"))
+    source = F.when(F.col("_p") >= 3, "graph").when(F.col("_h").between(3, 20), "label-propagation").otherwise("spatial")
+    picked = all_.join(counts.select(graph, source.alias("source")), graph)
+    label = F.when(F.col("source") == "graph", F.coalesce(F.col(published).cast("bigint"), F.lit(-1))).when(F.col("source") == "spatial", F.col(place).cast("bigint")).otherwise(F.col("_heard"))
+    picked = picked.select(graph, node, "source", label.alias("_label"))
+    return compact(picked, graph, node, "_label").join(picked.select(graph, node, "source"), [graph, node])
+
+
+def anchors(members: DataFrame, graph: str, community: str, row: str, col: str, grid: int, spread: float = 2.1) -> DataFrame:
+    """(graph, community, x, y): the mean place of a community's patches on [-1, 1], pushed out by ``spread``; the centre if it has none."""
+    centre = lambda c: F.avg((F.col(c) + 0.5) / grid * 2 - 1)
+    mean = members.groupBy(graph, community).agg(centre(col).alias("_x"), centre(row).alias("_y"))
+    gain = F.when(F.hypot("_x", "_y") > 1e-6, F.lit(spread)).otherwise(F.lit(0.0))
+    out = lambda c: F.coalesce(F.col(c) * gain, F.lit(0.0))
+    return mean.select(graph, community, out("_x").alias("x"), out("_y").alias("y"))
+
+
+def plurality(members: DataFrame, group: list[str], feature: str) -> DataFrame:
+    """(group, feature, n): the most frequent feature of a group if more than one member has it, ties to the smaller; else null."""
+    counted = members.groupBy(*group, feature).agg(F.count(F.col(feature)).alias("_n"))
+    best = counted.groupBy(*group).agg(F.max(F.struct("_n", (-F.col(feature)).alias("_f"))).alias("_m"))
+    return best.select(*group, F.when(F.col("_m._n") > 1, -F.col("_m._f")).alias(feature), F.col("_m._n").alias("n"))

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLE, QUERIES
 
-MODULES = ("splits", "joins", "aggregates", "ordered", "selection", "vectors", "graphs", "evaluation", "scalars", "attribution")
+MODULES = ("splits", "joins", "aggregates", "ordered", "selection", "vectors", "graphs", "evaluation", "scalars", "attribution", "storage", "concepts", "networks", "services")
 
 
 def _load():

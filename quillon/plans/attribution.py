@@ -72,14 +72,6 @@ def nearest_pick(spark, d):
     return n.groupBy("bundle_id").agg(F.coalesce(F.min_by("node_id", "order"), F.lit(-1)).alias("picked"))
 
 
-@query()
-def attention_rollout(spark, d):
-    """Rollout over the concepts' tokens as a stand-in for attention: each concept is an image, each class a layer."""
-    rows = load(spark, d, "exemplar_ref").filter("token_idx IS NOT NULL AND activation > 0 AND activation < double('inf') AND class_label >= 0")
-    attention = rows.select(F.col("feature_id").alias("image"), F.col("class_label").alias("layer"), F.lit(0).alias("dst"), F.col("token_idx").alias("src"), F.col("activation").alias("w"))
-    return A.rollout(attention.groupBy("image", "layer", "dst", "src").agg(F.max("w").alias("w")))
-
-
 @query()
 def som_fit(spark, d):
     """Units of a small map after four batch steps from the label means."""

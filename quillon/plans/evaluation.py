@@ -42,6 +42,19 @@ def manifold_quality(spark, d):
     return q.select("n", F.round("trustworthiness", 9).alias("trustworthiness"), F.round("continuity", 9).alias("continuity"))
 
 
+@query("""WITH s AS (SELECT vec_id, embedding AS e FROM embeddings), n AS (SELECT count(*) AS n FROM s),
+d AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2]))), 9) AS h,
+ round(power(a.e[1]::DOUBLE - b.e[1], 2) + power(a.e[2]::DOUBLE - b.e[2], 2), 9) AS l FROM s a JOIN s b ON a.vec_id <> b.vec_id),
+r AS (SELECT row_number() OVER (PARTITION BY i ORDER BY h, j) AS rh, row_number() OVER (PARTITION BY i ORDER BY l, j) AS rl FROM d)
+SELECT any_value(n) AS n, round(1 - 2.0 / (any_value(n) * 7 * (2 * any_value(n) - 22)) * coalesce(sum(rh - 7) FILTER (rl <= 7 AND rh > 7), 0), 9) AS trustworthiness,
+ round(1 - 2.0 / (any_value(n) * 7 * (2 * any_value(n) - 22)) * coalesce(sum(rl - 7) FILTER (rh <= 7 AND rl > 7), 0), 9) AS continuity FROM r, n""")
+def manifold_quality_whole(spark, d):
+    """Trustworthiness and continuity of the first two dimensions against all, over every row."""
+    rows = load(spark, d, "embeddings").select("vec_id", "embedding", F.slice("embedding", 1, 2).alias("low"))
+    q = quality.trustworthiness(rows, "vec_id", "embedding", "low", rows=None)
+    return q.select("n", F.round("trustworthiness", 9).alias("trustworthiness"), F.round("continuity", 9).alias("continuity"))
+
+
 @query()
 def depth_spectra(spark, d):
     """Spectral centroid of the hits of each depth of each map."""

@@ -80,7 +80,7 @@ def number_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_rows(spark: SparkSession, path: str, needed: list[str] = ()) -> DataFrame:
     """Header CSV with every column as text; a needed column that is absent is named in the error."""
-    rows = spark.read.option("header", True).csv(path)
+    rows = spark.read.option("header", True).option("escape", '"').csv(path)
     for name in needed:
         if name not in rows.columns:
             raise ValueError(f"column {name!r} is not in {path}; it has {', '.join(rows.columns)}")
