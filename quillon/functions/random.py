@@ -1,4 +1,4 @@
-"""Seeded 32-bit generator, for layouts that must be the same everywhere."""
+"""The public generator mulberry32, for layouts that must be the same everywhere."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 
 def sequence_of(seed: int, n: int) -> list[float]:
-    """The first ``n`` numbers in [0, 1) of the multiply-and-xor generator for a 32-bit seed."""
+    """The first ``n`` numbers in [0, 1) of mulberry32 for a 32-bit seed."""
     mask, out, state = 0xFFFFFFFF, [], seed & 0xFFFFFFFF
     for _ in range(n):
         state = (state + 0x6D2B79F5) & mask

@@ -64,3 +64,8 @@ def at_least_one(df: DataFrame, key: str, stratum: str, val: float, seed=0) -> D
 def leaking_groups(df: DataFrame, group: str, split: str = "split") -> DataFrame:
     """Groups that are in more than one split."""
     return df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.countDistinct(split).alias("n_splits")).filter("n_splits > 1")
+
+
+def views(rows: DataFrame, split: str, train: str = "train") -> DataFrame:
+    """Rows with ``view``: those of the training split twice, 0 and 1, to be augmented each by itself; all others once."""
+    return rows.withColumn("view", F.explode(F.when(F.col(split) == train, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))

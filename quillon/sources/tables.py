@@ -142,6 +142,62 @@ def byte_range(files: DataFrame, start: int, end: int) -> DataFrame:
     return files.select("path", F.substring("content", start + 1, end - start).alias("part"))
 
 
+class Metadata:
+    """The four metadata reads over JSON documents below a folder, in the absence of a service: datasets, models, gallery, dictionaries."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.json(f"{self.root}/{name}")
+
+    def datasets(self) -> DataFrame:
+        """Datasets with the first of their models, null where there is none, by name."""
+        first = self.table("models").groupBy(F.col("dataset_id").alias("id")).agg(F.min("arch").alias("arch"))
+        return self.table("datasets").join(first, "id", "left").orderBy("name")
+
+    def matching(self, name: str, **equal) -> DataFrame:
+        """The rows of a table that have all the values given."""
+        rows = self.table(name)
+        for column, value in equal.items():
+            rows = rows.filter(F.col(column) == F.lit(value))
+        return rows
+
+    def gallery(self, dataset: str) -> DataFrame:
+        return self.matching("gallery", dataset_id=dataset).orderBy("id")
+
+    def dictionary(self, model: str, layer: int) -> DataFrame:
+        """The one dictionary of a model and layer, of several that of the smallest id; no row where there is none."""
+        return self.matching("dictionaries", model_id=model, layer=layer).orderBy("id").limit(1)
+
+
+def shapes(spark: SparkSession, items: int, side: int, seed: int = 0) -> DataFrame:
+    """(item, label, seed, pixels): grey images of discs, squares and crosses, drawn in Arrow batches.
+
+    The class goes round by item; place and size follow from the seed of the item by a seeded generator, so an image is
+    the same in every run and on every executor.
+    """
+    from ..functions.random import sequence_of
+
+    def draw(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        y, x = np.mgrid[0:side, 0:side]
+        for batch in batches:
+            own, labels, seeds, out = batch.column(0).to_pylist(), [], [], []
+            for item in own:
+                a, b, c = sequence_of(seed * 1_000_003 + item, 3)
+                dy, dx, r = np.abs(y - side * (0.35 + 0.3 * a)), np.abs(x - side * (0.35 + 0.3 * b)), side * (0.12 + 0.15 * c)
+                shape = (dy**2 + dx**2 <= r**2, np.maximum(dy, dx) <= r, (np.minimum(dy, dx) <= r / 3) & (np.maximum(dy, dx) <= r))[item % 3]
+                labels.append(item % 3)
+                seeds.append(seed * 1_000_003 + item)
+                out.append((shape * 255).astype("uint8").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.int32()), pa.array(seeds, pa.int64()), pa.array(out, pa.binary())], names=["item", "label", "seed", "pixels"])
+
+    return spark.range(items).select(F.col("id").alias("item")).mapInArrow(draw, "item bigint, label int, seed bigint, pixels binary")
+
+
 READERS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -160,6 +216,20 @@ def register(name: str) -> Callable:
     return keep
 
 
+def items(spark: SparkSession, loader: str, **arguments) -> DataFrame:
+    """The items (source, label, group) of a dataset by the name of its loader: csv, imagefolder or shapes."""
+    if loader == "csv":
+        rows = csv_rows(spark, arguments["path"], [c for c in (arguments["path_column"], arguments.get("label_column"), arguments.get("group_column")) if c])
+        column = lambda name: F.col(name) if name else F.lit(None).cast("string")
+        return rows.select(F.col(arguments["path_column"]).alias("source"), column(arguments.get("label_column")).alias("label"), column(arguments.get("group_column")).alias("group"))
+    if loader == "imagefolder":
+        return folder_per_class(spark, arguments["path"]).select(F.col("path").alias("source"), F.col("class").alias("label"), F.lit(None).cast("string").alias("group"))
+    if loader == "shapes":
+        made = shapes(spark, arguments["items"], arguments["side"], arguments.get("seed", 0))
+        return made.select(F.col("item").cast("string").alias("source"), F.col("label").cast("string").alias("label"), F.lit(None).cast("string").alias("group"))
+    raise KeyError(f"no loader {loader!r}; there are csv, imagefolder, shapes")
+
+
 def reader(name: str) -> Callable[..., DataFrame]:
     key = name.strip().lower()
     if key not in READERS:
@@ -167,5 +237,5 @@ def reader(name: str) -> Callable[..., DataFrame]:
     return READERS[key]
 
 
-for _name, _reader in (("folders", folder_per_class), ("folder", single_folder), ("presplit", presplit_folders), ("csv", csv_rows), ("list", annotation_list), ("manifest", manifests)):
+for _name, _reader in (("folders", folder_per_class), ("folder", single_folder), ("presplit", presplit_folders), ("csv", csv_rows), ("list", annotation_list), ("manifest", manifests), ("shapes", shapes)):
     register(_name)(_reader)

@@ -21,7 +21,7 @@ def smoothed(stream: DataFrame, key: str, value: str, alpha: float = 0.2) -> Dat
         import pandas as pd
 
         ema, n = state.get if state.exists else (0.0, 0)
-        rows = pd.concat(list(batches)).dropna(subset=[value]).sort_values(["ts", value])
+        rows = pd.concat([b.dropna(subset=[value]) for b in batches]).sort_values(["ts", value])
         for x in rows[value]:
             ema, n = ema + (float(x) - ema) * alpha, n + 1
         state.update((ema, n))

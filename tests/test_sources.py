@@ -96,10 +96,12 @@ def test_registry():
 
 
 def test_config_names_the_field():
-    made = config.build(config.Dataset, {"loader": "imagefolder", "splits": {"train": 0.5, "val": 0.25, "test": 0.25}})
-    assert config.overridden(made, "splits.seed", 4).splits.seed == 4
-    for bad, name in (({"loader": "x"}, "dataset.loader"), ({"nope": 1}, "nope"), ({"loader": "imagefolder", "splits": {"train": 2}}, "splits.train"), ({"loader": "csv"}, "path_column")):
+    made = config.Settings({"loader": "imagefolder", "splits": {"train": 0.5, "val": 0.25, "test": 0.25}})
+    assert made.override("splits.seed", 4).splits.seed == 4 and made["splits.train"] == 0.5 and made.image_size == 128
+    for bad, name in (({"loader": "tape"}, "loader"), ({"loader": "csv"}, "path_column"), ({"loader": "shapes", "splits": {"train": 0.9}}, "splits"), ({"colour": 1}, "colour"), ({"loader": "shapes", "splits": {"val": 2}}, r"splits\.val"), ({"loader": "shapes", "augmentation": "x"}, "augmentation")):
         with pytest.raises(config.ConfigError, match=name):
-            config.build(config.Dataset, bad)
-    with pytest.raises(KeyError):
-        config.overridden(made, "splits.nope", 1)
+            config.Settings(bad)
+    with pytest.raises(KeyError, match="nope"):
+        made.override("splits.nope", 1)
+    assert config.policy("satellite_default")["rot90"] and config.normalization(3) == ((0.5,) * 3, (0.5,) * 3)
+    assert config.backend({}) == "document" and config.backend({"metadata.url": "u", "metadata.key": "k"}) == "tables"
