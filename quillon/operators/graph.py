@@ -9,6 +9,8 @@ from .positions import checkpointed
 
 #: Nodes of one graph that may be solved inside one task.
 SMALL_GRAPH = 4096
+#: Rounds of shortest paths whose moved vertices stay tables of their own.
+ROUNDS_KEPT = 8
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -38,16 +40,20 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     both = checkpointed(undirected(edges))
     if not both.filter("w < 0").isEmpty():
         raise ValueError("shortest paths need weights >= 0")
-    best = checkpointed(sources.select("v").distinct().withColumn("distance", F.lit(0.0)))
-    moved = best
+    best = moved = checkpointed(sources.select("v").distinct().withColumn("distance", F.lit(0.0)))
+    rounds = 0
     while True:
         step = both.join(moved.select(F.col("v").alias("a"), "distance"), "a").groupBy(F.col("b").alias("v")).agg(F.min(F.col("distance") + F.col("w")).alias("reach"))
-        merged = checkpointed(best.join(step, "v", "full").select("v", "distance", "reach"))
+        # only what is known of the vertices just reached is looked up; the table of all is put together now and then
+        known = best.join(step.select("v"), "v", "left_semi").groupBy("v").agg(F.min("distance").alias("distance"))
         closer = F.col("distance").isNull() | (F.col("reach") < F.col("distance") - 1e-12)
-        moved = merged.filter(F.col("reach").isNotNull() & closer).select("v", F.col("reach").alias("distance"))
-        best = merged.select("v", F.when(F.col("reach").isNotNull() & closer, F.col("reach")).otherwise(F.col("distance")).alias("distance"))
+        moved = checkpointed(step.join(known, "v", "left").filter(closer).select("v", F.col("reach").alias("distance")))
+        rounds += 1
         if moved.isEmpty():
-            return best
+            return best.groupBy("v").agg(F.min("distance").alias("distance"))
+        best = best.unionByName(moved)
+        if rounds % ROUNDS_KEPT == 0:
+            best = checkpointed(best.groupBy("v").agg(F.min("distance").alias("distance")))
 
 
 def _moved(near: list[dict[int, float]], loops, passes: int = 50):

@@ -147,20 +147,20 @@ def with_position(df: DataFrame, group: str, order: list[Column], name: str = "p
     """
     local = checkpointed(local_positions(df, group, order, weight=weight))
     rows = local.filter(F.col("_count").isNull()).drop("_count")
-    counts = local.filter(F.col("_count").isNotNull()).select(F.col(group).alias("_g"), F.col("_pid").alias("_p"), "_count")
+    counts = local.filter(F.col("_count").isNotNull()).select(F.col(group).alias("_pos_group"), F.col("_pid").alias("_pos_part"), "_count")
     # a group goes on from the partition it ends in to the next one that is not empty, and no further
-    along = Window.partitionBy("_g").orderBy("_p")
-    counts = counts.withColumn("_next", F.lead("_p").over(Window.orderBy("_p"))).withColumn("_last", F.lead("_p").over(along).isNull())
-    counts = counts.withColumn("_upto", F.sum("_count").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    here = F.struct(F.col("_p").alias("_q"), (F.col("_upto") - F.col("_count")).alias("_before"))
-    after = F.struct(F.col("_next").alias("_q"), F.col("_upto").alias("_before"))
-    offsets = counts.select("_g", F.inline(F.filter(F.array(here, F.when(F.col("_last") & F.col("_next").isNotNull(), after)), lambda x: x.isNotNull())))
-    joined = rows.join(F.broadcast(offsets), (F.col(group) == F.col("_g")) & (F.col("_pid") == F.col("_q")), "left")
-    placed = joined.withColumn(name, F.col("_rank") + F.coalesce("_before", F.lit(0)))
+    along = Window.partitionBy("_pos_group").orderBy("_pos_part")
+    counts = counts.withColumn("_pos_next", F.lead("_pos_part").over(Window.orderBy("_pos_part"))).withColumn("_pos_last", F.lead("_pos_part").over(along).isNull())
+    counts = counts.withColumn("_pos_upto", F.sum("_count").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    here = F.struct(F.col("_pos_part").alias("_pos_at"), (F.col("_pos_upto") - F.col("_count")).alias("_pos_before"))
+    after = F.struct(F.col("_pos_next").alias("_pos_at"), F.col("_pos_upto").alias("_pos_before"))
+    offsets = counts.select("_pos_group", F.inline(F.filter(F.array(here, F.when(F.col("_pos_last") & F.col("_pos_next").isNotNull(), after)), lambda x: x.isNotNull())))
+    joined = rows.join(F.broadcast(offsets), (F.col(group) == F.col("_pos_group")) & (F.col("_pid") == F.col("_pos_at")), "left")
+    placed = joined.withColumn(name, F.col("_rank") + F.coalesce("_pos_before", F.lit(0)))
     if total is None:
         return placed.select(*df.columns, name)
-    sizes = rows.groupBy(F.col(group).alias("_h")).agg(F.count(F.lit(1)).alias(total))
-    return placed.join(sizes, F.col(group) == F.col("_h")).select(*df.columns, name, total)
+    sizes = rows.groupBy(F.col(group).alias("_pos_whole")).agg(F.count(F.lit(1)).alias(total))
+    return placed.join(sizes, F.col(group) == F.col("_pos_whole")).select(*df.columns, name, total)
 
 
 def top_positions(df: DataFrame, group: str, order: list[Column], n: int, name: str = "position") -> DataFrame:
@@ -215,10 +215,10 @@ def last_known(df: DataFrame, group: str, order: list[Column], value: str, name:
             yield pa.RecordBatch.from_arrays(row, names=[*proto.names, "_pid", "_known", "_ends"])
 
     carried = checkpointed(ranged.mapInArrow(carry, schema))
-    ends = carried.filter("_ends").select(F.col(group).alias("_g"), F.col("_pid").alias("_p"), F.col("_known").alias("_k"))
-    ends = ends.withColumn("_next", F.lead("_p").over(Window.orderBy("_p")))  # one row a partition
-    along = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    ends = ends.withColumn("_before", F.last("_k", ignorenulls=True).over(along)).select("_g", F.col("_next").alias("_q"), "_before").filter("_q IS NOT NULL")
+    ends = carried.filter("_ends").select(F.col(group).alias("_pos_group"), F.col("_pid").alias("_pos_part"), F.col("_known").alias("_pos_known"))
+    ends = ends.withColumn("_pos_next", F.lead("_pos_part").over(Window.orderBy("_pos_part")))  # one row a partition
+    along = Window.partitionBy("_pos_group").orderBy("_pos_part").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("_pos_before", F.last("_pos_known", ignorenulls=True).over(along)).select("_pos_group", F.col("_pos_next").alias("_pos_at"), "_pos_before").filter("_pos_at IS NOT NULL")
     rows = carried.filter("_ends IS NULL").drop("_ends")
-    joined = rows.join(F.broadcast(ends), (F.col(group) == F.col("_g")) & (F.col("_pid") == F.col("_q")), "left")
-    return joined.withColumn(name, F.coalesce("_known", "_before")).select(*df.columns, name)
+    joined = rows.join(F.broadcast(ends), (F.col(group) == F.col("_pos_group")) & (F.col("_pid") == F.col("_pos_at")), "left")
+    return joined.withColumn(name, F.coalesce("_known", "_pos_before")).select(*df.columns, name)

@@ -59,7 +59,7 @@ def manifold_quality_whole(spark, d):
 def depth_spectra(spark, d):
     """Spectral centroid of the hits of each depth of each map."""
     n = load(spark, d, "sgp_node").dropDuplicates(["node_id"]).select("bundle_id", F.col("grid.z").alias("z"), F.col("grid.y").alias("y"), F.col("grid.x").alias("x"), "hits").filter("z IS NOT NULL AND y >= 0 AND x >= 0")
-    return quality.radial_spectra(n, ["bundle_id", "z"], "y", "x", "hits")
+    return quality.radial_spectra(n, ["bundle_id", "z"], "y", "x", "hits").select("bundle_id", "z", F.round("centroid", 6).alias("centroid"))
 
 
 def _vectors(spark, d):

@@ -110,6 +110,13 @@ def knn_vote(spark, d):
     return voted.join(own, "query").select("query", "predicted", (F.col("predicted") == F.col("own")).alias("correct"))
 
 
+@query(_KNN.replace(" WHERE q.vec_id % 20 = 0", "") + " SELECT query, neighbour, round(s, 6) AS similarity, place FROM near")
+def knn_whole(spark, d):
+    """The five nearest by cosine of every row, among all rows."""
+    e = load(spark, d, "embeddings")
+    return dense.cosine_neighbours(e, e, "vec_id", "embedding", 5).select("query", "neighbour", F.round("s", 6).alias("similarity"), "place")
+
+
 _NODES = "nodes AS (SELECT DISTINCT ON (node_id) node_id, bundle_id, idx, grid.z AS z, grid.y AS y, grid.x AS x, hits, umatrix, community, dead, weight FROM sgp_node)"
 _EDGES = f"""WITH {_NODES}, edges AS (SELECT a.bundle_id, a.node_id AS a, b.node_id AS b FROM nodes a JOIN nodes b ON a.bundle_id = b.bundle_id AND a.node_id <> b.node_id
  AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1 AND (a.z, a.y, a.x) < (b.z, b.y, b.x))"""

@@ -123,12 +123,7 @@ b AS (SELECT bundle_id, z, power, (least(7, floor(radius / top * 8 + 1e-12)) + 0
 SELECT bundle_id, z, round(sum(middle * power) / (sum(power) + 1e-9), 6) AS centroid FROM b GROUP BY bundle_id, z"""
 
 
-@query(_spectrum_sql())
-def depth_centroids(spark, d):
-    """Power-weighted mean radial frequency of the hits of each depth of each map."""
-    from .evaluation import depth_spectra
-
-    return depth_spectra(spark, d).select("bundle_id", "z", F.round("centroid", 6).alias("centroid"))
+ORACLE["depth_spectra"] = _spectrum_sql()
 
 
 def _fitted_sql(epochs=4, start=2.0, end=0.5):

@@ -108,9 +108,11 @@ def limit_subset(spark, d):
 @query("""SELECT n_name, dense_rank() OVER (ORDER BY n_name) - 1 AS label FROM nation""")
 def class_labels(spark, d):
     """Sorted class names to 0-based labels."""
-    from pyspark.sql import Window
+    from ..operators.positions import with_position
 
-    return load(spark, d, "nation").select("n_name", (F.dense_rank().over(Window.orderBy("n_name")) - 1).cast("bigint").alias("label"))
+    names = load(spark, d, "nation").select("n_name").distinct().withColumn("_one", F.lit(0))
+    numbered = with_position(names, "_one", [F.col("n_name").asc()], "_place")
+    return load(spark, d, "nation").select("n_name").join(numbered, "n_name").select("n_name", (F.col("_place") - 1).alias("label"))
 
 
 @query("""SELECT DISTINCT regexp_replace(image_id, '_[0-9]+$', '') AS class FROM image_metadata""")
