@@ -182,10 +182,26 @@ def vote(neighbours: DataFrame, labels: DataFrame, key: str, label: str) -> Data
     return counted.groupBy("query").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("predicted"))
 
 
+def whole_vectors(df: DataFrame, vector: str, dimensions: int) -> DataFrame:
+    """The rows whose vector has ``dimensions`` values, all of them finite."""
+    v = F.col(vector)
+    return df.filter((F.size(v) == dimensions) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+
+def vector_sums(df: DataFrame, group: list[str], vector: str) -> DataFrame:
+    """(group, n, s array<double>): count and sum of whole vectors of each group, added up before they are sent."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    whole = df.select(*group, array_to_vector(F.col(vector).cast("array<double>")).alias("_vector"))
+    total = whole.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(F.col("_vector")).alias("_sum"))
+    return total.select(*group, "n", vector_to_array("_sum").alias("s"))
+
+
 def dimension_means(df: DataFrame, group: str, vector: str, dimensions: int) -> DataFrame:
-    """(group, centre array<double>): the mean vector of each group, aggregated per dimension on the map side."""
-    sums = df.groupBy(group).agg(*[F.avg(F.get(F.col(vector), F.lit(i)).cast("double")).alias(f"d{i}") for i in range(dimensions)])
-    return sums.select(group, F.array(*[f"d{i}" for i in range(dimensions)]).alias("centre"))
+    """(group, centre array<double>): the mean of the whole, finite vectors of each group."""
+    sums = vector_sums(whole_vectors(df, vector, dimensions), [group], vector)
+    return sums.select(group, F.transform("s", lambda x: x / F.col("n")).alias("centre"))
 
 
 def pair_contrast(rows: DataFrame, key: str, first: str, second: str, temperature: float) -> DataFrame:

@@ -56,6 +56,67 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
             best = checkpointed(best.groupBy("v").agg(F.min("distance").alias("distance")))
 
 
+def small_paths(edges: DataFrame, graph: str, sources: DataFrame) -> DataFrame:
+    """(graph, v, distance, previous) from the nearest of ``sources(graph, v)`` of many small graphs, one task per graph.
+
+    ``previous`` is the neighbour of the smallest id on a shortest path, null at a source.  Vertices that no source reaches
+    have no row.  Weights are not negative; a graph of more than SMALL_GRAPH nodes is refused, use ``shortest_paths`` for it.
+    """
+    kinds = dict(edges.dtypes)
+
+    def solve(key, rows, starts):
+        import heapq
+
+        import pandas as pd
+
+        near: dict[int, dict[int, float]] = {}
+        for a, b, w in zip(rows["a"], rows["b"], rows["w"]):
+            if a != b:
+                if w < 0:
+                    raise ValueError("shortest paths need weights >= 0")
+                near.setdefault(a, {})[b] = max(near.get(a, {}).get(b, 0.0), float(w))
+                near.setdefault(b, {})[a] = near[a][b]
+        if len(near) > SMALL_GRAPH:
+            raise ValueError(f"graph {key[0]} has {len(near)} nodes; at most {SMALL_GRAPH} are solved in one task")
+        found, waiting = {}, [(0.0, int(v)) for v in set(starts["v"])]
+        heapq.heapify(waiting)
+        while waiting:
+            d, v = heapq.heappop(waiting)
+            if v not in found:
+                found[v] = d
+                for other, w in near.get(v, {}).items():
+                    if other not in found:
+                        heapq.heappush(waiting, (d + w, other))
+        begun = set(starts["v"])
+        back = {v: min((u for u, w in near.get(v, {}).items() if u in found and abs(found[u] + w - d) <= 1e-9 and found[u] < d), default=None) for v, d in found.items() if v not in begun}
+        out = pd.DataFrame({graph: [key[0]] * len(found), "v": list(found), "distance": list(found.values()), "previous": [back.get(v) for v in found]})
+        return out.astype({"previous": "Int64"})
+
+    starts = sources.select(F.col(graph).alias("_graph"), "v")  # another name, as both sides may come from one table
+    both = edges.select(graph, "a", "b", "w").groupBy(graph).cogroup(starts.groupBy("_graph"))
+    return both.applyInPandas(solve, f"{graph} {kinds[graph]}, v bigint, distance double, previous bigint")
+
+
+def small_routes(paths: DataFrame, graph: str, targets: DataFrame) -> DataFrame:
+    """(target, place, v): the way back from each of ``targets(graph, v)`` over ``small_paths``, place 0 being the target."""
+
+    def walk(key, rows, ends):
+        import pandas as pd
+
+        back, known, out = {int(v): p for v, p in zip(rows["v"], rows["previous"])}, set(rows["v"]), []
+        for target in sorted(set(ends["v"]) & known):
+            v, place = int(target), 0
+            while True:
+                out.append((int(target), place, v))
+                if pd.isna(back[v]):
+                    break
+                v, place = int(back[v]), place + 1
+        return pd.DataFrame(out, columns=["target", "place", "v"])
+
+    ends = targets.select(F.col(graph).alias("_graph"), "v")
+    return paths.groupBy(graph).cogroup(ends.groupBy("_graph")).applyInPandas(walk, "target bigint, place int, v bigint")
+
+
 def _moved(near: list[dict[int, float]], loops, passes: int = 50):
     """Communities of a graph's nodes after greedy moves to the neighbouring community of most modularity gain."""
     import numpy as np

@@ -90,7 +90,7 @@ def lattice_distances(spark, d):
     """Steps over lattice edges from the smallest connected node of each map."""
     edges = L.edges(nodes(spark, d)).withColumn("w", F.lit(1.0))
     ends = edges.select("bundle_id", F.inline(F.array(F.struct(F.col("a").alias("v")), F.struct(F.col("b").alias("v")))))
-    return G.shortest_paths(edges.select("a", "b", "w"), ends.groupBy("bundle_id").agg(F.min("v").alias("v")))
+    return G.small_paths(edges, "bundle_id", ends.groupBy("bundle_id").agg(F.min("v").alias("v"))).select("v", "distance")
 
 
 @query("""SELECT 'concept' AS kind, 'c' || feature_id AS id FROM concept_feature UNION ALL SELECT DISTINCT 'image', 'i' || e.image_id FROM (SELECT unnest(exemplars) AS e FROM concept_feature) WHERE e.image_id IS NOT NULL

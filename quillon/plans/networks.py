@@ -53,9 +53,9 @@ def lattice_routes(spark, d):
     edges = L.edges(n).withColumn("w", F.lit(1.0))
     ends = edges.select("bundle_id", F.inline(F.array(F.struct(F.col("a").alias("v")), F.struct(F.col("b").alias("v")))))
     sources = ends.groupBy("bundle_id").agg(F.min("v").alias("v"))
-    reached = G.shortest_paths(edges.select("a", "b", "w"), sources)
-    far = reached.join(n.select(F.col("node_id").alias("v"), "bundle_id"), "v").groupBy("bundle_id").agg(F.min_by("v", F.struct(-F.col("distance"), F.col("v"))).alias("v"))
-    return G.routes(edges.select("a", "b", "w"), sources, far)
+    reached = G.small_paths(edges, "bundle_id", sources)
+    far = reached.groupBy("bundle_id").agg(F.min_by("v", F.struct(-F.col("distance"), F.col("v"))).alias("v"))
+    return G.small_routes(reached, "bundle_id", far)
 
 
 _PLACE = "CASE WHEN y IS NULL OR x IS NULL THEN 0 ELSE (least(2, floor(y * 3 / 8)) * 3 + least(2, floor(x * 3 / 8)))::INTEGER END"
