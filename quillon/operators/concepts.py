@@ -73,8 +73,14 @@ CLASSES_MOST = 100_000
 
 def pairs_in_keys(rows: DataFrame, key: str, unit: str, value: str, block: int | None = None) -> DataFrame:
     """(key, i, j, x, y), i <= j: all pairs of units of each key.  A key of many units is met block by block, in many tasks."""
-    size = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / (block or KEY_BLOCK)).cast("int").alias("_blocks"))
-    cut = join_hot(rows.select(key, unit, value), size, [key], rows=rows.count()).withColumn("_own", F.pmod(F.xxhash64(unit), F.col("_blocks")).cast("int"))
+    block = block or KEY_BLOCK
+    size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    most = size.agg(F.max("_n").alias("most"), F.sum("_n").alias("rows")).first()
+    if (most.most or 0) <= block:
+        left, right = rows.select(key, F.col(unit).alias("i"), F.col(value).alias("x")), rows.select(key, F.col(unit).alias("j"), F.col(value).alias("y"))
+        return left.join(right, key).filter("i <= j")
+    size = size.select(key, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    cut = join_hot(rows.select(key, unit, value), size, [key], rows=most.rows).withColumn("_own", F.pmod(F.xxhash64(unit), F.col("_blocks")).cast("int"))
     cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     x = cut.select(key, F.col(unit).alias("i"), F.col(value).alias("x"), F.col("_own").alias("_a"), F.col("_other").alias("_b"))
     y = cut.select(key, F.col(unit).alias("j"), F.col(value).alias("y"), F.col("_own").alias("_b"), F.col("_other").alias("_a"))
