@@ -24,6 +24,7 @@ read.
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import unicodedata
@@ -863,10 +864,36 @@ def redact(text: str, spans) -> str:
 class Detector:
     """Field fitted on a bounded sample; ordinary words and the lexicon of names are counted over the whole corpus."""
 
-    def __init__(self, documents: DataFrame, hints: DataFrame):
+    def __init__(self, documents: DataFrame, hints: DataFrame | None = None, saved: str | None = None):
+        """Fitted on ``documents`` and ``hints``, or read from where ``save`` wrote another one."""
         self.spark = documents.sparkSession
         self.documents = documents
         self.texts = spread(documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"))
+        if saved is None:
+            self._fit(documents, hints)
+        else:
+            self._load(saved)
+
+    def save(self, path: str) -> None:
+        """Write the fitted field, the ordinary words and the names found to tables below ``path``."""
+        hints, field = self.model.value
+        parts = {"kind": hints.kind, "common": sorted(hints.common), "fixed": sorted(hints.fixed), "index": field.index, "weights": field.weights.tolist(), "transition": field.transition.tolist()}
+        rows = [(name, json.dumps(value)) for name, value in parts.items()]
+        self.spark.createDataFrame(rows, "part string, value string").write.mode("overwrite").parquet(f"{path}/model")
+        self.names.write.mode("overwrite").parquet(f"{path}/names")
+
+    def _load(self, path: str) -> None:
+        import numpy as np
+
+        parts = {r.part: json.loads(r.value) for r in self.spark.read.parquet(f"{path}/model").collect()}
+        self.names = self.spark.read.parquet(f"{path}/names")
+        self.sent = len(self.names.take(NAMES_SENT + 1)) <= NAMES_SENT
+        self.hints = Hints((), (), parts["common"], parts["fixed"])
+        self.hints.kind = parts["kind"]
+        field = Field(parts["index"], np.array(parts["weights"]).reshape(-1, len(LABELS)), np.array(parts["transition"]))
+        self.model = self.spark.sparkContext.broadcast((self.hints, field))
+
+    def _fit(self, documents: DataFrame, hints: DataFrame) -> None:
         listed = hints.filter("name IS NOT NULL").select("name", "kind").distinct().take(HINTS_MOST + 1)  # a fixed table
         if len(listed) > HINTS_MOST:
             raise ValueError(f"more than {HINTS_MOST} name hints; they are sent to every task, so their number is bounded")

@@ -166,7 +166,7 @@ def test_names_of_few_votes_stay_in_a_large_lexicon(spark, monkeypatch):
     assert all(known.of(n.lower()) == 2 for n in names)
 
 
-def test_names_joined_to_their_texts_give_the_same(spark, monkeypatch):
+def test_names_joined_to_their_texts_give_the_same(spark, monkeypatch, tmp_path):
     """More names than are sent to every task: each text gets those it holds."""
     texts = corpus(400, 8)[0] + [None, "", "orla zorbik was here"] + [f"Annotated by Orla Zorbik. Item {i}" for i in range(5)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, "Orla Zorbik")], "doc_id bigint, text string")
@@ -174,6 +174,11 @@ def test_names_joined_to_their_texts_give_the_same(spark, monkeypatch):
     one = personal.Detector(docs, hints)
     monkeypatch.setattr(personal, "NAMES_SENT", 0)
     other = personal.Detector(docs, hints)
+    one.save(str(tmp_path / "one"))
+    monkeypatch.setattr(personal, "NAMES_SENT", 100_000)
+    again = personal.Detector(docs, saved=str(tmp_path / "one"))
+    assert sorted(map(tuple, again.found().collect())) == sorted(map(tuple, one.found().collect()))
+    monkeypatch.setattr(personal, "NAMES_SENT", 0)
     assert one.sent and not other.sent and one.names.count() == other.names.count() > 0
     assert sorted(map(tuple, one.found().collect())) == sorted(map(tuple, other.found().collect()))
     assert sorted(map(tuple, one.redacted().collect()), key=str) == sorted(map(tuple, other.redacted().collect()), key=str)
