@@ -206,10 +206,39 @@ def test_skip_edges_carry_a_label_to_a_repeated_unit():
     assert list(personal.infer(chains, emission, transition, (np.array([0]), np.array([1])))) == [5, 5]
 
 
+def test_the_weight_of_skip_edges_is_what_labels_best():
+    """A name shown clearly once and unclearly later needs the edge; one that is not a name everywhere is hurt by it."""
+    import numpy as np
+
+    clear, vague = np.zeros(len(personal.LABELS)), np.zeros(len(personal.LABELS))
+
+    class Field:
+        transition = np.zeros((len(personal.LABELS),) * 2)
+        index = {}
+
+        def __init__(self, rows):
+            self.rows = rows
+
+        def emission(self, rows):
+            return np.array(self.rows)
+
+    hints = personal.Hints([], ["Zorplund"], {"was", "in", "then", "came"})
+    u = personal.Units("Zorplund was in. Zorplund")
+    clear[1], vague[0] = 4.0, 0.6
+    runs = [range(0, 1), range(4, 5)]
+    assert personal.skip_weight([(u, runs, {0: 1, 4: 1})], hints, Field([clear, vague]), random.Random(1)) > 0
+    assert personal.skip_weight([(u, runs, {0: 1, 4: 0})], hints, Field([clear, vague]), random.Random(1)) < 1.0
+    assert personal.skip_weight([], hints, Field([]), random.Random(1)) == personal.SKIP_WEIGHTS[0]
+
+
+def test_similar_forms_are_joined():
+    assert personal.alike("müller") == personal.alike("muller") and personal.alike("plain") == "plain"
+
+
 def test_evidence_reaches_every_repeat(monkeypatch):
     """All mentions of a text are joined to the first, those in small letters too."""
     taken = {}
-    monkeypatch.setattr(personal, "infer", lambda chains, emission, transition, skips: taken.setdefault("skips", skips) and [0] * len(emission))
+    monkeypatch.setattr(personal, "infer", lambda chains, emission, transition, skips, weight: taken.setdefault("skips", skips) and [0] * len(emission))
     field = personal.fit_field([], {})
     personal.mentions(["Zorplund was in. " + "The probe drifts on and on. Zorplund left. " * 6 + "Then zorplund again."], personal.Hints([], ["Zorplund"], {"the", "then", "probe", "drifts", "on", "and", "left", "was", "in", "again"}), field)
     left, right = taken["skips"]
