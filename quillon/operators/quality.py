@@ -187,6 +187,34 @@ def projected_steps(rows: DataFrame, step: str, key: str, vector: str, only: int
     return model.transform(chosen).select(step, key, place[0].alias("x"), place[1].alias("y"))
 
 
+def _by_components(rows: DataFrame, key: str, vector: str, seed: int) -> DataFrame:
+    return projected_steps(rows.withColumn("_step", F.lit(0)), "_step", key, vector).drop("_step")
+
+
+def _by_directions(rows: DataFrame, key: str, vector: str, seed: int) -> DataFrame:
+    """Two seeded directions: sums of the values with signs by a hash of seed, axis and place."""
+    sign = lambda axis: F.transform(vector, lambda x, i: x.cast("double") * (1 - 2 * F.pmod(F.xxhash64(F.lit(seed), F.lit(axis), i), F.lit(2))))
+    total = lambda axis: F.aggregate(sign(axis), F.lit(0.0), lambda a, x: a + x)
+    return rows.select(key, total(0).alias("x"), total(1).alias("y"))
+
+
+#: Methods of projection by name; those without a function need a library that may be absent.
+PROJECTIONS = {"pca": _by_components, "random": _by_directions, "umap": None, "tsne": None}
+
+
+def projections(rows: DataFrame, key: str, vector: str, methods: list[str], seed: int = 0) -> DataFrame:
+    """(method, key, x, y) by each method; one whose library is absent is passed over, an unknown one is an error."""
+    strange = [m for m in methods if m not in PROJECTIONS]
+    if strange:
+        raise ValueError(f"no projection {strange[0]!r}; there are {', '.join(PROJECTIONS)}")
+    found = rows.sparkSession.createDataFrame([], f"method string, {key} {dict(rows.dtypes)[key]}, x double, y double")
+    for name in methods:
+        if PROJECTIONS[name] is not None:
+            placed = PROJECTIONS[name](rows.select(key, vector), key, vector, seed)
+            found = found.unionByName(placed.select(F.lit(name).alias("method"), key, "x", "y"))
+    return found
+
+
 def radial_spectra(slices: DataFrame, group: list[str], row: str, col: str, value: str, bins: int = 8) -> DataFrame:
     """(group, centroid): power-weighted mean radial frequency of each small grid, by FFT in one task per grid."""
     kinds = dict(slices.dtypes)

@@ -239,3 +239,10 @@ def patch_colours(spark, d):
     pixels = load(spark, d, "lineitem").select((F.col("l_orderkey") % 224).alias("y"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 224).alias("x"), (F.col("l_quantity") / 50).alias("r"), (F.col("l_discount") * 10).alias("g"), (F.col("l_tax") * 12).alias("b"))
     c = A.patch_colours(pixels, 14, 16)
     return c.select("token", *[F.round(n, 6).alias(n) for n in "rgb"])
+
+
+@query("SELECT unnest(['pca', 'random']) AS method, (SELECT count(*) FROM embeddings) AS n, true AS spread")
+def projection_methods(spark, d):
+    """Every method that is there, fitted and applied; one whose library is absent is passed over."""
+    placed = quality.projections(load(spark, d, "embeddings"), "vec_id", "embedding", ["pca", "umap", "random"])
+    return placed.groupBy("method").agg(F.count(F.lit(1)).alias("n"), ((F.stddev("x") > 0) & (F.stddev("y") > 0)).alias("spread"))

@@ -88,6 +88,26 @@ def run_stages(jobs: DataFrame, stages: list[tuple[str, Callable[[DataFrame], Da
     return jobs.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def followed(spark, log: str, poll: float = 0.15, most: float = 600.0):
+    """The messages (stage, message) of a job's log as they come in, batch by batch; ends with done or error, or after ``most`` seconds."""
+    import time
+
+    seen, until = set(), time.monotonic() + most
+    while time.monotonic() < until:
+        try:
+            rows = spark.read.schema("batch bigint, stage string, message string").parquet(log).collect()  # a few rows a batch
+        except Exception as error:  # nothing is written yet
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            rows = []
+        for r in sorted((r for r in rows if r not in seen), key=lambda r: (r.batch, r.stage in ("done", "error"))):
+            seen.add(r)
+            yield r.stage, r.message
+            if r.stage in ("done", "error"):
+                return
+        time.sleep(poll)
+
+
 def windowed_counts(stream: DataFrame, time: str, kind: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Engine extra: counts per time window and kind with a watermark for late rows."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width), kind).agg(F.count(F.lit(1)).alias("n"))

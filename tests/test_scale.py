@@ -226,3 +226,11 @@ def test_dead_units_take_seeded_rows(spark):
     units = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1e9, 0.0]), (2, [-1e9, 0.0])], "code bigint, w array<double>")
     first, again = ({r.code: tuple(r.w) for r in som.revived(rows, "id", "v", units).collect()} for _ in range(2))
     assert first == again and first[0] == (0.0, 0.0) and {first[1], first[2]} <= {(float(i), 0.0) for i in range(5)}
+
+
+def test_projections_by_name(spark):
+    rows = spark.createDataFrame([(i, [float(i), float(i % 3), 1.0]) for i in range(9)], "id bigint, v array<double>")
+    got = quality.projections(rows, "id", "v", ["random", "tsne"], seed=3)
+    assert got.count() == 9 and got.exceptAll(quality.projections(rows, "id", "v", ["random"], seed=3)).count() == 0
+    with pytest.raises(ValueError, match="polar"):
+        quality.projections(rows, "id", "v", ["polar"])

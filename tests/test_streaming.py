@@ -46,6 +46,9 @@ def test_stages_log_in_order_and_errors_end_a_batch(spark, tmp_path):
         return df.withColumn("x", F.when(F.col("id") == 2, F.raise_error(F.lit("two"))).otherwise(F.lit("")))
 
     jobs.run_stages(s, [("load", lambda df: df), ("check", fail_on_two)], str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
+    said = list(jobs.followed(spark, str(tmp_path / "log"), poll=0.01))
+    assert said[-1][0] in ("done", "error") and ("load", "ok") in said
+    assert list(jobs.followed(spark, str(tmp_path / "none"), poll=0.01, most=0.05)) == []
     log = spark.read.parquet(str(tmp_path / "log"))
     assert {r.stage for r in log.filter("message = 'ok'").collect()} == {"load", "check"}
     assert log.filter("stage = 'error'").count() == 1 and log.filter("stage = 'done'").count() == 1
