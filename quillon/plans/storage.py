@@ -176,7 +176,7 @@ _MANIFEST = "SELECT DISTINCT ON (pack_id) pack_id, pack_version, model, image, p
 
 
 @query(f"""WITH m AS ({_MANIFEST}) SELECT pack_version, count(*) AS n, count(*) FILTER (NOT coalesce(regexp_matches(pack_version, '^[0-9]+\\.[0-9]+\\.[0-9]+$'), false)) AS bad_version,
- count(*) FILTER (NOT coalesce(model.num_layers > 0, false)) AS bad_layers, count(*) FILTER (NOT coalesce(image.width > 0, false)) AS bad_width, count(*) FILTER (NOT coalesce(isfinite(prediction.confidence) AND prediction.confidence BETWEEN 0 AND 1, false)) AS bad_confidence FROM m GROUP BY pack_version""")
+ count(*) FILTER (NOT coalesce(model.num_layers > 0, false)) AS bad_layers, count(*) FILTER (NOT coalesce(model.num_heads > 0, false)) AS bad_heads, count(*) FILTER (NOT coalesce(image.width > 0, false)) AS bad_width, count(*) FILTER (NOT coalesce(image.height > 0, false)) AS bad_height, count(*) FILTER (NOT coalesce(prediction.class_index >= 0, false)) AS bad_class, count(*) FILTER (NOT coalesce(isfinite(prediction.confidence) AND prediction.confidence BETWEEN 0 AND 1, false)) AS bad_confidence FROM m GROUP BY pack_version""")
 def manifests_read(spark, d):
     """Manifests written as one JSON document a line and read under the pack schema, with the rules each breaks."""
     rows, path = load(spark, d, "pack_manifest").dropDuplicates(["pack_id"]), scratch(spark, "manifests")
@@ -185,7 +185,7 @@ def manifests_read(spark, d):
     sinks.write_documents(rows.select("pack_version", "model", "image", F.struct("prediction.label", "prediction.class_index", finite.alias("confidence")).alias("prediction")), path)
     found = spark.read.schema(T.MANIFEST).option("mode", "FAILFAST").json(path).withColumn("violations", T.manifest_violations())
     breaks = lambda name: F.count(F.when(F.array_contains("violations", name), 1))
-    return found.groupBy("pack_version").agg(F.count(F.lit(1)).alias("n"), breaks("pack_version").alias("bad_version"), breaks("model.num_layers").alias("bad_layers"), breaks("image.width").alias("bad_width"), breaks("prediction.confidence").alias("bad_confidence"))
+    return found.groupBy("pack_version").agg(F.count(F.lit(1)).alias("n"), breaks("pack_version").alias("bad_version"), breaks("model.num_layers").alias("bad_layers"), breaks("model.num_heads").alias("bad_heads"), breaks("image.width").alias("bad_width"), breaks("image.height").alias("bad_height"), breaks("prediction.class_index").alias("bad_class"), breaks("prediction.confidence").alias("bad_confidence"))
 
 
 @query("""WITH n AS (SELECT DISTINCT ON (node_id) * FROM sgp_node), s AS (SELECT bundle_id, count(*) AS k, max(grid.z) + 1 AS gz, max(grid.y) + 1 AS gy, max(grid.x) + 1 AS gx, min(idx) AS lo, max(idx) AS hi, count(*) FILTER (coalesce(len(weight), 0) <> 64) AS short FROM n GROUP BY bundle_id)

@@ -110,13 +110,29 @@ def manifests(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("violations", manifest_violations())
 
 
+# Element types of assets and the bytes of each.
+ELEMENT_BYTES = {"uint8": 1, "int8": 1, "float16": 2, "uint16": 2, "int16": 2, "float32": 4, "int32": 4, "float64": 8, "int64": 8}
+
+
+def _whole_asset(asset):
+    """Whether an asset has a known type and a shape, and its bytes are those of its shape where it is stored raw."""
+    width = F.element_at(F.create_map(*[F.lit(x) for pair in ELEMENT_BYTES.items() for x in pair]), asset["dtype"])
+    size = F.aggregate(asset["shape"], F.lit(1).cast("bigint"), lambda n, x: n * x) * width
+    known = asset["dtype"].isin(*ELEMENT_BYTES) & F.coalesce(F.forall(asset["shape"], lambda x: x > 0), F.lit(False))
+    return F.when(known, F.coalesce((asset["encoding"] != "raw") | (asset["bytes"] == size), F.lit(False))).otherwise(F.lit(False))
+
+
 def manifest_violations():
     """Names of the fields that break the manifest's rules, as array<string>."""
     rules = {
         "pack_version": F.coalesce(~F.col("pack_version").rlike(r"^\d+\.\d+\.\d+$"), F.lit(True)),
         "model.num_layers": F.coalesce(F.col("model.num_layers") <= 0, F.lit(True)),
+        "model.num_heads": F.coalesce(F.col("model.num_heads") <= 0, F.lit(True)),
         "image.width": F.coalesce(F.col("image.width") <= 0, F.lit(True)),
+        "image.height": F.coalesce(F.col("image.height") <= 0, F.lit(True)),
+        "prediction.class_index": F.coalesce(F.col("prediction.class_index") < 0, F.lit(True)),
         "prediction.confidence": F.coalesce(~F.col("prediction.confidence").between(0, 1), F.lit(True)),
+        "assets": F.coalesce(~F.forall(F.map_values("assets"), _whole_asset), F.lit(False)),  # a pack may have none
     }
     return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]))
 

@@ -54,8 +54,10 @@ def test_manifests(spark, tmp_path):
     good = {"pack_version": "1.0.0", "model": {"arch": "v", "num_layers": 2, "num_heads": 1}, "image": {"id": "i", "width": 4, "height": 4}, "prediction": {"label": "x", "class_index": 0, "confidence": 0.5}, "assets": {"a": {"dtype": "uint8", "shape": [2], "encoding": "raw", "bytes": 2}}}
     (tmp_path / "a.json").write_text(json.dumps(good))
     (tmp_path / "b.json").write_text(json.dumps(good | {"pack_version": "one", "prediction": {"label": "x", "class_index": 0, "confidence": 7}}))
+    (tmp_path / "c.json").write_text(json.dumps(good | {"pack_version": "2.0.0", "assets": {"a": {"dtype": "float16", "shape": [2, 3], "encoding": "raw", "bytes": 6}}}))
+    (tmp_path / "d.json").write_text(json.dumps(good | {"pack_version": "3.0.0", "assets": {"a": {"dtype": "float16", "shape": [2, 3], "encoding": "raw", "bytes": 12}, "b": {"dtype": "complex", "shape": [1], "encoding": "raw", "bytes": 1}}}))
     found = {r.pack_version: r.violations for r in tables.manifests(spark, str(tmp_path)).collect()}
-    assert found == {"1.0.0": [], "one": ["pack_version", "prediction.confidence"]}
+    assert found == {"1.0.0": [], "one": ["pack_version", "prediction.confidence"], "2.0.0": ["assets"], "3.0.0": ["assets"]}
 
 
 def test_binary_assets(spark, tmp_path):
