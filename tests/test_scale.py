@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import concepts, cumulative, dense, graph, ordered, positions, quality, som
+from quillon.operators import concepts, cumulative, dense, graph, ordered, positions, quality, som, ward
 
 
 @pytest.fixture
@@ -196,6 +196,38 @@ def test_ward_merges_what_costs_least(spark):
     assert sorted(map(sorted, sets)) == sorted(map(sorted, found.values()))
 
 
+@pytest.mark.parametrize("most, block", [(4096, 2048), (6, 5), (1, 2048), (1, 1)])
+def test_ward_of_more_units_than_one_task_holds(spark, monkeypatch, most, block):
+    monkeypatch.setattr(ward, "WARD_UNITS", most)
+    monkeypatch.setattr(ward, "BLOCK_UNITS", block)
+    rng = np.random.default_rng(5)
+    r = np.corrcoef(rng.normal(size=(24, 6))) * (rng.random((24, 24)) < 0.5)
+    r = np.triu(r) + np.triu(r, 1).T
+    r[20:] = r[:, 20:] = 0  # units without an entry: all merges among them cost the same
+    pairs = spark.createDataFrame([(i, j, float(r[i, j])) for i in range(24) for j in range(i, 24) if r[i, j]], "i bigint, j bigint, r double")
+    activity = spark.createDataFrame([(i, 1.0) for i in range(24)], "unit bigint, mean double")
+    got = {}
+    for row in concepts.concept_clusters(pairs, activity, concepts=7, least_units=1).collect():
+        got.setdefault(row.concept, []).append(row.unit)
+    sets = [[i] for i in range(24)]
+    spread = lambda s: ((r[s] - r[s].mean(axis=0)) ** 2).sum()
+    while len(sets) > 7:
+        a, b = min(((a, b) for a in range(len(sets)) for b in range(a)), key=lambda p: spread(sets[p[0]] + sets[p[1]]) - spread(sets[p[0]]) - spread(sets[p[1]]))
+        sets[b] += sets.pop(a)
+    assert sorted(map(sorted, sets)) == sorted(map(sorted, got.values()))
+
+
+@pytest.mark.parametrize("concepts_left", [2, 9])
+def test_ward_of_equal_costs_is_the_same_in_blocks(spark, monkeypatch, concepts_left):
+    pairs = spark.createDataFrame([(i, i, 1.0) for i in range(40)] + [(i, i + 1, 0.5) for i in range(0, 20, 2)], "i bigint, j bigint, r double")
+    activity = spark.createDataFrame([(i, 1.0) for i in range(40)], "unit bigint, mean double")
+    clusters = lambda: {(row.unit, row.concept) for row in concepts.concept_clusters(pairs, activity, concepts_left, least_units=1).collect()}
+    whole = clusters()
+    monkeypatch.setattr(ward, "WARD_UNITS", 3)
+    monkeypatch.setattr(ward, "BLOCK_UNITS", 16)
+    assert clusters() == whole and len(whole) == 40 and len({c for _, c in whole}) == concepts_left
+
+
 def test_ranked_quality_of_all_rows_equals_the_sample_of_all(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = spark.createDataFrame([(i, [float(x) for x in v], [float(x) for x in v[:2]]) for i, v in enumerate(rng.normal(size=(90, 8)))], "id bigint, h array<double>, l array<double>")
