@@ -2,16 +2,16 @@
 
 The vectors are reduced to their main directions, and a partition tree over the reduced vectors (fitted on a
 bounded sample) gives the cells; a vector belongs to its nearest cell and to the next ones within the margin.
-Each cell is clustered by density on the full vectors: vectors with ``points`` vectors or more (themselves counted)
-of similarity ``LEAST`` are core points, and core points within reach share a local cluster; a local cluster that is
-no set of mutually similar vectors is divided into such sets.  A cell of many rows is cut into parts by a hash; each
-part is clustered by itself, and two parts meet in one task, where their clusters are joined if all their members are
-similar, so that no task holds more than two parts.  Local clusters that share a core point, or are joined so, are
-merged by Borůvka contraction over links that are never gathered.
-
-Merged sets are looked at once more, as two sets of mutually similar vectors with a common one need not be one.  A set
-whose members all lie within half the angle of ``LEAST`` around its centre is one; all others are compared pair by pair,
-in blocks.  A set that fails is divided again: as a whole where one task can hold it, else in its cells' parts.
+In each cell vectors are linked by density on the full vectors: vectors with ``points`` vectors or more (themselves
+counted) of similarity ``LEAST`` are core points, and core points within reach are of one set.  A cell of many rows is cut
+into parts by a hash; each part is linked by itself, and two parts meet in one task, where sets with a similar pair are
+linked, so that no task holds more than two parts.  Sets that share a core point, or are linked so, are merged by Borůvka
+contraction over links that are never gathered.  Nothing is divided before sets are whole, so cells and parts, which
+are more in larger tables, do not show in the result.
+
+A merged set whose members all lie within half the angle of ``LEAST`` around its centre is a set of mutually similar
+vectors; all others are compared pair by pair, in blocks.  A set that fails is divided, whatever its size, by one rule
+and as a whole: its neighbours are counted in the blocks, and one task, which holds its vectors, takes sets from it.
 Members closest to the sum of their cluster are its medoids: for unit vectors that order is the order of total
 similarity, so no pairs are compared for it.
 
@@ -40,7 +40,7 @@ REDUCED = 40
 RESIDENTS = 1000
 PROBES, MARGIN = 5, 0.12
 BLOCK = 512
-#: Rows of one part of a cell, about, and of a set that one task divides, at most.
+#: Rows of one part of a cell and of one block of a merged set, about.
 PART_ROWS = 8192
 
 
@@ -67,8 +67,9 @@ def _degrees(x, others, least: float):
     return np.concatenate([(x[i : i + BLOCK] @ others.T >= least).sum(axis=1) for i in range(0, len(x), BLOCK)]) if len(x) else np.zeros(0, int)
 
 
-def local_clusters(x, least: float, points: int = POINTS):
-    """Lists of positions of the clusters of two or more among the unit vectors ``x``, all pairs of each similar."""
+def reached(x, least: float, points: int = POINTS):
+    """Lists of positions of the sets of two or more among the unit vectors ``x`` that core points within reach join, and
+    whether the first of each reaches all others."""
     import numpy as np
 
     core = _degrees(x, x, least) >= points if points > 2 else np.ones(len(x), bool)
@@ -99,11 +100,19 @@ def local_clusters(x, least: float, points: int = POINTS):
                 if len(edge):
                     whole.append(edge)
                     edge, reach = edge[core[edge]], False
-            found += [np.concatenate(whole)] if reach and all_similar(x[members], least) else _divide(x, np.concatenate(whole), least)
+            found.append((np.concatenate(whole), reach))
         waiting = waiting[~taken[waiting]]
     return found
 
 
+def local_clusters(x, least: float, points: int = POINTS):
+    """Lists of positions of the clusters of two or more among the unit vectors ``x``, all pairs of each similar."""
+    found = []
+    for members, reach in reached(x, least, points):
+        found += [members] if reach and all_similar(x[members], least) else _divide(x, members, least)
+    return found
+
+
 def around(x, least: float) -> bool:
     """Whether all vectors lie within half the angle of ``least`` around their centre, so that any two are similar."""
     import numpy as np
@@ -121,25 +130,46 @@ def all_similar(x, least: float) -> bool:
     return around(x, least) or all(bool((x[i : i + BLOCK] @ x.T >= least).all()) for i in range(0, len(x), BLOCK))
 
 
-def _divide(x, members, least: float):
-    """Sets of mutually similar vectors: each grown greedily from the member with most neighbours left."""
+def _divide(x, members, least: float, degree=None):
+    """Sets of mutually similar vectors: each grown greedily from the member with most neighbours left.
+
+    ``degree`` are the numbers of neighbours among the members, each its own, where they are known.
+    """
     import numpy as np
 
-    sets = []
-    while len(members) > 1:
-        degree = np.concatenate([(x[members[i : i + BLOCK]] @ x[members].T >= least).sum(axis=1) for i in range(0, len(members), BLOCK)])
-        own = [members[int(degree.argmax())]]
-        close = x[members] @ x[own[0]]
-        left = members[close >= least]
-        left = left[left != own[0]]
-        while len(left):
-            nearest = left[int((x[left] @ x[own].sum(axis=0)).argmax())]
-            own.append(nearest)
-            left = left[(x[left] @ x[nearest] >= least) & (left != nearest)]
-        own = np.array(own)
+    y = x[members]
+    degree = (_degrees(y, y, least) if degree is None else degree).copy()
+    sets, alive = [], np.ones(len(y), bool)
+    while len(y) and degree.max() > 1:
+        seed = int(degree.argmax())
+        score = (y @ y[seed]).astype("float64")
+        left = np.flatnonzero((score >= least) & alive)
+        left = left[left != seed]
+        own, z, score = [np.array([seed])], y[left], score[left]
+        open_ = np.ones(len(left), bool)
+        asked = len(left) + 1
+        while open_.any():
+            if open_.sum() * 2 < asked:  # ever smaller: copied, and looked at whether all that are left are similar
+                left, z, score, open_ = left[open_], z[open_], score[open_], open_[open_]
+                asked = len(left)
+            if len(left) == asked and open_.all() and around(z, least):
+                own.append(left)
+                break
+            nearest = int(np.where(open_, score, -np.inf).argmax())
+            own.append(left[[nearest]])
+            close = z @ z[nearest]
+            score += close
+            open_ &= close >= least
+            open_[nearest] = False
+        own = np.concatenate(own)
         if len(own) > 1:
-            sets.append(own)
-        members = members[~np.isin(members, own)]
+            sets.append(members[own])
+        alive[own] = False
+        for start in range(0, len(own), BLOCK):
+            degree = degree - (y[own[start : start + BLOCK]] @ y.T >= least).sum(axis=0)
+        degree[~alive] = 0
+        if alive.sum() * 2 < len(y):
+            y, members, degree, alive = y[alive], members[alive], degree[alive], alive[alive]
     return sets
 
 
@@ -190,7 +220,7 @@ def _visits(model):
 
 
 def _links(least: float, points: int):
-    """Function for applyInArrow: the links (a, b) of one part of a cell, or between the clusters of two parts."""
+    """Function for applyInArrow: the links (a, b) of one part of a cell, or between the sets of two parts."""
 
     def dense(rows):
         import numpy as np
@@ -200,34 +230,36 @@ def _links(least: float, points: int):
         order = np.argsort(ids, kind="stable")
         ids, part, x = ids[order], part[order], x[order]
         sides = [np.flatnonzero(part == p) for p in np.unique(part)]
-        found = [[side[m] for m in local_clusters(x[side], least, points)] for side in sides]
         a, b = [ids[:0]], [ids[:0]]
         if rows.column("i")[0].as_py() == rows.column("j")[0].as_py():
-            for members in found[0]:
+            for members, _ in reached(x, least, points):
                 own = ids[members]
                 a.append(own[own != own.min()])
                 b.append(np.full(len(own) - 1, own.min()))
         elif len(sides) == 2:
-            # rows that are in no cluster of their part may be in one with rows of the other part
-            groups = [[*own, *([i] for i in np.setdiff1d(side, np.concatenate([side[:0], *own])))] for own, side in zip(found, sides)]
-            heads = [np.array([x[g].sum(axis=0) for g in own]) for own in groups]
-            heads = [h / np.maximum(np.linalg.norm(h, axis=1), 1e-9)[:, None] for h in heads]
-            for start in range(0, len(heads[0]), BLOCK):
-                # the centre of mutually similar vectors is as similar to any of them as half their angle, at least
-                for p, q in zip(*np.nonzero(heads[0][start : start + BLOCK] @ heads[1].T >= least - 0.25)):
-                    left, right = groups[0][start + p], groups[1][q]
-                    if bool((x[left] @ x[right].T >= least).all()):
-                        a.append(ids[left][:1])
-                        b.append(ids[right][:1])
+            head = np.arange(len(x))  # the first of its set of its part, which the part itself links
+            for side in sides:
+                for members, _ in reached(x[side], least, points):
+                    head[side[members]] = side[members].min()
+            left, right = sides
+            core = np.ones(len(x), bool)
+            if points > 2:
+                for side, other in ((left, right), (right, left)):
+                    core[side] = _degrees(x[side], x[side], least) + _degrees(x[side], x[other], least) >= points
+            for start in range(0, len(left), BLOCK):
+                own = left[start : start + BLOCK]
+                near = (x[own] @ x[right].T >= least) & (core[own][:, None] | core[right])
+                p, q = np.nonzero(near)
+                met = np.unique(head[own[p]] * len(x) + head[right[q]])
+                a.append(ids[met // len(x)])
+                b.append(ids[met % len(x)])
         return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
     return dense
 
 
-def checked(labelled: DataFrame, model, least: float, rows: int) -> DataFrame:
-    """(id, cluster_id) of merged sets ``labelled(id, v, root)``, those that are not mutually similar divided once more."""
-    import numpy as np
-
+def checked(labelled: DataFrame, least: float, rows: int) -> DataFrame:
+    """(id, cluster_id) of merged sets ``labelled(id, v, root)``, those that are not mutually similar divided as a whole."""
     total = vector_sums(labelled, ["root"], "v")
     length = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x))
     inner = F.aggregate(F.zip_with("v", "s", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
@@ -240,42 +272,41 @@ def checked(labelled: DataFrame, model, least: float, rows: int) -> DataFrame:
     blocks = F.ceil(F.col("n") / PART_ROWS).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     met = doubtful.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "v")
-
-    def apart(rows):
-        import pyarrow as pa
-
-        x, block = as_rows(rows.column("v")), rows.column("block").to_numpy()
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        left, right = x[block == i], x[block == j]
-        good = all(bool((left[s : s + BLOCK] @ right.T >= least).all()) for s in range(0, len(left), BLOCK))
-        return pa.table({"root": pa.array([] if good else [rows.column("root")[0].as_py()], pa.int64())})
-
-    broken = met.groupBy("root", "i", "j").applyInArrow(apart, "root bigint").distinct()
+    met = met.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "v")
 
-    def homes(batches):
+    def counted(rows):
+        import numpy as np
         import pyarrow as pa
 
-        directions, centres, parts = model.value
-        for batch in (b.slice(i, BLOCK) for b in batches for i in range(0, b.num_rows, BLOCK)):
-            _, cell, home = nearest_cells(reduced(as_rows(pa.chunked_array([batch.column(1)])), directions), centres, 1, 0.0)
-            cell = cell[home]
-            piece = np.where(batch.column(3).to_numpy() <= PART_ROWS, 0, 1 + (cell.astype("int64") << 32) + _part_of(batch.column(0).to_numpy(), parts[cell]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(piece)], names=["id", "v", "root", "piece"])
+        ids, x, block = rows.column("id").to_numpy(), as_rows(rows.column("v")), rows.column("block").to_numpy()
+        root, i, j = (rows.column(c)[0].as_py() for c in ("root", "i", "j"))
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        near = np.zeros(len(x), "int64")
+        for s in range(0, len(left), BLOCK):
+            close = x[left[s : s + BLOCK]] @ x[right].T >= least
+            near[left[s : s + BLOCK]] += close.sum(axis=1)
+            if i != j:
+                near[right] += close.sum(axis=0)
+        return pa.table({"root": pa.array(np.full(len(ids), root)), "id": pa.array(ids), "near": pa.array(near)})
+
+    counts = met.groupBy("root", "i", "j").applyInArrow(counted, "root bigint, id bigint, near bigint").groupBy("root", "id").agg(F.sum("near").alias("near"))
+    counts = checkpointed(counts)
+    broken = counts.groupBy("root").agg(F.min("near").alias("near"), F.count(F.lit(1)).alias("n")).filter("near < n").select("root")
 
     def divided(rows):
+        import numpy as np
         import pyarrow as pa
 
-        ids, x = rows.column("id").to_numpy(), as_rows(rows.column("v"))
+        ids, x, near = rows.column("id").to_numpy(), as_rows(rows.column("v")), rows.column("near").to_numpy()
         order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
+        ids, x, near = ids[order], x[order], near[order]
         label = ids.copy()
-        for members in _divide(x, np.arange(len(ids)), least):
+        for members in _divide(x, np.arange(len(ids)), least, near):
             label[members] = ids[members].min()
         return pa.table({"id": pa.array(ids), "label": pa.array(label)})
 
-    again = doubtful.join(broken, "root", "left_semi").select("id", "v", "root", "n").mapInArrow(homes, "id bigint, v array<float>, root bigint, piece bigint")
-    again = again.groupBy("root", "piece").applyInArrow(divided, "id bigint, label bigint")
+    again = doubtful.join(broken, "root", "left_semi").select("id", "v", "root").join(counts.select("id", "near"), "id")
+    again = again.groupBy("root").applyInArrow(divided, "id bigint, label bigint")
     return labelled.select("id", "root").join(again, "id", "left").select("id", F.coalesce("label", "root").alias("cluster_id"))
 
 
@@ -290,7 +321,7 @@ def cluster(df: DataFrame, key: str, vector: str, least: float = LEAST, smallest
     links = visits.groupBy("cell", "i", "j").applyInArrow(_links(least, points), "a bigint, b bigint")
     labels, _ = spanning_forest(links)
     labelled = checkpointed(first.join(labels.withColumnRenamed("v", "id"), "id").select("id", "v", "root"))
-    good = checked(labelled, model, least, rows)
+    good = checked(labelled, least, rows)
     heads = first.select("id", "h1", "h2").join(good, "id", "left").select("h1", "h2", F.coalesce("cluster_id", "id").alias("cluster_id"))
     whole = join_hot(members, heads, ["h1", "h2"], rows=rows)
     sizes = whole.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= smallest)

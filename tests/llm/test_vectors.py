@@ -190,6 +190,38 @@ def test_merged_sets_hold_similar_vectors_only(spark, monkeypatch, part):
     assert all(min(own) + 1 == name for name, own in sets.items())
 
 
+def test_sets_do_not_depend_on_cells_and_parts(spark, monkeypatch):
+    """Chains, and a fan of vectors in a cone, come out divided the same however many cells and parts they are cut into."""
+    rng = np.random.default_rng(12)
+    vectors = []
+    for _ in range(6):
+        a, b = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        vectors += [np.cos(t) * a + np.sin(t) * b for t in np.radians(rng.uniform(0, 150, 40))]
+    centre, cone = rng.normal(size=64), rng.normal(size=(160, 64))
+    vectors += list(centre / np.linalg.norm(centre) + 0.5 * cone / np.linalg.norm(cone, axis=1)[:, None])
+    s = brute(vectors)
+    np.fill_diagonal(s, 1)
+    near, want, seen = s >= 0.8, set(), np.zeros(len(s), bool)
+    for i in range(len(s)):
+        chain = np.arange(len(s)) == i
+        while not seen[i] and (near[chain].any(axis=0) != chain).any():
+            chain = near[chain].any(axis=0)
+        seen |= chain
+        members = np.flatnonzero(chain)
+        while len(members) > 1:
+            own = [members[near[np.ix_(members, members)].sum(axis=1).argmax()]]
+            left = members[near[own[0], members] & (members != own[0])]
+            while len(left):
+                own.append(left[s[np.ix_(left, own)].sum(axis=1).argmax()])
+                left = left[near[own[-1], left] & (left != own[-1])]
+            want |= {(int(m) + 1, int(min(own)) + 1) for m in own if len(own) > 1}
+            members = np.setdiff1d(members, own)
+    for part, residents in ((8192, 1000), (30, 1000), (30, 40)):
+        monkeypatch.setattr(clusters, "PART_ROWS", part)
+        monkeypatch.setattr(clusters, "RESIDENTS", residents)
+        assert {(r.id, r.cluster_id) for r in clusters.cluster(frame(spark, vectors), "id", "vec", smallest=2).collect()} == want
+
+
 def test_points_make_a_core_point():
     """With three points to a core, two alone are no cluster, and one in reach of a core belongs to it."""
     x = np.zeros((6, 64), "float32")
