@@ -6,8 +6,9 @@ In each cell vectors are linked by density on the full vectors: vectors with ``p
 counted) of similarity ``LEAST`` are core points, and core points within reach are of one set.  A cell of many rows is cut
 into parts by a hash; each part is linked by itself, and two parts meet in one task, where sets with a similar pair are
 linked, so that no task holds more than two parts.  Sets that share a core point, or are linked so, are merged by Borůvka
-contraction over links that are never gathered.  Nothing is divided before sets are whole, so cells and parts, which
-are more in larger tables, do not show in the result.
+contraction over links that are never gathered.  Nothing is divided before sets are whole, so parts do not show
+in the result, nor do cells, which are more in larger tables, as long as chains of similar vectors share cells; a pair that
+shares none is not seen.  With more than two ``points``, neighbours are counted within two parts only.
 
 A merged set whose members all lie within half the angle of ``LEAST`` around its centre is a set of mutually similar
 vectors; all others are compared pair by pair, in blocks.  A set that fails is divided, whatever its size, by one rule
