@@ -228,6 +228,31 @@ def test_ward_of_equal_costs_is_the_same_in_blocks(spark, monkeypatch, concepts_
     assert clusters() == whole and len(whole) == 40 and len({c for _, c in whole}) == concepts_left
 
 
+def test_ward_in_blocks_writes_the_matrix_a_few_times_only(spark, monkeypatch):
+    monkeypatch.setattr(ward, "WARD_UNITS", 100)
+    monkeypatch.setattr(ward, "BLOCK_UNITS", 40)
+    n, rng = 400, np.random.default_rng(7)
+    r = rng.random((n, n)) / 50 + (np.arange(n)[:, None] // 40 == np.arange(n) // 40)
+    pairs = spark.createDataFrame([(i, j, float(r[i, j])) for i in range(n) for j in range(i, n)], "i bigint, j bigint, r double")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.executorList(True).apply(i).totalShuffleWrite() for i in range(store.executorList(True).size()))
+    before = written()
+    assert list(ward.ward(pairs, np.arange(n), 10)) == [i // 40 * 40 for i in range(n)]
+    assert written() - before < 4 * 12 * n * n  # an entry is 12 bytes; every block meets all ten in every round
+
+
+@pytest.mark.parametrize("sent", [10, 0])
+def test_correlated_is_the_correlation_of_coactivation(spark, monkeypatch, sent):
+    monkeypatch.setattr(concepts, "UNITS_SENT", sent)
+    rng = np.random.default_rng(1)
+    rows = [(k, u, float(rng.random())) for k, n in ((1, 9), (2, 1), (3, 4), (None, 5)) for u in range(n)]
+    df = spark.createDataFrame(rows, "k bigint, u bigint, x double")
+    pairs, activity = concepts.correlated(df, "k", "u", "x")
+    want = {(r.i, r.j): pytest.approx(r.r, abs=1e-12) for r in concepts.correlation(concepts.coactivation(df, "k", "u", "x")).collect()}
+    assert {(r.i, r.j): r.r for r in pairs.collect()} == want
+    assert {r.unit: r.mean for r in activity.collect()} == {u: pytest.approx(np.mean([x for _, v, x in rows if v == u])) for u in range(9)}
+
+
 def test_ranked_quality_of_all_rows_equals_the_sample_of_all(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = spark.createDataFrame([(i, [float(x) for x in v], [float(x) for x in v[:2]]) for i, v in enumerate(rng.normal(size=(90, 8)))], "id bigint, h array<double>, l array<double>")
